@@ -76,15 +76,13 @@ def completion_mask(
     """Labels: ids after the last response template, the ignored label elsewhere."""
     if not isinstance(template, Column):
         width = len(template)
-    begin = last_position(ids, template, width) + (width - 1)
-
-    def label(token, i):
-        keep = F.coalesce(i >= begin, F.lit(False))
-        if pad is not None:
-            keep = keep & (token != pad)
-        return F.when(keep, token).otherwise(F.lit(IGNORED_LABEL))
-
-    return F.transform(ids, label)
+    prompt = F.coalesce(last_position(ids, template, width) + (width - 1), F.size(ids))
+    ignored = F.lit(IGNORED_LABEL)
+    # Not one lambda over all ids: the search would run again for each of them.
+    labels = F.concat(F.array_repeat(ignored, prompt), F.slice(ids, prompt + 1, F.size(ids)))
+    if pad is None:
+        return labels
+    return F.transform(labels, lambda i: F.when(i == pad, ignored).otherwise(i))
 
 
 def row_problem(ids: Column, template: Sequence[int] | Column, width: int | None = None) -> Column:
