@@ -78,8 +78,15 @@ def completion_mask(
         width = len(template)
     prompt = F.coalesce(last_position(ids, template, width) + (width - 1), F.size(ids))
     ignored = F.lit(IGNORED_LABEL)
-    # Not one lambda over all ids: the search would run again for each of them.
-    labels = F.concat(F.array_repeat(ignored, prompt), F.slice(ids, prompt + 1, F.size(ids)))
+    # The search result is bound once as the only element of an array; named
+    # twice, or inside a lambda over the ids, it would be searched for again.
+    labels = F.get(
+        F.transform(
+            F.array(prompt),
+            lambda n: F.concat(F.array_repeat(ignored, n), F.slice(ids, n + 1, F.size(ids))),
+        ),
+        F.lit(0),
+    )
     if pad is None:
         return labels
     return F.transform(labels, lambda i: F.when(i == pad, ignored).otherwise(i))

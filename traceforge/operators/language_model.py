@@ -14,17 +14,17 @@ CONTEXT, WORD = "w1", "w2"
 
 
 def ngram_items(tokens: Column, order: int) -> Column:
-    """The n-grams of one token array, as structs of ``w2`` or of ``w1`` and ``w2``."""
-    if order == 1:
-        return F.transform(tokens, lambda t: F.struct(t.alias(WORD)))
+    """The n-grams of one token array: structs of ``position``, for bigrams ``w1``, and
+    ``w2``, the predicted word, whose zero-based position in the array it is."""
+    if order not in (1, 2):
+        raise ValueError("order must be 1 or 2")
+    count = F.greatest(F.size(tokens) - (order - 1), F.lit(0))
+    places = F.when(count > 0, F.sequence(F.lit(order - 1), count + (order - 2)))
+    columns = [F.coalesce(places, F.array().cast("array<int>")).alias("position")]
     if order == 2:
-        pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
-        return F.zip_with(
-            F.slice(tokens, F.lit(1), pairs),
-            F.slice(tokens, F.lit(2), pairs),
-            lambda a, b: F.struct(a.alias(CONTEXT), b.alias(WORD)),
-        )
-    raise ValueError("order must be 1 or 2")
+        columns.append(F.slice(tokens, F.lit(1), count).alias(CONTEXT))
+    columns.append(F.slice(tokens, F.lit(order), count).alias(WORD))
+    return F.arrays_zip(*columns)
 
 
 def _item_columns(order: int) -> list[str]:
@@ -32,12 +32,8 @@ def _item_columns(order: int) -> list[str]:
 
 
 def _exploded(df: DataFrame, key: Sequence[str], tokens: str, order: int) -> DataFrame:
-    """One row per n-gram and position; a row without n-grams keeps one null row."""
-    items = ngram_items(F.col(tokens), order)
-    listed = df.select(*key, F.posexplode_outer(items).alias("position", "_item"))
-    if order == 2:  # a bigram predicts the token at its second place
-        listed = listed.withColumn("position", F.col("position") + 1)
-    return listed.select(*key, "position", "_item.*")
+    """One row per n-gram; a row without n-grams keeps one null row."""
+    return df.select(*key, F.inline_outer(ngram_items(F.col(tokens), order)))
 
 
 @dataclass(frozen=True)
@@ -66,8 +62,7 @@ def fit_ngram(df: DataFrame, tokens: str, order: int = 1, alpha: float = 1.0) ->
     items = ngram_items(F.col(tokens), order)
     columns = _item_columns(order)
     counts = materialise(
-        df.select(F.explode(items).alias("_item"))
-        .select("_item.*")
+        df.select(F.inline(items))
         .groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("n")),
         "ngrams",
@@ -171,8 +166,8 @@ def cross_entropy_difference(
     marked = df.select(
         F.coalesce(is_plus, F.lit(False)).cast("long").alias("_p"),
         F.coalesce(is_minus, F.lit(False)).cast("long").alias("_m"),
-        F.explode(ngram_items(F.col(tokens), order)).alias("_item"),
-    ).select("_p", "_m", "_item.*")
+        F.inline(ngram_items(F.col(tokens), order)),
+    )
     counts = materialise(
         marked.groupBy(*columns).agg(
             F.count(F.lit(1)).alias("n"), F.sum("_p").alias("plus"), F.sum("_m").alias("minus")

@@ -166,7 +166,7 @@ def vocabulary(spark, sf_dir):
 
 @register
 def encode_tokens(spark, sf_dir):
-    listed = fx.document_tokens(spark, sf_dir)
+    listed = _written_tokens(spark, sf_dir)
     vocab = encoding.vocabulary(listed, "tokens")
     ids = encoding.encode(listed, ["doc_id"], "tokens", vocab)
     return ids.select("doc_id", joined("input_ids"), F.size("input_ids").alias("length"))
@@ -241,6 +241,11 @@ def grade_against(spark, sf_dir):
     return graded.select(*fx.LINE, "is_correct")
 
 
+def _written_tokens(spark, sf_dir):
+    """Document tokens as a table, for queries that read them several times."""
+    return materialise(fx.document_tokens(spark, sf_dir), "tokens")
+
+
 def _accuracy_by_run(spark, sf_dir):
     return grading.accuracy(traces.graded_traces(fx.graded_fixture(spark, sf_dir)), ["run"])
 
@@ -392,7 +397,7 @@ def rescore(spark, sf_dir):
 
 @register
 def log_perplexity(spark, sf_dir):
-    listed = fx.document_tokens(spark, sf_dir)
+    listed = _written_tokens(spark, sf_dir)
     model = lm.fit_ngram(listed, "tokens")
     scored = lm.score_ngram(listed, model, ["doc_id"], "tokens", prompt_length=F.lit(10))
     return scored.select("doc_id", F.round(F.nanvl("logppl", F.lit(-1.0)), 6).alias("logppl"))
@@ -412,7 +417,7 @@ def fit_bigram(spark, sf_dir):
 
 @register
 def score_bigram(spark, sf_dir):
-    listed = fx.document_tokens(spark, sf_dir)
+    listed = _written_tokens(spark, sf_dir)
     model = lm.fit_ngram(listed, "tokens", order=2, alpha=0.5)
     scored = lm.score_ngram(listed, model, ["doc_id"], "tokens")
     return scored.select("doc_id", F.round(F.nanvl("logppl", F.lit(-1.0)), 6).alias("logppl"))
@@ -420,7 +425,7 @@ def score_bigram(spark, sf_dir):
 
 def _difference(spark, sf_dir, order):
     labels = fx.table(spark, sf_dir, "labels").select("doc_id", "quality")
-    listed = fx.document_tokens(spark, sf_dir).join(labels, "doc_id", "left")
+    listed = _written_tokens(spark, sf_dir).join(labels, "doc_id", "left")
     scored = lm.cross_entropy_difference(
         listed, ["doc_id"], "tokens", F.col("quality") == 1, F.col("quality") == 0, order
     )
@@ -507,8 +512,14 @@ def flatten_struct(spark, sf_dir):
 @register
 def run_record(spark, sf_dir):
     graded = traces.graded_traces(fx.graded_fixture(spark, sf_dir))
-    measured = graded.withColumn("length", F.length("trace_af")).withColumn(
-        "logppl", F.col("problem_id") % 101 / F.lit(7.0)
+    measured = materialise(
+        graded.select(
+            "is_raw_correct",
+            "is_af_correct",
+            F.length("trace_af").alias("length"),
+            (F.col("problem_id") % 101 / F.lit(7.0)).alias("logppl"),
+        ),
+        "traces",
     )
     total = _rejection_run(spark, sf_dir).report().where(F.col("shard").isNull()).drop("shard")
     record = stats.run_record(
@@ -524,7 +535,7 @@ def run_record(spark, sf_dir):
 @register
 def dataset_ablation(spark, sf_dir):
     labels = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    listed = fx.document_tokens(spark, sf_dir)
+    listed = _written_tokens(spark, sf_dir)
     model = lm.fit_ngram(listed, "tokens")
     perplexity = lm.score_ngram(listed, model, ["doc_id"], "tokens")
     labelled = listed.join(labels, "doc_id").join(perplexity, "doc_id")

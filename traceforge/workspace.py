@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Most rows that are ever broadcast or collected. Whatever may be larger is
-# counted first and shuffled when it does not fit.
-SMALL_ROWS = 100_000
+# Most rows, and bytes of keys, that are ever broadcast or collected. Whatever
+# may be larger is counted first and shuffled when it does not fit.
+SMALL_ROWS = 400_000
 SMALL_BYTES = 64 << 20
 
 
