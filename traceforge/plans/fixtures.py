@@ -17,6 +17,7 @@ from traceforge.sources.problems import (
     exchanges,
     mcq_as_problems,
 )
+from traceforge.workspace import spread
 
 CANDIDATE = ["l_linenumber", "l_partkey", "l_suppkey"]
 LINE = ["l_orderkey", *CANDIDATE]
@@ -27,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts, over all cores: what follows parses them."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return spread(texts, "doc_id")
+
+
 def _text(value: Column) -> Column:
     return value.cast("string")
 
@@ -48,7 +55,8 @@ def graded_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<|im_start|>user\nq "), _text(key),
         F.lit("<|im_end|>\n<|im_start|>assistant\nwork "), boxed(answer), F.lit("<|im_end|>"), forced,
     )
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return spread(orders, "o_orderkey").select(
         key.alias(KEY),
         F.col("o_orderpriority").alias("run"),
         F.concat(F.lit("q "), _text(key)).alias("problem"),
@@ -64,7 +72,7 @@ def family_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     r1 = F.concat(F.lit(RESPONSE_MARKERS["r1"]), text, F.lit("</think>"), F.lit(R1_SENTENCE_END))
     llama = F.concat(F.lit(RESPONSE_MARKERS["llama"]), text)
     trace = F.when(key % 4 == 0, qwen).when(key % 4 == 1, r1).when(key % 4 == 2, llama)
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.concat(F.lit("<s>ask "), F.coalesce(trace, text)).alias("trace")
     )
 
@@ -99,7 +107,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", words(F.col("text")).alias("tokens"))
+    return documents(spark, sf_dir).select("doc_id", "lang", words(F.col("text")).alias("tokens"))
 
 
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +128,9 @@ def problem_sources(sf_dir: str) -> dict[str, ProblemSource]:
         return graded_fixture(spark, sf_dir).select(KEY, "problem", "solution")
 
     def competition(spark):
-        documents = table(spark, sf_dir, "documents")
+        texts = table(spark, sf_dir, "documents")
         subsets = {
-            lang: as_problems(documents.where(F.col("lang") == lang), "doc_id", "text", "source")
+            lang: as_problems(texts.where(F.col("lang") == lang), "doc_id", "text", "source")
             for lang in LANGUAGES
         }
         return concat_subsets(subsets)

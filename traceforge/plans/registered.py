@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from traceforge.constants import REJECTION_TARGET
+from traceforge.constants import REJECTION_TARGET, REJECTION_THRESHOLD
 from traceforge.functions import answers, text, tokens
 from traceforge.operators import (
     ablation,
@@ -552,7 +552,7 @@ def dataset_ablation(spark, sf_dir):
 @register
 def accepted_replies(spark, sf_dir):
     accepted = traces.accepted_replies(
-        fx.table(spark, sf_dir, "conversations"), threshold=7.4, target=25, shards=4
+        fx.table(spark, sf_dir, "conversations"), threshold=REJECTION_THRESHOLD, target=25, shards=4
     )
     return accepted.select(
         "conv_id", "turn", "shard", rounded("logppl", "logppl"), "accept_rank", "problem", "response"

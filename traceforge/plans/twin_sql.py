@@ -5,6 +5,7 @@ from __future__ import annotations
 from traceforge.constants import (
     ANSWER_FORCE_STRING,
     R1_SENTENCE_END,
+    REJECTION_THRESHOLD,
     RESPONSE_MARKERS,
     SYSTEM_PROMPT,
     TRAIN_FRACTION,
@@ -348,7 +349,7 @@ ORACLE: dict[str, str] = {
       m as (select w, count(*) as n from x group by w), z as (select sum(n) as total, count(*) + 1 as types from m),
       s as (select conv_id, turn, avg(-ln((n + 1.0::DOUBLE) / (total + types))) as logppl from x join m using (w), z group by all),
       o as (select *, conv_id % 4 as shard, sum(1) over (partition by conv_id % 4
-          order by {seeded('conv_id, turn')}, conv_id, turn rows unbounded preceding) as a from s where logppl <= 7.4::DOUBLE)
+          order by {seeded('conv_id, turn')}, conv_id, turn rows unbounded preceding) as a from s where logppl <= {REJECTION_THRESHOLD}::DOUBLE)
       select conv_id, turn, shard, round(logppl, 6) as logppl, a::BIGINT as accept_rank, problem, response
       from o join pairs using (conv_id, turn) where a <= 25""",
 }

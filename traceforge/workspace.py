@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SMALL_ROWS = 400_000
 SMALL_BYTES = 64 << 20
 
+# Spark's default size of one read split.
+SPLIT_BYTES = 128 << 20
+
 
 def build_session(app_name: str = "traceforge", master: str | None = None, **settings) -> SparkSession:
     """Session with the settings the operators are tested under."""
@@ -60,6 +63,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a small scan over all cores before costly per-row work.
+
+    A table smaller than one read split per core would keep some cores idle, in
+    the worst case all but one. Larger scans are left as they are, so what is
+    shuffled here is at most one split per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def small_or_none(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     """``df`` as a local table marked for broadcast, or None above ``max_rows``."""
     table = df.limit(max_rows + 1).toArrow()
