@@ -46,12 +46,13 @@ def encode(
     ``same_corpus`` says that ``vocab`` was counted on ``df`` itself. Words outside ``vocab`` get id 0. An empty array stays empty. A row's ids
     are gathered again inside that row's own key, so no list outgrows its row.
     """
-    listed = df.select(*key, F.posexplode_outer(tokens).alias("_at", "token"))
+    listed = df.select(*key, F.posexplode_outer(tokens).alias("_at", "_token"))
+    ids = vocab.select(F.col("token").alias("_token"), F.col("n").alias("_n"), F.col("id").alias("_id"))
     if same_corpus:
-        found = lookup(listed, vocab, ["token"], "n", head_rows)
+        found = lookup(listed, ids, ["_token"], "_n", head_rows)
     else:
-        found = skewed_lookup(listed, vocab.select("token", "id"), ["token"], head_rows)
-    entry = F.struct("_at", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
+        found = skewed_lookup(listed, ids.drop("_n"), ["_token"], head_rows)
+    entry = F.struct("_at", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("id"))
     gathered = F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), entry)))
     return found.groupBy(*key).agg(F.transform(gathered, lambda e: e["id"]).alias(name))
 

@@ -99,12 +99,12 @@ def token_logprobs(
         return skewed_lookup(facts, table, on, head_rows)
 
     items = _exploded(df, key, tokens, model.order)
-    found = attach(items, model.counts, _item_columns(model.order), "n")
+    found = attach(items, model.counts, _item_columns(model.order), "_count")
     context = None
     if model.order == 2:
         found = attach(found, model.contexts, [CONTEXT], "_given")
         context = F.coalesce("_given", F.lit(0))
-    logp = model.log_probability(F.coalesce("n", F.lit(0)), context)
+    logp = model.log_probability(F.coalesce("_count", F.lit(0)), context)
     return found.select(*key, "position", F.when(F.col("position").isNotNull(), logp).alias("logp"))
 
 
@@ -170,34 +170,31 @@ def cross_entropy_difference(
     )
     counts = materialise(
         marked.groupBy(*columns).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("_p").alias("plus"), F.sum("_m").alias("minus")
+            F.count(F.lit(1)).alias("_n"), F.sum("_p").alias("_plus"), F.sum("_m").alias("_minus")
         ),
         "ngram-pair",
     )
-    in_models = counts.where((F.col("plus") > 0) | (F.col("minus") > 0))
+    in_models = counts.where((F.col("_plus") > 0) | (F.col("_minus") > 0))
     types = in_models.select(WORD).distinct().count() + 1
-    totals = counts.agg(F.sum("plus"), F.sum("minus")).first()
-    models = {
-        side: NgramModel(order, float(alpha), counts, None, int(totals[i] or 0), types)
-        for i, side in enumerate(("plus", "minus"))
-    }
-    found = lookup(_exploded(df, key, tokens, order), counts, columns, "n", head_rows)
-    given = {"plus": None, "minus": None}
-    if order == 2:
+    found = lookup(_exploded(df, key, tokens, order), counts, columns, "_n", head_rows)
+    if order == 1:
+        totals = counts.agg(F.sum("_plus"), F.sum("_minus")).first()
+        given = [F.lit(float(total or 0)) for total in totals]
+    else:
         contexts = materialise(
             counts.groupBy(CONTEXT).agg(
-                F.sum("n").alias("_n"), F.sum("plus").alias("_plus"), F.sum("minus").alias("_minus")
+                F.sum("_n").alias("_all"), F.sum("_plus").alias("_plus_1"), F.sum("_minus").alias("_minus_1")
             ),
             "ngram-pair-contexts",
         )
-        found = lookup(found.drop("n"), contexts, [CONTEXT], "_n", head_rows)
-        given = {"plus": F.col("_plus"), "minus": F.col("_minus")}
-    gap = models["plus"].log_probability(F.col("plus"), given["plus"]) - models[
-        "minus"
-    ].log_probability(F.col("minus"), given["minus"])
-    return found.groupBy(*key).agg(
-        F.avg(F.when(F.col("position").isNotNull(), gap)).alias(name)
-    )
+        found = lookup(found, contexts, [CONTEXT], "_all", head_rows)
+        given = [F.col("_plus_1"), F.col("_minus_1")]
+
+    def log_probability(count: str, total: Column) -> Column:
+        return F.log((F.col(count) + float(alpha)) / (total + float(alpha) * types))
+
+    gap = log_probability("_plus", given[0]) - log_probability("_minus", given[1])
+    return found.groupBy(*key).agg(F.avg(F.when(F.col("position").isNotNull(), gap)).alias(name))
 
 
 def cross_entropy_difference_of(
