@@ -57,7 +57,7 @@ def test_limits(spark, monkeypatch):
     assert ranking.limit_n(df, "k", None).count() == 50
     assert sorted(r.k for r in ranking.limit_n(df, "k", 5).collect()) == [0, 1, 2, 3, 4]
     assert ranking.limit_n(df, "k", 500).count() == 50
-    monkeypatch.setattr(ranking, "SMALL_ROWS", 3)
+    monkeypatch.setattr(ranking, "TOP_ROWS", 3)
     assert sorted(r.k for r in ranking.limit_n(df, "k", 5).collect()) == [0, 1, 2, 3, 4]
 
 
@@ -83,7 +83,8 @@ def test_batches(spark):
     ]
 
 
-def test_examples_are_reproducible(spark):
-    df = numbers(spark, 40)
-    first = [r.k for r in ranking.example_rows(df, "k", 3, 1).collect()]
+@pytest.mark.parametrize("top_rows", [2, 1000])
+def test_examples_are_reproducible(spark, monkeypatch, top_rows):
+    monkeypatch.setattr(ranking, "TOP_ROWS", top_rows)
+    first = [r.k for r in ranking.example_rows(numbers(spark, 40), "k", 3, 1).collect()]
     assert sorted(first) == sorted(order(40, 1)[:3])

@@ -115,6 +115,7 @@ def test_lookups_with_a_hot_key(spark, head_rows):
     expected = facts.join(table, "k", "left").select("k", "i", "v")
     for out in (
         lookup.lookup(facts, table, ["k"], "n", head_rows),
+        lookup.lookup(facts, table, ["k"], "n", head_bytes=4),
         lookup.skewed_lookup(facts, table, ["k"], head_rows),
     ):
         got = out.select("k", "i", "v")

@@ -4,9 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from traceforge.workspace import SMALL_BYTES, SMALL_ROWS, small_or_none
+from traceforge.workspace import SMALL_BYTES, SMALL_ROWS, materialise, small_or_none
+
+
+def _heavy_cut(
+    table: DataFrame, on: Sequence[str], weight: str, head_rows: int, head_bytes: int
+) -> int | None:
+    """Smallest weight ``c`` such that the keys heavier than ``c`` are at most
+    ``head_rows`` and ``head_bytes``; None when all keys are.
+
+    Read off a histogram of the weights. Distinct weights are few, and no more
+    than ``head_rows + 1`` of them are collected.
+    """
+    key_bytes = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in on), F.lit(0))
+    top = (
+        table.select(weight, key_bytes.alias("_bytes"))
+        .groupBy(weight)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.sum("_bytes").alias("_bytes"))
+        .orderBy(F.desc(weight))
+        .limit(head_rows + 1)
+        .toArrow()
+    )
+    fits = pc.and_(
+        pc.less_equal(pc.cumulative_sum(top["_rows"]), head_rows),
+        pc.less_equal(pc.cumulative_sum(top["_bytes"]), head_bytes),
+    )
+    beyond = top[weight].filter(pc.invert(fits))
+    return beyond[0].as_py() if len(beyond) else None
 
 
 def lookup(
@@ -15,34 +42,26 @@ def lookup(
     on: Sequence[str],
     weight: str,
     head_rows: int = SMALL_ROWS,
+    head_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Left-join ``table`` to ``facts`` on ``on``; ``weight`` counts facts per key.
 
-    A table of at most ``head_rows`` rows is broadcast whole. Above that, the
-    keys heavier than the ``head_rows``-th weight are fewer than ``head_rows``
-    and are broadcast, so their facts stay where they are; every other key
-    holds at most one ``head_rows``-th of the facts and is shuffled. ``table``
-    is read several times and should be a written table. Keys so long that the
-    broadcast part would pass ``SMALL_BYTES`` shrink ``head_rows``.
+    A table within ``head_rows`` and ``head_bytes`` of keys is broadcast whole.
+    Above that only its heaviest keys are, so their facts stay where they are;
+    every other key holds a small share of the facts and is shuffled. ``table``
+    is read several times and should be a written table.
     """
     on = list(on)
-    key_bytes = sum((F.octet_length(F.col(k).cast("string")) for k in on), F.lit(0))
-    heaviest = table.select(weight, key_bytes.alias("_bytes")).orderBy(F.desc(weight))
-    size, cut, held = (
-        heaviest.limit(head_rows + 1).agg(F.count(F.lit(1)), F.min(weight), F.sum("_bytes")).first()
-    )
-    if (held or 0) > SMALL_BYTES and head_rows > 1:
-        return lookup(facts, table, on, weight, min(head_rows, size) // 2)
+    cut = _heavy_cut(table, on, weight, head_rows, head_bytes)
     values = [c for c in table.columns if c not in on]
-    marked = table.withColumn("_found", F.lit(True))
-    if size <= head_rows:
-        return facts.join(F.broadcast(marked), on, "left").drop("_found")
-    head = marked.where(F.col(weight) > cut)
-    tail = marked.where(F.col(weight) <= cut)
+    if cut is None:
+        return facts.join(F.broadcast(table), on, "left")
+    head = table.where(F.col(weight) > cut).withColumn("_found", F.lit(True))
+    tail = table.where(F.col(weight) <= cut)
     tried = facts.join(F.broadcast(head), on, "left")
     hits = tried.where("_found").drop("_found")
     misses = tried.where(F.col("_found").isNull()).drop("_found", *values)
-    return hits.unionByName(misses.join(tail, on, "left").drop("_found"))
+    return hits.unionByName(misses.join(tail, on, "left"))
 
 
 def skewed_lookup(
@@ -50,22 +69,17 @@ def skewed_lookup(
 ) -> DataFrame:
     """``lookup`` for a table that does not say how often its keys occur.
 
-    The facts are counted by key, combined before the shuffle, and the
-    ``head_rows`` most frequent keys are the ones broadcast, found or not.
+    The facts are counted by key first, combined before the shuffle, and the
+    table is cut down to the keys that occur. Keys it lacks are kept without
+    values, so that a frequent one is not shuffled either.
     """
     on = list(on)
     small = small_or_none(table, head_rows)
     if small is not None:
         return facts.join(small, on, "left")
-    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = small_or_none(counts.orderBy(F.desc("_n")).limit(head_rows).select(*on), head_rows)
-    found = small_or_none(table.join(heavy, on, "left_semi"), head_rows)
-    head = heavy.join(found, on, "left").withColumn("_head", F.lit(True))
-    tried = facts.join(F.broadcast(head), on, "left")
-    values = [c for c in table.columns if c not in on]
-    hits = tried.where("_head").drop("_head")
-    misses = tried.where(F.col("_head").isNull()).drop("_head", *values)
-    return hits.unionByName(misses.join(table, on, "left"))
+    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_facts"))
+    weighed = materialise(counts.join(table, on, "left"), "lookup")
+    return lookup(facts, weighed, on, "_facts", head_rows).drop("_facts")
 
 
 def attach_bounded(facts: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -12,11 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from traceforge.constants import GENERATION_BATCH, TRAIN_FRACTION
-from traceforge.workspace import SMALL_ROWS, materialise
+from traceforge.workspace import materialise
 
 # 16 ** 4 buckets: about 15 million rows each at 10 ** 12 rows, and at most
 # 65,536 rows in the broadcast table of bucket offsets.
 PREFIX_DIGITS = 4
+# Longest top-n that each task keeps and one task merges; beyond it rows are ranked.
+TOP_ROWS = 10_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row in the low 33 bits
 
 
@@ -145,7 +147,7 @@ def limit_n(df: DataFrame, order: str | Sequence[str], n: int | None) -> DataFra
     """The first ``min(n, rows)`` rows; all of them when ``n`` is None."""
     if n is None:
         return df
-    if n <= SMALL_ROWS:
+    if n <= TOP_ROWS:
         return df.orderBy(*names(order)).limit(n)
     return stored_rank(df, order, "_rank").where(F.col("_rank") <= n).drop("_rank")
 
@@ -211,6 +213,8 @@ def batch_plan(
 
 def example_rows(df: DataFrame, key: str | Sequence[str], n: int, seed: int | str) -> DataFrame:
     """A reproducible random handful of rows, as a top-n over the hash."""
+    if n > TOP_ROWS:
+        return shuffled_rank(df, key, seed, "_rank").where(F.col("_rank") <= n).drop("_rank")
     return (
         df.withColumn("_hash", shuffle_hash(key, seed))
         .orderBy("_hash", *names(key))
