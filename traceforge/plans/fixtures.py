@@ -106,6 +106,21 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def candidate_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as candidate answers to their order; odd line numbers are wrong."""
+    answer = (F.col("l_orderkey") + F.col("l_linenumber") % 2) % 97
+    trace = F.concat(
+        F.lit("<|im_start|>assistant\nflag "), F.min("l_returnflag"), F.lit(" part "),
+        _text(F.col("l_partkey")), F.lit(" status "), F.min("l_linestatus"), F.lit(" so "),
+        boxed(answer), F.lit("<|im_end|>"),
+    )
+    return table(spark, sf_dir, "lineitem").groupBy(*LINE).agg(trace.alias("trace")).select(
+        F.col("l_orderkey").alias(KEY),
+        F.concat_ws("-", *[_text(F.col(c)) for c in CANDIDATE]).alias("candidate"),
+        "trace",
+    )
+
+
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "lang", words(F.col("text")).alias("tokens"))
 

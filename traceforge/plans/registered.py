@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {}
 
 SEED = 42
 PRICE_THRESHOLD = 2.5
+TRACE_THRESHOLD = 3.64
 CLIP = 300  # length cap shown by the truncation queries
 TEMPLATE = [2, 3]  # id pair searched in the word-length arrays
 
@@ -262,6 +263,28 @@ def graded_traces(spark, sf_dir):
     return graded.select("problem_id", "trace_af", "is_raw_correct", "is_af_correct")
 
 
+def _built(spark, sf_dir):
+    problems_ = fx.graded_fixture(spark, sf_dir).select("problem_id", "problem", "solution")
+    return traces.build_traces(
+        problems_, fx.candidate_traces(spark, sf_dir), shards=4, threshold=TRACE_THRESHOLD
+    )
+
+
+@register
+def trace_dataset(spark, sf_dir):
+    return _built(spark, sf_dir)[0].select(
+        "problem_id", "candidate", "shard", "prompt", "solution", "trace",
+        rounded("trace_logppl", "trace_logppl"), "accept_rank", "trace_af",
+        "is_raw_correct", "is_af_correct",
+    )
+
+
+@register
+def trace_dataset_report(spark, sf_dir):
+    report = _built(spark, sf_dir)[1]
+    return report.select("shard", "generated", "rejected", "accepted", "exhausted")
+
+
 @register
 def accuracy(spark, sf_dir):
     return _accuracy_by_run(spark, sf_dir).select(
@@ -451,6 +474,13 @@ def vector_mean(spark, sf_dir):
     )
 
 
+@register
+def mean_vector_norms(spark, sf_dir):
+    weighted = fx.table(spark, sf_dir, "embeddings").withColumn("w", F.col("vec_id") % 5 + 1)
+    norms = training.mean_vectors(weighted, "embedding", "w", ["label"])
+    return norms.select("label", rounded("norm", "norm"), rounded("rms", "rms"), "elements")
+
+
 @register
 def vector_norms(spark, sf_dir):
     norms = vectors.vector_norms(fx.table(spark, sf_dir, "embeddings"), "embedding")

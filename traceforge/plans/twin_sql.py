@@ -215,6 +215,24 @@ TRAINING = f"""pairs as ({PAIRS}), t as (select conv_id, turn, {words(
   l as (select *, list_max(list_filter(range(1, len(cut)), lambda p: cut[p] = t0 and cut[p + 1] = t1)) as found from c)"""
 
 
+# The whole trace stage: shards by position, unigram scores, quota, grades.
+BUILT = f"""f2 as ({F2}), b as (select s.range as shard, s.range * (n // 4) + least(s.range, n % 4) as first,
+    (s.range + 1) * (n // 4) + least(s.range + 1, n % 4) as past from (select count(*) as n from orders), range(4) as s),
+  sharded as (select problem_id, problem, solution, shard::INT as shard
+    from (select *, row_number() over (order by problem_id) - 1 as i from f2) join b on i >= first and i < past),
+  ct as (select l_orderkey as problem_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey as candidate,
+    '<|im_start|>assistant' || chr(10) || 'flag ' || min(l_returnflag) || ' part ' || l_partkey || ' status ' || min(l_linestatus)
+      || ' so \\boxed{{' || ((l_orderkey + l_linenumber % 2) % 97) || '}}<|im_end|>' as trace
+    from lineitem group by l_orderkey, l_linenumber, l_partkey, l_suppkey),
+  x as (select problem_id, candidate, unnest({words('trace')}) as w from ct),
+  m as (select w, count(*) as n from x group by w), z as (select sum(n) as total, count(*) + 1 as types from m),
+  sc as (select problem_id, candidate, avg(-ln((n + 1.0::DOUBLE) / (total + types))) as ppl from x join m using (w), z group by all),
+  tried as (select *, ppl <= 3.64::DOUBLE as ok, {seeded('problem_id, candidate')} as h from sc join sharded using (problem_id)),
+  o as (select *, sum(ok::INT) over (partition by shard order by h rows unbounded preceding) as a,
+    row_number() over (partition by shard order by h) as pos, count(*) over (partition by shard) as n from tried),
+  taken as (select * exclude (n) from o join ct using (problem_id, candidate) where ok and a <= 500)"""
+
+
 ORACLE: dict[str, str] = {
     "load_problems_train": f"""with f2 as ({F2}), r as (select problem_id, problem, solution,
         row_number() over (order by problem_id) as rank, count(*) over () as n from f2)
@@ -267,6 +285,16 @@ ORACLE: dict[str, str] = {
     "grade": f"with f2 as ({F2}), done as ({graded('f2', 'trace', 'is_correct')}) select problem_id, is_correct from done",
     "grade_against": f"""select {LINE}, l_orderkey % 97 = (l_orderkey + l_linenumber % 2) % 97 as is_correct from ({CANDIDATES})""",
     "graded_traces": f"with {GRADED_MORE} select problem_id, trace_af, is_raw_correct, is_af_correct from done",
+    "trace_dataset": f"""with {BUILT}, raw as ({graded('taken', 'trace', 'is_raw_correct')}),
+      af as (select *, {AF_OPEN} || '<|im_end|>' as trace_af from raw), done as ({graded('af', 'trace_af', 'is_af_correct')})
+      select problem_id, candidate, shard, {message('system', q(SYSTEM_PROMPT))} || {message('user', "problem || chr(10)")}
+        || '<|im_start|>assistant' || chr(10) as prompt, solution, trace, round(ppl, 6) as trace_logppl, a::BIGINT as accept_rank,
+        trace_af, is_raw_correct, is_af_correct from done""",
+    "trace_dataset_report": f"""with {BUILT}, s as (select shard, count(*) as n,
+          min(case when ok and a = 500 then least(ceil(pos / 512.0::DOUBLE) * 512, n) end) as paid,
+          sum((a - ok::INT < 500 and not ok)::INT) as rejected, sum((a - ok::INT < 500 and ok)::INT) as accepted from o group by shard)
+      select shard::VARCHAR as shard, sum(coalesce(paid, n))::BIGINT as generated, sum(rejected)::BIGINT as rejected,
+        sum(accepted)::BIGINT as accepted, bool_or(accepted < 500) as exhausted from s group by rollup (shard)""",
     "accuracy": ACCURACY,
     "compare_runs": f"""with {GRADED}, a as (select run, avg(is_raw_correct::INT) as raw, avg(is_af_correct::INT) as af from done group by run)
       select run, round(raw - (select raw from a where run = '1-URGENT'), 6) as raw_accuracy_delta,
@@ -327,6 +355,11 @@ ORACLE: dict[str, str] = {
     "vector_mean": """with x as (select label, vec_id % 5 + 1 as w, unnest(embedding)::DOUBLE as v,
           generate_subscripts(embedding, 1) - 1 as dim from embeddings)
       select label, dim::INT as dim, round(sum(w * v) / sum(w), 6) as value from x group by all""",
+    "mean_vector_norms": """with x as (select label, vec_id % 5 + 1 as w, unnest(embedding)::DOUBLE as v,
+          generate_subscripts(embedding, 1) as dim from embeddings),
+      m as (select label, dim, sum(w * v) / sum(w) as v from x group by all)
+      select label, round(sqrt(sum(v * v)), 6) as norm, round(sqrt(sum(v * v) / count(*)), 6) as rms, count(*) as elements
+      from m group by label""",
     "vector_norms": """with x as (select vec_id, unnest(embedding)::DOUBLE as v from embeddings)
       select vec_id, round(sqrt(sum(v * v)), 6) as norm, round(sqrt(sum(v * v) / count(*)), 6) as rms, count(*) as elements
       from x group by vec_id""",
