@@ -47,6 +47,26 @@ def test_split_sizes_follow_the_double_product(spark, seed, n, train):
     assert sorted(r.k for r in whole) == list(range(n))
 
 
+@pytest.mark.parametrize("digits", [1, 4])
+def test_seeded_split_is_a_prefix_of_the_hash_order(spark, digits):
+    df = numbers(spark, 120)
+    train = df.where(ranking.is_train(df, "k", 8, 0.35, digits))
+    assert sorted(r.k for r in train.collect()) == sorted(order(120, 8)[:42])
+
+
+def test_split_by_two_columns(spark):
+    df = numbers(spark, 31)
+    train = {(r.v, r.k) for r in ranking.split(df, ["v", "k"], "train").collect()}
+    everything = sorted((r.v, r.k) for r in df.collect())
+    assert train == set(everything[:21])
+    assert ranking.split(df, ["v", "k"], "train", seed=2).count() == 21
+
+
+def test_split_moves_no_rows(spark):
+    plan = ranking.split(numbers(spark, 90), "k", "train", seed=1)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+
+
 def test_split_rejects_other_parts(spark):
     with pytest.raises(ValueError):
         ranking.split(numbers(spark, 5), "k", "test")

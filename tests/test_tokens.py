@@ -92,6 +92,13 @@ def test_callers_tokenizer(spark):
     assert [r.out for r in df.select(ids(F.col("t")).alias("out")).collect()] == [[97, 98], []]
 
 
+def test_template_tokens_spell_the_marker(value):
+    from traceforge.constants import RESPONSE_MARKERS
+    from traceforge.plans.training import TEMPLATE_TOKENS
+
+    assert value(tk.words(F.lit(RESPONSE_MARKERS["qwen"]))) == list(TEMPLATE_TOKENS)
+
+
 def test_training_rows_end_to_end(spark):
     from traceforge.plans.training import chat_training_rows, trace_training_rows
 

@@ -113,6 +113,70 @@ def global_rank(
     return shuffled_rank(df, key, seed, name, total)
 
 
+def _train_edge_seeded(
+    df: DataFrame, keys: list[str], seed: int | str, fraction: float, prefix_digits: int
+) -> tuple | None:
+    """Hash and key of the last training row in seeded order, None without one.
+
+    Bucket sizes, a fixed number of them, tell which bucket holds the edge; only
+    that bucket's keys are put in order.
+    """
+    hashed = df.select(shuffle_hash(keys, seed).alias("_hash"), *keys).withColumn(
+        "_bucket", F.substring("_hash", 1, prefix_digits)
+    )
+    sizes = sorted(hashed.groupBy("_bucket").count().collect())
+    left = int(sum(n for _, n in sizes) * fraction)
+    if left == 0:
+        return None
+    for bucket, n in sizes:
+        if left <= n:
+            break
+        left -= n
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *keys))
+    edge = hashed.where(F.col("_bucket") == bucket).withColumn("_place", place)
+    return tuple(edge.where(F.col("_place") == left).select("_hash", *keys).first())
+
+
+def _up_to(columns: list[Column], names_: list[str], edge: tuple, df: DataFrame) -> Column:
+    """Whether the columns sort at or before ``edge``."""
+    types = [df.select(c).schema[0].dataType for c in columns]
+    values = [F.lit(v).cast(t) for v, t in zip(edge, types)]
+    if len(columns) == 1:
+        return columns[0] <= values[0]
+    return F.struct(*[c.alias(n) for c, n in zip(columns, names_)]) <= F.struct(
+        *[v.alias(n) for v, n in zip(values, names_)]
+    )
+
+
+def is_train(
+    df: DataFrame,
+    key: str | Sequence[str],
+    seed: int | str | None = None,
+    fraction: float = TRAIN_FRACTION,
+    prefix_digits: int = PREFIX_DIGITS,
+) -> Column:
+    """Condition for the first ``int(n * fraction)`` rows in seeded or stored order.
+
+    The product is taken in doubles: n = 90 gives 62, not 63. Only keys are
+    ordered, to find the last training row; the rows themselves are compared
+    with it where they are.
+    """
+    keys = names(key)
+    columns = [F.col(k) for k in keys]
+    labels = list(keys)
+    if seed is not None:
+        edge = _train_edge_seeded(df, keys, seed, fraction, prefix_digits)
+        columns, labels = [shuffle_hash(keys, seed), *columns], ["_hash", *labels]
+    else:
+        ranked = stored_rank(df.select(*keys), keys, "_rank")
+        at = int(ranked.count() * fraction)
+        found = ranked.where(F.col("_rank") == at).select(*keys).first()
+        edge = tuple(found) if found else None
+    if edge is None:
+        return F.lit(False)
+    return _up_to(columns, labels, edge, df)
+
+
 def with_split(
     df: DataFrame,
     key: str | Sequence[str],
@@ -120,15 +184,9 @@ def with_split(
     fraction: float = TRAIN_FRACTION,
     name: str = "split",
 ) -> DataFrame:
-    """Mark the first ``floor(n * fraction)`` rows ``train`` and the rest ``holdout``.
-
-    The product is taken in doubles: n = 90 gives 62, not 63.
-    """
-    ranked = global_rank(df, key, seed, "_rank", "_rows")
-    cut = F.floor(F.col("_rows") * F.lit(float(fraction)))
-    return ranked.withColumn(
-        name, F.when(F.col("_rank") <= cut, F.lit("train")).otherwise(F.lit("holdout"))
-    ).drop("_rank", "_rows")
+    """Mark every row ``train`` or ``holdout``; see ``is_train``."""
+    train = is_train(df, key, seed, fraction)
+    return df.withColumn(name, F.when(train, F.lit("train")).otherwise(F.lit("holdout")))
 
 
 def split(
@@ -140,7 +198,8 @@ def split(
 ) -> DataFrame:
     if part not in ("train", "holdout"):
         raise ValueError(f"part must be 'train' or 'holdout', not {part!r}")
-    return with_split(df, key, seed, fraction, "_split").where(F.col("_split") == part).drop("_split")
+    train = is_train(df, key, seed, fraction)
+    return df.where(train if part == "train" else ~train)
 
 
 def limit_n(df: DataFrame, order: str | Sequence[str], n: int | None) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from traceforge.constants import QWEN_TURN_END, RESPONSE_MARKERS, TRAINING_MAX_LENGTH
+from traceforge.constants import QWEN_TURN_END, TRAINING_MAX_LENGTH
 from traceforge.operators.encoding import (
     chat_tokens,
     encode,
@@ -45,6 +45,3 @@ def trace_training_rows(traces: DataFrame, key: Sequence[str], trace: str = "tra
 def mean_vectors(df: DataFrame, vector: str, weight: str | None, by: Sequence[str]) -> DataFrame:
     """Weighted mean vector per name with its norms."""
     return vector_norms(vector_mean(df, vector, weight, by), "mean")
-
-
-assert TEMPLATE_TOKENS[0] + TEMPLATE_TOKENS[1] + "\n" == RESPONSE_MARKERS["qwen"]
