@@ -90,6 +90,13 @@ def test_sources(spark):
             load_problems(spark, wrong, sources)
 
 
+def test_subjects_are_all_read(spark):
+    from traceforge.sources.problems import subject_subsets
+
+    out = subject_subsets(lambda name: spark.createDataFrame([(len(name),)], "n int"))
+    assert out.count() == 7 and all(r.n == len(r.subset) for r in out.collect())
+
+
 def test_only_direct_replies_pair(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "user", "r"), (1, 2, "assistant", "a"), (2, 0, "assistant", "b"), (2, 1, "user", "c")]
     out = exchanges(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))

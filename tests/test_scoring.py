@@ -115,7 +115,7 @@ def test_lookups_with_a_hot_key(spark, head_rows):
     expected = facts.join(table, "k", "left").select("k", "i", "v")
     for out in (
         lookup.lookup(facts, table, ["k"], "n", head_rows),
-        lookup.lookup(facts, table, ["k"], "n", head_bytes=4),
+        lookup.lookup(facts, table, ["k"], "n", head_bytes=25),
         lookup.skewed_lookup(facts, table, ["k"], head_rows),
     ):
         got = out.select("k", "i", "v")
@@ -145,3 +145,12 @@ def test_key_coverage(spark):
     with pytest.raises(ValueError, match="keys differ"):
         coverage.assert_key_coverage(a, b, ["k"])
     coverage.assert_key_coverage(a, a, ["k"])
+
+
+def test_only_small_tables_are_collected(spark):
+    from traceforge.workspace import row_bytes, small_or_none
+
+    df = spark.createDataFrame([("ab", 1, ["x"]), (None, 2, None)], "s string, i int, a array<string>")
+    assert [r[0] for r in df.select(row_bytes(df)).collect()] == [2 + 8 + len('{"a":["x"]}'), 8 + len("{}")]
+    assert small_or_none(df, 2).collect() == df.collect()
+    assert small_or_none(df, 1) is None and small_or_none(df, 2, 20) is None

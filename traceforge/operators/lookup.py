@@ -7,21 +7,18 @@ from collections.abc import Sequence
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from traceforge.workspace import SMALL_BYTES, SMALL_ROWS, materialise, small_or_none
+from traceforge.workspace import SMALL_BYTES, SMALL_ROWS, materialise, row_bytes, small_or_none
 
 
-def _heavy_cut(
-    table: DataFrame, on: Sequence[str], weight: str, head_rows: int, head_bytes: int
-) -> int | None:
-    """Smallest weight ``c`` such that the keys heavier than ``c`` are at most
-    ``head_rows`` and ``head_bytes``; None when all keys are.
+def _heavy_cut(table: DataFrame, weight: str, head_rows: int, head_bytes: int) -> int | None:
+    """Smallest weight ``c`` such that the rows heavier than ``c`` stay within
+    ``head_rows`` and ``head_bytes``; None when all rows do.
 
     Read off a histogram of the weights. Distinct weights are few, and no more
     than ``head_rows + 1`` of them are collected.
     """
-    key_bytes = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in on), F.lit(0))
     top = (
-        table.select(weight, key_bytes.alias("_bytes"))
+        table.select(weight, row_bytes(table).alias("_bytes"))
         .groupBy(weight)
         .agg(F.count(F.lit(1)).alias("_rows"), F.sum("_bytes").alias("_bytes"))
         .orderBy(F.desc(weight))
@@ -46,13 +43,13 @@ def lookup(
 ) -> DataFrame:
     """Left-join ``table`` to ``facts`` on ``on``; ``weight`` counts facts per key.
 
-    A table within ``head_rows`` and ``head_bytes`` of keys is broadcast whole.
+    A table within ``head_rows`` and ``head_bytes`` is broadcast whole.
     Above that only its heaviest keys are, so their facts stay where they are;
     every other key holds a small share of the facts and is shuffled. ``table``
     is read several times and should be a written table.
     """
     on = list(on)
-    cut = _heavy_cut(table, on, weight, head_rows, head_bytes)
+    cut = _heavy_cut(table, weight, head_rows, head_bytes)
     values = [c for c in table.columns if c not in on]
     if cut is None:
         return facts.join(F.broadcast(table), on, "left")

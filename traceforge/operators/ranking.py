@@ -220,20 +220,27 @@ def with_shard(
 ) -> DataFrame:
     """Shard number 0..shards-1 per row.
 
-    Contiguous shards differ by at most one row, the larger ones first;
-    otherwise row i goes to shard ``i mod shards``.
+    Contiguous shards differ by at most one row, the larger ones first: only
+    keys are ordered, to find where each shard starts, and rows are compared
+    with those edges where they are. Otherwise row i goes to shard
+    ``i mod shards``, which needs every row's position.
     """
-    ranked = stored_rank(df, order, "_rank", "_rows").withColumn("_rank", F.col("_rank") - 1)
-    if contiguous:
-        base = F.floor(F.col("_rows") / shards)
-        larger = F.col("_rows") % shards
-        edge = larger * (base + 1)
-        shard = F.when(
-            F.col("_rank") < edge, F.floor(F.col("_rank") / (base + 1))
-        ).otherwise(larger + F.floor((F.col("_rank") - edge) / F.greatest(base, F.lit(1))))
-    else:
-        shard = F.col("_rank") % shards
-    return ranked.withColumn(name, shard.cast("int")).drop("_rank", "_rows")
+    keys = names(order)
+    if not contiguous:
+        ranked = stored_rank(df, keys, "_rank")
+        return ranked.withColumn(name, ((F.col("_rank") - 1) % shards).cast("int")).drop("_rank")
+    ranked = stored_rank(df.select(*keys), keys, "_rank")
+    base, larger = divmod(ranked.count(), shards)
+    starts = [s * base + min(s, larger) + 1 for s in range(1, shards)]
+    edges = ranked.where(F.col("_rank").isin(starts)).orderBy("_rank").select(*keys).collect()
+    row = F.struct(*keys)
+    if not edges:
+        return df.withColumn(name, F.lit(0))
+    types = [df.schema[k].dataType for k in keys]
+    listed = F.array(
+        *[F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(e, types, keys)]) for e in edges]
+    )
+    return df.withColumn(name, F.size(F.filter(listed, lambda start: start <= row)))
 
 
 def with_batch(

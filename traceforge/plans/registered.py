@@ -30,7 +30,6 @@ QUERIES: dict[str, Query] = {}
 SEED = 42
 PRICE_THRESHOLD = 2.5
 TRACE_THRESHOLD = 3.64
-CLIP = 300  # length cap shown by the truncation queries
 TEMPLATE = [2, 3]  # id pair searched in the word-length arrays
 
 
@@ -186,8 +185,8 @@ def truncate(spark, sf_dir):
     ids = fx.document_ids(spark, sf_dir)
     return ids.select(
         "doc_id",
-        tokens.is_truncated(F.col("ids"), CLIP).alias("was_truncated"),
-        tokens.truncate(F.col("ids"), CLIP).alias("ids"),
+        tokens.is_truncated(F.col("ids")).alias("was_truncated"),
+        tokens.truncate(F.col("ids")).alias("ids"),
     ).withColumn("ids", joined("ids"))
 
 
@@ -205,7 +204,7 @@ def validate_training_rows(spark, sf_dir):
 @register
 def training_rows(spark, sf_dir):
     pairs = fx.conversation_pairs(spark, sf_dir)
-    rows = training.chat_training_rows(pairs, ["conv_id", "turn"], max_length=CLIP)
+    rows = training.chat_training_rows(pairs, ["conv_id", "turn"])
     return rows.select(
         "conv_id", "turn", joined("input_ids"), "was_truncated", joined("labels"), "problem_found"
     )

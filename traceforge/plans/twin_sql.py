@@ -9,6 +9,7 @@ from traceforge.constants import (
     RESPONSE_MARKERS,
     SYSTEM_PROMPT,
     TRAIN_FRACTION,
+    TRAINING_MAX_LENGTH,
 )
 
 SEED = 42
@@ -211,7 +212,7 @@ TRAINING = f"""pairs as ({PAIRS}), t as (select conv_id, turn, {words(
   tail as (select *, (select id from v where token = '<|im_end|>') as eos, (select id from v where token = '<|im_start|>') as t0,
     (select id from v where token = 'assistant') as t1 from e),
   s as (select *, ids[1:greatest(1, list_max(list_filter(range(1, len(ids) + 1), lambda p: ids[p] <> eos)))] as kept from tail),
-  c as (select *, kept[1:300] as cut from s),
+  c as (select *, kept[1:{TRAINING_MAX_LENGTH}] as cut from s),
   l as (select *, list_max(list_filter(range(1, len(cut)), lambda p: cut[p] = t0 and cut[p + 1] = t1)) as found from c)"""
 
 
@@ -267,12 +268,12 @@ ORACLE: dict[str, str] = {
     "strip_trailing": f"""with i as (select doc_id, list_concat(ids, [9, 9]) as ids from ({DOC_IDS})),
       s as (select doc_id, ids[1:greatest(1, coalesce(list_max(list_filter(range(1, len(ids) + 1), lambda p: ids[p] <> 9)), 0))] as ids from i)
       select doc_id, {as_text('ids')} as ids, len(ids)::INT as length from s""",
-    "truncate": f"""select doc_id, len(ids) > 300 as was_truncated, {as_text('ids[1:300]')} as ids from ({DOC_IDS})""",
+    "truncate": f"""select doc_id, len(ids) > {TRAINING_MAX_LENGTH} as was_truncated, {as_text(f'ids[1:{TRAINING_MAX_LENGTH}]')} as ids from ({DOC_IDS})""",
     "completion_mask": f"""with i as (select *, {masked('ids')} as found from ({DOC_IDS}))
       select doc_id, {as_text("list_transform(ids, lambda x, j: case when j > found + 1 and x <> 1 then x else -100 end)")} as labels from i""",
     "validate_training_rows": f"""select case when len(ids) = 0 then 'empty' when {masked('ids')} is null then 'no template' else 'ok' end
         as reason, count(*) as rows from ({DOC_IDS}) group by 1""",
-    "training_rows": f"""with {TRAINING} select conv_id, turn, {as_text('cut')} as input_ids, len(kept) > 300 as was_truncated,
+    "training_rows": f"""with {TRAINING} select conv_id, turn, {as_text('cut')} as input_ids, len(kept) > {TRAINING_MAX_LENGTH} as was_truncated,
         {as_text("list_transform(cut, lambda x, j: case when j > found + 1 then x else -100 end)")} as labels,
         case when found is null then 'no template' end as problem_found from l""",
     "extract_answers": f"""with f as (select o_orderkey as problem_id, case o_orderkey % 6

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from traceforge.constants import MATH_SUBJECTS
 from traceforge.functions.text import format_mcq, mcq_solution
 from traceforge.operators.ranking import split
 
@@ -56,6 +57,11 @@ def concat_subsets(subsets: Mapping[str, DataFrame], name: str = "subset") -> Da
     return reduce(lambda a, b: a.unionByName(b), marked)
 
 
+def subject_subsets(read: Callable[[str], DataFrame]) -> DataFrame:
+    """The competition-maths subjects, each read by name, in their fixed order."""
+    return concat_subsets({subject: read(subject) for subject in MATH_SUBJECTS})
+
+
 def as_problems(df: DataFrame, key: str, problem: str, solution: str) -> DataFrame:
     """Rename a question/answer table and keep nothing else."""
     return df.select(

@@ -5,9 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-# Most rows, and bytes of keys, that are ever broadcast or collected. Whatever
+# Most rows, and bytes of them, that are ever broadcast or collected. Whatever
 # may be larger is counted first and shuffled when it does not fit.
 SMALL_ROWS = 400_000
 SMALL_BYTES = 64 << 20
@@ -77,10 +77,29 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def small_or_none(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
-    """``df`` as a local table marked for broadcast, or None above ``max_rows``."""
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds: texts by length, nested values by their JSON."""
+
+    def size(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            nested = F.to_json(F.struct(F.col(f"`{field.name}`")))
+            return F.octet_length(nested)
+        return F.lit(8)
+
+    return sum((size(f) for f in df.schema.fields), F.lit(0)).cast("long")
+
+
+def small_or_none(
+    df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES
+) -> DataFrame | None:
+    """``df`` as a local table marked for broadcast, or None when it is too large.
+
+    Rows are counted first, then their bytes, and only then are they collected.
+    """
+    if df.count() > max_rows:
+        return None
+    if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) > max_bytes:
         return None
-    local = df.sparkSession.createDataFrame(table, schema=df.schema)
-    return F.broadcast(local)
+    return F.broadcast(df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema))
