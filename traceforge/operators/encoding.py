@@ -18,18 +18,22 @@ from traceforge.functions.tokens import (
 )
 from traceforge.operators.lookup import lookup, skewed_lookup
 from traceforge.operators.ranking import stored_rank
-from traceforge.workspace import SMALL_ROWS, materialise
+from traceforge.workspace import SMALL_ROWS
 
 UNKNOWN_ID = 0
 
 
 def vocabulary(df: DataFrame, tokens: str) -> DataFrame:
-    """``token, n, id``: ids 1, 2, … by descending count, then by token. Written once."""
+    """``token, n, id``: ids 1, 2, … by descending count, then by token.
+
+    The counts are written once in that order; reading the result only adds the
+    offsets of their slices.
+    """
     counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("n")
     )
     ranked = stored_rank(counts, [F.desc("n"), "token"], "id")
-    return materialise(ranked.withColumn("id", F.col("id").cast("int")), "vocabulary")
+    return ranked.withColumn("id", F.col("id").cast("int"))
 
 
 def encode(
