@@ -10,11 +10,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from traceforge.llm.common import HASHES, in_chunks, rolled, scrambled, words
+from traceforge.llm.common import in_chunks, scrambled, words
 
 # Words of a minimiser, characters deduplicated before anything is shuffled,
 # characters of text per bucket.
-MINIMISER, CHUNK_CHARS, BUCKET_CHARS = 4, 24 << 20, 3 << 20
+MINIMISER, CHUNK_CHARS, BUCKET_CHARS = 3, 6 << 20, 2 << 20
+# A hash sums a random number per byte value times a power of an odd number.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256).astype(np.uint64)
+_POWERS = [np.ones(1, np.uint64)]
 PACKED = "bucket int, texts binary, docs binary, starts binary, sizes binary"
 SPANS = "doc_id long, start int, stop int"
 
@@ -28,22 +32,35 @@ def _sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2^64, kept from call to call."""
+    if len(_POWERS[0]) < n:
+        factors = np.full(n, BASE)
+        factors[0] = 1
+        _POWERS[0] = np.multiply.accumulate(factors)
+    return _POWERS[0]
+
+
 class _Words:
-    """The words of several pieces of documents, joined once, with the windows that lie in one piece."""
-
-    def __init__(self, pieces: list[list[bytes]], docs: np.ndarray, starts: np.ndarray, window: int) -> None:
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        sequence = [w for piece in pieces for w in piece]
-        self.joined = b" ".join(sequence)
-        self.ends = np.cumsum(np.fromiter(map(len, sequence), np.int64, len(sequence)) + 1) - 1
-        self.begins = np.concatenate(([0], self.ends[:-1] + 1)) if sequence else self.ends
-        self.hashes, self.window = HASHES.of(sequence), window
-        piece = np.repeat(np.arange(len(pieces)), sizes)
-        inside = np.arange(len(sequence)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    """Words of several pieces of documents, joined by single blanks, with the windows that lie in one piece.
+
+    ``first`` holds for every such window (``valid``, by its first word) the
+    first one with the same words; pieces come in the order of (document, start).
+    """
+
+    def __init__(self, joined: bytes, sizes: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int) -> None:
+        self.joined, self.window = joined, window
+        data = np.frombuffer(joined, np.uint8)
+        self.ends = np.append(np.flatnonzero(data == 32), len(data))
+        self.begins = np.concatenate(([0], self.ends[:-1] + 1))
+        self.powers = _powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTES[data] * self.powers[: len(data)], out=self.sums[1:])
+        piece = np.repeat(np.arange(len(sizes)), sizes)
+        inside = np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.valid = np.flatnonzero(inside + window <= sizes[piece])
         self.doc, self.start = docs[piece], starts[piece] + inside
-        keys = rolled(self.hashes, window)
-        self.first = self._first(keys[self.valid])
+        self.first = self._first(self.range_hashes(window)[self.valid])
         if not self._same(self.first):
             self.first = self._first_by_text()
         repeats = self.first != self.valid
@@ -52,6 +69,11 @@ class _Words:
         )
         self.unique, self.removed = self.valid[~repeats], self.valid[repeats & ~same_place]
 
+    def range_hashes(self, size: int) -> np.ndarray:
+        """Polynomial hash of the bytes of each run of ``size`` words, wherever it stands."""
+        begins, ends = self.begins[: len(self.begins) - size + 1], self.ends[size - 1 :]
+        return scrambled((self.sums[ends] - self.sums[begins]) * self.powers[len(self.joined) - begins])
+
     def slice(self, a: int, b: int) -> bytes:
         return self.joined[self.begins[a] : self.ends[b - 1]]
 
@@ -106,7 +128,7 @@ def _packed_rows(chunk: _Words, buckets: int) -> Iterator[tuple]:
     at = chunk.unique
     if not len(at):
         return
-    grams = scrambled(rolled(chunk.hashes, min(MINIMISER, chunk.window)))
+    grams = chunk.range_hashes(min(MINIMISER, chunk.window))
     least = _sliding_min(grams, chunk.window - min(MINIMISER, chunk.window) + 1)[at]
     cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(least.view(np.int64)) != 0)) + 1
     lows, highs = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])) - 1
@@ -120,7 +142,7 @@ def _packed_rows(chunk: _Words, buckets: int) -> Iterator[tuple]:
         text = b"\n".join([chunk.joined[s:e] for s, e in zip(begin, end, strict=True)])
         yield (
             int(bucket[runs[0]]),
-            zstandard.compress(text, 1),
+            zstandard.compress(text, 3),
             _squeezed(chunk.doc[a[runs]]),
             _squeezed(chunk.start[a[runs]].astype(np.int32)),
             _squeezed((b - a)[runs].astype(np.int32)),
@@ -143,37 +165,36 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in in_chunks(batches, "doc_id", "text", CHUNK_CHARS):
             order = np.argsort(np.array(ids, np.int64), kind="stable")
-            pieces = [words(texts[i]) for i in order]
-            long = [i for i, piece in enumerate(pieces) if len(piece) >= window]
-            if not long:
+            pieces = [b" ".join(words(texts[i])) for i in order]
+            sizes = np.array([piece.count(b" ") + bool(piece) for piece in pieces], np.int64)
+            long = np.flatnonzero(sizes >= window)
+            if not len(long):
                 continue
-            chunk = _Words(
-                [pieces[i] for i in long], np.array(ids, np.int64)[order][long], np.zeros(len(long), np.int64), window
+            joined = b" ".join([pieces[i] for i in long])
+            docs_ = np.array(ids, np.int64)[order][long]
+            chunk = _Words(joined, sizes[long], docs_, np.zeros(len(long), np.int64), window)
+            columns = zip(*_packed_rows(chunk, buckets), strict=True)
+            types = [pa.int32()] + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                ["bucket", "texts", "docs", "starts", "sizes"],
             )
-            for row in _packed_rows(chunk, buckets):
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(("bucket", "texts", "docs", "starts", "sizes"), row, strict=True))],
-                    pa.schema(
-                        [("bucket", pa.int32())] + [(n, pa.binary()) for n in ("texts", "docs", "starts", "sizes")]
-                    ),
-                )
 
     def count(table: pa.Table) -> pa.Table:
-        known, pieces, docs_, starts_ = [], [], [], []
-        open_ = zstandard.decompress
+        known, pieces, parts = [], [], []
+        open_ = lambda data, kind: np.frombuffer(zstandard.decompress(data), kind)
         for row in table.to_pylist():
-            ids, at = np.frombuffer(open_(row["docs"]), np.int64), np.frombuffer(open_(row["starts"]), np.int32)
+            ids, at, size = open_(row["docs"], np.int64), open_(row["starts"], np.int32), open_(row["sizes"], np.int32)
             if row["texts"] is None:
-                known.append((ids, at, at + np.frombuffer(open_(row["sizes"]), np.int32)))
+                known.append((ids, at, at + size))
                 continue
-            pieces += open_(row["texts"]).split(b"\n")
-            docs_.append(ids)
-            starts_.append(at)
+            pieces += zstandard.decompress(row["texts"]).split(b"\n")
+            parts.append((ids, at.astype(np.int64), size.astype(np.int64)))
         if pieces:
-            ids, at = np.concatenate(docs_), np.concatenate(starts_)
+            ids, at, size = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.lexsort((at, ids))
-            found = _Words([pieces[i].split() for i in order], ids[order], at[order], window)
-            known.append(found.removed_spans())
+            joined = b" ".join([pieces[i] for i in order.tolist()])
+            known.append(_Words(joined, size[order], ids[order], at[order], window).removed_spans())
         columns = [np.concatenate(c) for c in zip(*known, strict=True)] if known else [[], [], []]
         return pa.table(
             {
