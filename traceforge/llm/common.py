@@ -78,6 +78,17 @@ def in_chunks(
         yield keys, texts
 
 
+def in_sizes(texts: list[str], max_chars: int) -> Iterator[list[str]]:
+    """Consecutive texts of about ``max_chars`` characters together; one longer text alone."""
+    begin, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > begin and size + len(text) > max_chars:
+            yield texts[begin:i]
+            begin, size = i, 0
+        size += len(text)
+    yield texts[begin:]
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder, which survives lost executors."""
     context = df.sparkSession.sparkContext

@@ -12,10 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from traceforge.llm.common import in_sizes
 from traceforge.workspace import materialise
 
-# Pieces between blanks that a worker remembers, and the longest of them.
-CACHE_PIECES, CACHE_LENGTH = 1 << 20, 64
+# Pieces between blanks that a worker remembers, the longest of them, pieces
+# encoded in one call, and characters cut into pieces at once.
+CACHE_PIECES, CACHE_LENGTH, GROUP, CHUNK_CHARS = 1 << 20, 64, 256, 2 << 20
+# How a byte-level vocabulary writes a blank.
+BLANK = "\u0120"
 
 
 class BlankCutEncoder:
@@ -28,44 +32,66 @@ class BlankCutEncoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.opens = np.zeros(size, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(BLANK)]] = True
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in encoded]
-
-    def __call__(self, text: str) -> bytes:
-        head, *pieces = text.split(" ")
-        if not pieces:
-            return self._encode([head])[0]
-        found = [*map(self.known.get, pieces)]
-        if None in found:
-            unknown = {p for p, ids in zip(pieces, found, strict=True) if ids is None}
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in unknown):
-                return self._slowly(text)
-            fresh = dict(zip(unknown, self._encode([" " + p for p in unknown]), strict=True))
-            found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-            if len(self.known) + len(fresh) > CACHE_PIECES:
-                self.known.clear()
-            self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHE_LENGTH)
-        if not head or head[-1].isspace():
-            return self._slowly(text)
-        return self._encode([head])[0] + b"".join(found)
+        return [np.array(e.ids, self.kind) for e in encoded]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, each after a blank; many in one call, parted where an id opens with a blank."""
+        groups = [pieces[i : i + GROUP] for i in range(0, len(pieces), GROUP)]
+        out: dict[str, bytes] = {}
+        width = self.kind.itemsize
+        for group, ids in zip(groups, self._encode(["".join(" " + p for p in g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) != len(group):
+                out.update(zip(group, (i.tobytes() for i in self._encode([" " + p for p in group])), strict=True))
+                continue
+            data, at = ids.tobytes(), [*(cuts * width).tolist(), len(ids) * width]
+            out.update((p, data[a:b]) for p, a, b in zip(group, at[:-1], at[1:], strict=True))
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
+        cut = [text.split(" ") for text in texts]
+        heads = self._encode([pieces.pop(0) for pieces in cut])
+        unknown = set().union(*cut).difference(self.known)
+        self.known.update(self._learn([p for p in unknown if p and not p[0].isspace() and not p[-1].isspace()]))
+        ids_of, out = self.known.__getitem__, []
+        for text, pieces, head in zip(texts, cut, heads, strict=True):
+            try:
+                ids = head.tobytes() + b"".join(map(ids_of, pieces))
+            except KeyError:  # blanks in a row or at an edge
+                ids = self._slowly(text)
+            else:
+                if pieces and (text[0] == " " or text[: text.index(" ")][-1].isspace()):
+                    ids = self._slowly(text)
+            out.append(ids)
+        for piece in unknown:
+            if len(piece) > CACHE_LENGTH:
+                self.known.pop(piece, None)
+        return out
 
     def _slowly(self, text: str) -> bytes:
         """Join pieces again where a blank is not alone, then encode piece by piece."""
         parts: list[list[str]] = []
         for piece in text.split(" "):
             last = parts[-1][-1] if parts else ""
-            if parts and last and piece and not last[-1].isspace() and not piece[0].isspace():
+            if last and piece and not last[-1].isspace() and not piece[0].isspace():
                 parts.append([piece])
             elif parts:
                 parts[-1].append(piece)
             else:
                 parts.append([piece])
         joined = [" " * (i > 0) + " ".join(p) for i, p in enumerate(parts)]
-        return b"".join(self._encode(joined))
+        return b"".join(ids.tobytes() for ids in self._encode(joined))
 
 
 @lru_cache(maxsize=2)
@@ -85,7 +111,8 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1) ->
         encode, part, before = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.array([end_id], encode.kind).tobytes()
         for batch in batches:
-            ids = [encode(t.as_py() or "") + end for t in batch.column("text")]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids = [i + end for part in in_sizes(texts, CHUNK_CHARS) for i in encode(part)]
             sizes = np.array([len(i) // encode.kind.itemsize for i in ids], np.int64)
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
