@@ -147,12 +147,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     rates = F.when(F.col("_id").isNull(), share(plain)).when(F.col("quality") == 1, share(ones)).otherwise(share(marked - ones))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    # at most about three samples of ids, so they may go to every task; the texts stay where they are
     drawn = (
-        rows.where(part < max(share(plain), share(ones), share(marked - ones)))
+        rows.select("doc_id")
+        .distinct()
         .join(marks, F.col("doc_id") == F.col("_id"), "left")
         .where(part < rates)
-        .select(F.when(F.col("_id").isNull(), -1).otherwise((F.col("quality") == 1).cast("int")).alias("kind"), "text")
+        .select("doc_id", F.when(F.col("_id").isNull(), -1).otherwise((F.col("quality") == 1).cast("int")).alias("kind"))
     )
+    drawn = rows.join(F.broadcast(drawn), "doc_id").select("kind", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
