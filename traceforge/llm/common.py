@@ -6,13 +6,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from traceforge.workspace import scratch_root
 
-# Entries of a per-worker word table before it starts anew.
-CACHE_WORDS = 1 << 20
+# A hash of bytes sums a random number per byte value times a power of an odd number.
+BASE = 0x9E3779B97F4A7C15
+BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256).astype(np.uint64)
+_POWERS = {BASE: np.ones(1, np.uint64), pow(BASE, -1, 1 << 64): np.ones(1, np.uint64)}
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -21,22 +22,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hash by word, remembered for words seen before."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, sequence: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, sequence), np.uint64, len(sequence))
-
-
-HASHES = WordHashes()
-
-
 def scrambled(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(31))) * MULTIPLIER
     return values ^ (values >> np.uint64(29))
@@ -60,6 +45,43 @@ def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
         width *= 2
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2^64, kept from call to call."""
+    if len(_POWERS[base]) < n:
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        _POWERS[base] = np.multiply.accumulate(factors)
+    return _POWERS[base][:n]
+
+
+class RangeHashes:
+    """Hashes of parts of ``data``; equal bytes have equal hashes in any data."""
+
+    def __init__(self, data: bytes) -> None:
+        values = BYTES[np.frombuffer(data, np.uint8)]
+        values *= _powers(BASE, len(data))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values, out=self.sums[1:])
+
+    def of(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        back = _powers(pow(BASE, -1, 1 << 64), len(self.sums))
+        return scrambled((self.sums[ends] - self.sums[begins]) * back[begins])
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of anything but blanks (byte 32)."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = np.frombuffer(data, np.uint8) != 32
+    edges = np.diff(inside)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def word_hashes(sequence: list[bytes]) -> np.ndarray:
+    """One hash per word, as ``RangeHashes`` gives it."""
+    joined = b" ".join(sequence)
+    return RangeHashes(joined).of(*word_bounds(joined))
+
+
 def in_chunks(
     batches: Iterable[pa.RecordBatch], key: str, text: str, max_chars: int
 ) -> Iterator[tuple[list, list]]:

@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from traceforge.llm.common import HASHES, rolled, scrambled
+from traceforge.llm.common import RangeHashes, rolled, scrambled, word_bounds, word_hashes
 
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+# Every byte but a letter's or digit's is a blank.
+SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 # Shortest item searched for, and its edits per word: two texts with a fifth of
 # their words edited are four fifths alike.
 LEAST_WORDS, EDIT_SHARE = 8, 0.2
 # Random walks, samples per walk, positions per sample; an embedding's length per word.
 WALKS, SAMPLES, POSITIONS, STRETCH = 8, 4, 3, 3
 # Bytes of item text searched for in one pass over the documents; characters looked at together.
-ITEM_BYTES, CHUNK_CHARS = 8 << 20, 4 << 20
+ITEM_BYTES, CHUNK_CHARS = 8 << 20, 1 << 20
 TABLE_BITS = 22
 
 
 def normal_words(text: str | None) -> list[bytes]:
     """Lower-cased runs of letters and digits."""
-    return WORD.findall(text.lower().encode()) if text else []
+    return spaced(text).split()
+
+
+def spaced(text: str | None) -> bytes:
+    return text.lower().encode().translate(SPACED) if text else b""
 
 
 def _draw(*numbers: int) -> np.uint64:
@@ -95,7 +99,7 @@ class Finder:
         seeds: dict[int, list[tuple[int, int, int]]] = {}
         for i, (_, sequence) in enumerate(self.items):
             cuts = np.linspace(0, len(sequence), self.edits[i] + 2).astype(int)
-            hashes = HASHES.of(sequence)
+            hashes = word_hashes(sequence)
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 key = int(rolled(hashes[low:high], int(high - low))[0])
                 seeds.setdefault(int(high - low), []).append((key, i, int(low)))
@@ -108,7 +112,7 @@ class Finder:
         self.keys: dict[int, dict[tuple[int, int], set[int]]] = {}
         for i, (_, sequence) in enumerate(self.items):
             n = len(sequence)
-            own = lsh_keys(HASHES.of(sequence)[None], np.array([n]), n)[0]
+            own = lsh_keys(word_hashes(sequence)[None], np.array([n]), n)[0]
             for at, key in enumerate(own.tolist()):
                 self.keys.setdefault(n, {}).setdefault((at, key), set()).add(i)
 
@@ -137,12 +141,13 @@ class Finder:
         found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         if not self.items:
             return found
-        pieces = [normal_words(text) for text in texts]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        sequence = [w for piece in pieces for w in piece]
-        hashes = HASHES.of(sequence)
-        stops = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(pieces)), sizes)
+        pieces = [spaced(text) for text in texts]
+        data = b" ".join(pieces)
+        begins, ends = word_bounds(data)
+        hashes = RangeHashes(data).of(begins, ends)
+        stops = np.searchsorted(begins, np.cumsum([len(piece) + 1 for piece in pieces]))
+        sizes = np.diff(stops, prepend=0)
+        owner = np.repeat(np.arange(len(texts)), sizes)
         begin, end = np.repeat(stops - sizes, sizes), np.repeat(stops, sizes)
         for n, windows in self._windows(hashes, begin, end).items():
             ordered = sorted(windows)
@@ -160,7 +165,8 @@ class Finder:
                         continue
                     tried.add((text, i, start // max(1, k)))
                     low = max(first, start - 2 * k)
-                    distance, to = best_match(self.items[i][1], sequence[low : min(int(end[start]), start + n + 2 * k)])
+                    high = min(int(end[start]), start + n + 2 * k)
+                    distance, to = best_match(self.items[i][1], data[begins[low] : ends[high - 1]].split())
                     if distance <= k and distance < found[text].get(i, (k + 1, 0))[0]:
                         found[text][i] = (distance, low + to - first)
         return found

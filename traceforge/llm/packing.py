@@ -17,7 +17,7 @@ from traceforge.workspace import materialise
 
 # Pieces between blanks that a worker remembers, the longest of them, pieces
 # encoded in one call, and characters cut into pieces at once.
-CACHE_PIECES, CACHE_LENGTH, GROUP, CHUNK_CHARS = 1 << 20, 64, 256, 2 << 20
+CACHE_PIECES, CACHE_LENGTH, GROUP, CHUNK_CHARS = 1 << 19, 64, 256, 2 << 20
 # How a byte-level vocabulary writes a blank.
 BLANK = "\u0120"
 

@@ -9,18 +9,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from traceforge.llm.common import HASHES
+from traceforge.llm.common import RangeHashes, word_bounds
 
 # Most rows of a class that are learned from, bins of a feature, gradient steps.
 SAMPLE, BINS, STEPS = 10_000, 16, 1500
 FEATURES = 18
+BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)
 
 
 def features(text: str | None) -> np.ndarray:
     """Shape of a text: what its characters, words and lines are like and how often they repeat."""
     data = (text or "").encode()
-    sequence = data.split()
-    n = len(sequence)
+    spaced = data.translate(BLANKS)
+    begins, ends = word_bounds(spaced)
+    n = len(begins)
     if not n:
         return np.zeros(FEATURES)
     seen = np.bincount(np.frombuffer(data, np.uint8), minlength=256).astype(float)
@@ -30,11 +32,11 @@ def features(text: str | None) -> np.ndarray:
     signs = seen[33:48].sum() + seen[58:65].sum() + seen[91:97].sum() + seen[123:127].sum()
     stops = seen[[33, 44, 46, 63]].sum()
     lines = [line for line in data.split(b"\n") if line.strip()]
-    hashes = HASHES.of(sequence)
-    size = np.fromiter(map(len, sequence), np.int64, n)
+    hashes, size = RangeHashes(spaced).of(begins, ends), ends - begins
     distinct = len(np.unique(hashes))
     grams = hashes[:-4] * np.uint64(3) + hashes[2:-2] * np.uint64(5) + hashes[4:] * np.uint64(7)
-    wide = np.array([len(line.split()) for line in lines])
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    wide = np.bincount(np.searchsorted(breaks, begins))
     return np.array(
         [
             np.log1p(n),
@@ -54,7 +56,7 @@ def features(text: str | None) -> np.ndarray:
             (hashes[1:] == hashes[:-1]).sum() / n,
             1 - len(np.unique(grams)) / max(1, len(grams)),
             1 - len(set(lines)) / max(1, len(lines)),
-            np.log1p(np.median(wide)),
+            np.log1p(np.median(wide[wide > 0])),
         ]
     )
 

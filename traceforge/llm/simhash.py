@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -79,45 +80,52 @@ def _ball_links(keys: DataFrame, width: int, neighbours: bool) -> DataFrame:
     apart meet at the key in between. At most ``width + 1`` keys meet there, all
     within two bits of each other, so a link to the smallest node of a meeting
     place joins them all; ``neighbours`` adds links along the order, for callers
-    whose verification may refuse some.
+    whose verification may refuse some. Keys of several tables must leave room
+    for the table's number above them.
     """
     ball = f"concat(array(key), transform(sequence(0, {width - 1}), j -> key ^ shiftleft(1L, j)))"
-    emitted = keys.select("table", "key", "node", F.explode(F.expr(ball)).alias("variant"))
-    place = Window.partitionBy("table", "variant").orderBy("node")
-    found = emitted.withColumn("other", F.first(F.struct("node", "key")).over(place))
+    place = F.col("variant") if width == 64 else F.shiftleft(F.col("table").cast("long"), width).bitwiseOR(F.col("variant"))
+    emitted = keys.withColumn("variant", F.explode(F.expr(ball))).select(place.alias("place"), "node")
+    met = Window.partitionBy("place").orderBy("node")
+    found = emitted.withColumn("other", F.first("node").over(met))
     if neighbours:
-        found = found.withColumn("before", F.lag(F.struct("node", "key")).over(place))
+        found = found.withColumn("before", F.lag("node").over(met)).where("other <> node")
         found = found.withColumn("other", F.explode(F.array_distinct(F.array("other", "before"))))
-    return (
-        found.where("other.node <> node and bit_count(key ^ other.key) <= 2")
-        .select(F.col("node").alias("a"), F.col("other.node").alias("b"))
-        .distinct()
-    )
+    return found.where("other <> node").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def plan_tables(documents: int, share: float = 0.12, recall: float = 0.95) -> tuple[int, int]:
+    """Key width and number of tables for so many documents.
+
+    A key is wide enough that unrelated documents rarely meet, whatever their
+    number; the tables are as many as it takes for two documents whose bits
+    differ with probability ``share`` to come within two bits in one of them
+    with probability ``recall``.
+    """
+    width = min(56, 4 * math.ceil(math.log2(30 * max(documents, 2)) / 4))
+    near = sum(math.comb(width, k) * share**k * (1 - share) ** (width - k) for k in range(3))
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - near))
 
 
 def near_duplicates(
-    docs: DataFrame,
-    shingle_words: int = 3,
-    parts: int = 1,
-    width: int = 64,
-    tables: int = 1,
-    max_distance: int = 2,
+    docs: DataFrame, shingle_words: int = 3, parts: int = 1, max_distance: float | None = None
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document with an id.
 
-    Fingerprints of 64 × ``parts`` bits link at ``max_distance`` or fewer
-    differing bits. Candidates are found in ``tables`` disjoint keys of
-    ``width`` bits (a multiple of four, at most 64), each by ball hashing with
-    radius two. With one table over the whole fingerprint and a distance of two
-    every link is found. Longer fingerprints reach lower similarities; then a
-    pair is a candidate if any of its keys is within two bits, and the whole
-    fingerprint verifies it.
+    Without ``max_distance``, 64-bit fingerprints link at two or fewer differing
+    bits, every link is found, and ``parts`` must be one. With it, fingerprints
+    of at least 64 × ``parts`` bits link at that share of differing bits: any of
+    several disjoint keys within two bits makes a pair a candidate (see
+    ``plan_tables``), and the whole fingerprint verifies it.
 
     A null or empty text has fingerprint zero and links like any other. Rows
     that share a doc_id are reported once each, in one group. Copies are
     collapsed by fingerprint, then by key, before anything is emitted.
     """
-    exact = tables == 1 and parts == 1 and width == 64
+    exact = max_distance is None
+    if not exact:
+        width, tables = plan_tables(docs.count())
+        parts = max(parts, -(-width * tables // 64))
     marked = settle(fingerprints(docs, shingle_words, parts))
     nodes = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
     if exact:
@@ -135,7 +143,7 @@ def near_duplicates(
         right = nodes.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb"))
         words_of = lambda f, i: F.conv(F.substr(F.hex(f), F.lit(16 * i + 1), F.lit(16)), 16, -10).cast("long")
         differing = sum(F.bit_count(words_of("fa", i).bitwiseXOR(words_of("fb", i))) for i in range(parts))
-        links = candidates.join(left, "a").join(right, "b").where(differing <= max_distance).select("a", "b")
+        links = candidates.join(left, "a").join(right, "b").where(differing <= int(64 * parts * max_distance)).select("a", "b")
     groups = connected_components(links)
     named = nodes.join(groups, nodes["node"] == groups["node"], "left").select(
         "fingerprint", F.coalesce("component", nodes["node"]).alias("component_id")

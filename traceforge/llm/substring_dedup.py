@@ -10,15 +10,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from traceforge.llm.common import in_chunks, scrambled, words
+from traceforge.llm.common import RangeHashes, in_chunks, scrambled, word_bounds, words
 
 # Words of a minimiser, characters deduplicated before anything is shuffled,
 # characters of text per bucket.
 MINIMISER, CHUNK_CHARS, BUCKET_CHARS = 3, 6 << 20, 2 << 20
-# A hash sums a random number per byte value times a power of an odd number.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256).astype(np.uint64)
-_POWERS = [np.ones(1, np.uint64)]
 PACKED = "bucket int, texts binary, docs binary, starts binary, sizes binary"
 SPANS = "doc_id long, start int, stop int"
 
@@ -32,15 +28,6 @@ def _sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def _powers(n: int) -> np.ndarray:
-    """Powers of an odd number modulo 2^64, kept from call to call."""
-    if len(_POWERS[0]) < n:
-        factors = np.full(n, BASE)
-        factors[0] = 1
-        _POWERS[0] = np.multiply.accumulate(factors)
-    return _POWERS[0]
-
-
 class _Words:
     """Words of several pieces of documents, joined by single blanks, with the windows that lie in one piece.
 
@@ -50,12 +37,8 @@ class _Words:
 
     def __init__(self, joined: bytes, sizes: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int) -> None:
         self.joined, self.window = joined, window
-        data = np.frombuffer(joined, np.uint8)
-        self.ends = np.append(np.flatnonzero(data == 32), len(data))
-        self.begins = np.concatenate(([0], self.ends[:-1] + 1))
-        self.powers = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTES[data] * self.powers[: len(data)], out=self.sums[1:])
+        self.begins, self.ends = word_bounds(joined)
+        self.hashes = RangeHashes(joined)
         piece = np.repeat(np.arange(len(sizes)), sizes)
         inside = np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.valid = np.flatnonzero(inside + window <= sizes[piece])
@@ -70,9 +53,8 @@ class _Words:
         self.unique, self.removed = self.valid[~repeats], self.valid[repeats & ~same_place]
 
     def range_hashes(self, size: int) -> np.ndarray:
-        """Polynomial hash of the bytes of each run of ``size`` words, wherever it stands."""
-        begins, ends = self.begins[: len(self.begins) - size + 1], self.ends[size - 1 :]
-        return scrambled((self.sums[ends] - self.sums[begins]) * self.powers[len(self.joined) - begins])
+        """Hash of each run of ``size`` words."""
+        return self.hashes.of(self.begins[: len(self.begins) - size + 1], self.ends[size - 1 :])
 
     def slice(self, a: int, b: int) -> bytes:
         return self.joined[self.begins[a] : self.ends[b - 1]]
