@@ -17,7 +17,7 @@ from traceforge.workspace import materialise
 
 # Pieces between blanks that a worker remembers, the longest of them, pieces
 # encoded in one call, and characters cut into pieces at once.
-CACHE_PIECES, CACHE_LENGTH, GROUP, CHUNK_CHARS = 1 << 19, 64, 256, 2 << 20
+CACHE_PIECES, CACHE_LENGTH, GROUP, CHUNK_CHARS = 1 << 18, 64, 256, 1 << 20
 # How a byte-level vocabulary writes a blank.
 BLANK = "\u0120"
 
@@ -132,11 +132,13 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1) ->
     return materialise(done, "tokens")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int | None = 1) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int | None = 1, with_ids: bool = True
+) -> DataFrame:
     """Pieces of all documents, laid end to end and cut into sequences of ``length`` ids.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
-    boundary, ids. Only the last sequence may be short. ``boundary`` marks the
+    boundary and, ``with_ids``, ids. Only the last sequence may be short. ``boundary`` marks the
     pieces of sequences that two or more tasks share; all others lie in one task.
     A null text is empty and holds only the end id; without an end id a document
     without ids has no piece. Rows with a null or repeated doc_id are packed like
@@ -171,10 +173,11 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int |
             ids = [np.frombuffer(b.as_buffer(), kind).astype("<u4") for b in batch.column("ids")]
             pieces = [ids[r][s : s + n] for r, s, n in zip(row.tolist(), start.tolist(), count.tolist(), strict=True)]
             boundary = (sequence * length < lows[row]) | ((sequence + 1) * length > highs[row])
-            flat = np.concatenate(pieces) if pieces else np.zeros(0, "<u4")
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(flat.astype(np.int32))
-            )
+            lists = []
+            if with_ids:
+                flat = np.concatenate(pieces) if pieces else np.zeros(0, "<u4")
+                edges = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(flat.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(row)),
@@ -185,16 +188,14 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int |
                     pa.array(sequence),
                     pa.array(begin - sequence * length),
                     pa.array(boundary),
-                    lists,
+                    *lists,
                 ],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "boundary", "ids"],
+                names + ["boundary"] + ["ids"] * with_ids,
             )
 
-    return tokens.mapInArrow(
-        run,
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-        "offset long, boundary boolean, ids array<int>",
-    )
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    schema = [f"{name} long" for name in names] + ["boundary boolean"] + ["ids array<int>"] * with_ids
+    return tokens.mapInArrow(run, ", ".join(schema))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

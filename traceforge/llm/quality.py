@@ -192,3 +192,14 @@ def score(docs: DataFrame, model: Model | None, kept: list[Column]) -> DataFrame
 
     schema = frame.drop("_text").schema.add("score", "double").add("predicted", "integer")
     return frame.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not reject (score 0.5 or more)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([features(t.as_py()) for t in batch.column("text")]).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(model.scores(rows) >= 0.5))
+
+    return docs if model is None else docs.mapInArrow(run, docs.schema)

@@ -37,7 +37,7 @@ def op2_simhash(spark, sf_dir):
 @register
 def op3_packing(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack(table(spark, sf_dir, "documents"), path).drop("ids", "boundary")
+    return packing.pack(table(spark, sf_dir, "documents"), path, with_ids=False).drop("boundary")
 
 
 @register
