@@ -94,7 +94,7 @@ def _ball_links(keys: DataFrame, width: int, neighbours: bool) -> DataFrame:
     return found.where("other <> node").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def plan_tables(documents: int, share: float = 0.12, recall: float = 0.95) -> tuple[int, int]:
+def plan_tables(documents: int, share: float = 0.11, recall: float = 0.95) -> tuple[int, int]:
     """Key width and number of tables for so many documents.
 
     A key is wide enough that unrelated documents rarely meet, whatever their
@@ -102,7 +102,7 @@ def plan_tables(documents: int, share: float = 0.12, recall: float = 0.95) -> tu
     differ with probability ``share`` to come within two bits in one of them
     with probability ``recall``.
     """
-    width = min(56, 4 * math.ceil(math.log2(30 * max(documents, 2)) / 4))
+    width = min(56, 4 * math.ceil(math.log2(500 * max(documents, 2)) / 4))
     near = sum(math.comb(width, k) * share**k * (1 - share) ** (width - k) for k in range(3))
     return width, math.ceil(math.log(1 - recall) / math.log(1 - near))
 
