@@ -8,7 +8,7 @@ from traceforge.llm.common import settle
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (smallest node reachable) of ``a, b`` links; isolated nodes do not occur.
+    """``node, component`` (smallest node reachable) of ``a, b`` links, but for each component's smallest node.
 
     Each round links all larger neighbours of a node to its smallest one, then
     all smaller neighbours, until only stars are left; the rounds grow with the

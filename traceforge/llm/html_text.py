@@ -145,15 +145,15 @@ def text_blocks(page: str) -> list[tuple[str, bool, str, int]]:
             elif name not in INLINE:
                 flush()
             continue
+        if name in RAW:
+            raw_end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            at = page.find(">", raw_end.end()) + 1 or end if raw_end else end
+            continue
         element = _Element(name, attributes, stack[-1])
         if element.block:
             flush()
         if attributes.endswith("/") and name in ("svg", "path"):
             continue
-        if name in RAW:
-            raw_end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
-            at = page.find(">", raw_end.end()) + 1 or end if raw_end else end
-            continue
         stack.append(element)
         opened[name] = opened.get(name, 0) + 1
     flush()
