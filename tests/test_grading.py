@@ -106,3 +106,27 @@ def test_forcing_can_turn_a_trace_right(spark):
     row = graded_traces(df, more).first()
     assert (row.is_raw_correct, row.is_af_correct) == (False, True)
     assert row.trace_af.endswith("4}\\]<|im_end|>") and row.trace_af.count("<|im_end|>") == 1
+
+
+def test_answers_that_look_alike_are_told_apart(spark):
+    box = "\\boxed{{{}}}".format
+    half, wrong = r"\frac{\sqrt{\frac{1}{2}}}{3}", r"\frac{\sqrt{\frac{5}{7}}}{3}"
+    rows = [
+        (box(half), box(wrong), False),
+        (box(half), box(half.replace("frac", "dfrac", 1)), True),
+        (box("3,4"), box("34"), False),
+        (box("(1,2)"), box("(12)"), False),
+        (box("(1,234)"), box("(1234)"), False),
+        (box("16777220"), box("16777216"), False),
+        (box("1e999"), box("5"), False),
+        ("18", "She earns 18, as shown", True),
+        (box("1,234,567"), box("1234567"), True),
+        (box("1,234.5"), box("1234.5"), True),
+        (box("007"), box("7"), True),
+        (box("0.5"), box("1/2"), True),
+        (box(r"\{1\}"), box(r"\{1\}"), True),
+        (box("x"), r"\boxed{x", False),
+    ]
+    frame = spark.createDataFrame(rows, "solution string, trace string, want boolean")
+    for row in grading.grade(frame, "trace", "solution").collect():
+        assert row["is_correct"] == row["want"], row

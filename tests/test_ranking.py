@@ -108,3 +108,10 @@ def test_examples_are_reproducible(spark, monkeypatch, top_rows):
     monkeypatch.setattr(ranking, "TOP_ROWS", top_rows)
     first = [r.k for r in ranking.example_rows(numbers(spark, 40), "k", 3, 1).collect()]
     assert sorted(first) == sorted(order(40, 1)[:3])
+
+
+def test_a_null_key_is_in_exactly_one_part(spark):
+    rows = spark.createDataFrame([(None,)] + [(i,) for i in range(9)], "k long")
+    for seed in (None, 3):
+        parts = [ranking.split(rows, "k", part, seed=seed).count() for part in ("train", "holdout")]
+        assert parts == [7, 3]

@@ -7,17 +7,35 @@ from pyspark.sql import Column, functions as F
 from traceforge.constants import ANSWER_FORCE_STRING
 
 # --- fixed values: answer formats ----------------------------------------
-# Text in braces down to three levels. Possessive repeats keep Java's matcher
-# from recursing on long answers; they accept the same texts.
-BOXED_PATTERN = r"\\boxed\{((?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+)\}"
-NUMBER_PATTERN = r"-?\d[\d,]*(?:\.\d+)?(?:/\d+)?"
+BRACE_PATTERN = r"(\\[{}]|[{}]|[^{}\\]++|\\)"
+NUMBER_PATTERN = r"-?\d+(?:,\d+)*(?:\.\d+)?(?:/\d+)?"
+INTEGER_PATTERN = r"^[+-]?\d+$"
 PLAIN_NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
 TOLERANCE = 1e-6
 
 
+def _balanced(piece: Column) -> Column:
+    """What stands before the brace that closes an open one, at any depth; null if none does.
+
+    Escaped braces are text.
+    """
+    tokens = F.regexp_extract_all(piece, F.lit(BRACE_PATTERN), F.lit(1))
+
+    def step(state: Column, token: Column) -> Column:
+        change = F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        depth = state["depth"] + F.when(state["depth"] > 0, change).otherwise(0)
+        size = state["size"] + F.when(depth > 0, F.length(token)).otherwise(0)
+        return F.struct(depth.alias("depth"), size.alias("size"))
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
+    end = F.aggregate(tokens, start, step)
+    return F.when(end["depth"] == 0, F.substring(piece, F.lit(1), end["size"]))
+
+
 def extract_answer(text: Column) -> Column:
     """Content of the last balanced box, else the last number, else null."""
-    boxed = F.regexp_extract_all(text, F.lit(BOXED_PATTERN), F.lit(1))
+    pieces = F.slice(F.split(text, r"\\boxed\{"), 2, F.greatest(F.size(F.split(text, r"\\boxed\{")) - 1, F.lit(0)))
+    boxed = F.filter(F.transform(pieces, _balanced), lambda box: box.isNotNull())
     numbers = F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), F.lit(0))
     return F.coalesce(
         F.try_element_at(boxed, F.lit(-1)), F.try_element_at(numbers, F.lit(-1))
@@ -27,7 +45,9 @@ def extract_answer(text: Column) -> Column:
 def normalise_answer(answer: Column) -> Column:
     """One spelling per answer: no spacing or sizing commands, plain fractions, lower case."""
     out = F.regexp_replace(answer, r"\\left|\\right|\\[!,$]|\$|\s+", "")
-    out = F.regexp_replace(out, r"(\d),(?=\d)", "$1")
+    # commas before groups of three digits, and none in brackets, so a list stays a list
+    joined = F.regexp_replace(out, r"(?<=\d),(?=\d{3}(?!\d))", "")
+    out = F.when(out.rlike(r"[(\[{]"), out).otherwise(joined)
     out = F.regexp_replace(out, r"\\text\{([^{}]*)\}", "$1")
     out = F.regexp_replace(out, r"\\[dt]frac", r"\\frac")
     out = F.regexp_replace(out, r"\\frac\{(-?\d+)\}\{(-?\d+)\}", "$1/$2")
@@ -38,7 +58,8 @@ def numeric_answer(normalised: Column) -> Column:
     """Value of a plain number or of a quotient of two, else null."""
 
     def value(text):
-        return F.when(text.rlike(PLAIN_NUMBER_PATTERN), text.try_cast("double"))
+        number = text.try_cast("double")
+        return F.when(text.rlike(PLAIN_NUMBER_PATTERN) & (F.abs(number) < float("inf")), number)
 
     parts = F.split(normalised, "/", -1)
     top, bottom = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
@@ -48,11 +69,17 @@ def numeric_answer(normalised: Column) -> Column:
 
 
 def same_answer(gold: Column, gold_value: Column, answer: Column, value: Column) -> Column:
-    """Equal text, or values within the absolute or relative tolerance; never null."""
+    """Equal text, or values within the absolute or relative tolerance; never null.
+
+    Two whole numbers are equal only digit by digit.
+    """
+    whole = gold.rlike(INTEGER_PATTERN) & answer.rlike(INTEGER_PATTERN)
+    digits = [F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0+(?=\d)", "$1") for t in (gold, answer)]
     near = F.abs(gold_value - value) <= TOLERANCE * F.greatest(
         F.lit(1.0), F.abs(gold_value), F.abs(value)
     )
-    return F.coalesce(gold == answer, F.lit(False)) | F.coalesce(near, F.lit(False))
+    equal = F.when(whole, digits[0] == digits[1]).otherwise(near)
+    return F.coalesce(gold == answer, F.lit(False)) | F.coalesce(equal, F.lit(False))
 
 
 def answer_variants(trace: Column) -> Column:

@@ -62,8 +62,11 @@ def encode(
 
 
 def lookup_ids(vocab: DataFrame, tokens: Sequence[str]) -> list[int]:
-    """Ids of a few given tokens, such as those of a response template."""
+    """Ids of a few given tokens, such as those of a response template; each must be in a ``vocab`` that has rows."""
     known = {r.token: r.id for r in vocab.where(F.col("token").isin(list(tokens))).collect()}
+    missing = sorted(set(tokens) - set(known))
+    if missing and not vocab.isEmpty():
+        raise ValueError(f"not in the vocabulary: {', '.join(missing)}")
     return [known.get(t, UNKNOWN_ID) for t in tokens]
 
 

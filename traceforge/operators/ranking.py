@@ -138,11 +138,11 @@ def _train_edge_seeded(
 
 
 def _up_to(columns: list[Column], names_: list[str], edge: tuple, df: DataFrame) -> Column:
-    """Whether the columns sort at or before ``edge``."""
+    """Whether the columns sort at or before ``edge``; a null comes first, and the answer is never null."""
     types = [df.select(c).schema[0].dataType for c in columns]
     values = [F.lit(v).cast(t) for v, t in zip(edge, types)]
     if len(columns) == 1:
-        return columns[0] <= values[0]
+        return columns[0].isNull() | F.coalesce(columns[0] <= values[0], F.lit(False))
     return F.struct(*[c.alias(n) for c, n in zip(columns, names_)]) <= F.struct(
         *[v.alias(n) for v, n in zip(values, names_)]
     )
