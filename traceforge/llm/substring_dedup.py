@@ -14,7 +14,7 @@ from traceforge.llm.common import RangeHashes, in_chunks, scrambled, word_bounds
 
 # Words of a minimiser, characters deduplicated before anything is shuffled,
 # characters of text per bucket.
-MINIMISER, CHUNK_CHARS, BUCKET_CHARS = 3, 6 << 20, 2 << 20
+MINIMISER, CHUNK_CHARS, BUCKET_CHARS = 3, 4 << 20, 3 << 19
 PACKED = "bucket int, texts binary, docs binary, starts binary, sizes binary"
 SPANS = "doc_id long, start int, stop int"
 
