@@ -1,10 +1,12 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from traceforge.constants import ANSWER_FORCE_STRING
 from traceforge.functions import answers
 from traceforge.operators import grading
-from traceforge.plans.traces import graded_traces
+from traceforge.plans.traces import build_traces, graded_traces
 
 
 @pytest.mark.parametrize(
@@ -130,3 +132,63 @@ def test_answers_that_look_alike_are_told_apart(spark):
     frame = spark.createDataFrame(rows, "solution string, trace string, want boolean")
     for row in grading.grade(frame, "trace", "solution").collect():
         assert row["is_correct"] == row["want"], row
+
+
+@pytest.mark.parametrize(
+    "gold, other, same",
+    [
+        ("#### 18", r"\boxed{18 \text{ dollars}}", True),
+        (r"\boxed{50}", r"\boxed{50\%}", True),
+        (r"\boxed{90}", r"\boxed{90^\circ}", True),
+        (r"\boxed{1/2}", r"\boxed{\frac12}", True),
+        (r"\boxed{18}", r"\boxed{18x}", False),
+        (r"\boxed{18}", r"\boxed{181 \text{ dollars}}", False),
+        (r"\boxed{\text{18 dollars}}", r"\boxed{\text{18 pounds}}", False),
+    ],
+)
+def test_units_beside_a_number_do_not_count(spark, gold, other, same):
+    df = spark.createDataFrame([(gold, other)], "solution string, trace string")
+    assert grading.grade(df, "trace", "solution").first().is_correct is same
+
+
+def test_the_baseline_must_stand_once_in_each_group(spark):
+    def compared(*rows):
+        runs = spark.createDataFrame(rows, "split string, run string, raw_accuracy double")
+        return grading.compare_runs(runs, "clean", metrics=["raw_accuracy"], by=["split"]).collect()
+
+    out = compared(("a", "clean", 0.5), ("a", "x", 0.75), ("b", "clean", 1.0), ("b", "x", 0.5))
+    assert {(r.split, r.run): r.raw_accuracy_delta for r in out}[("b", "x")] == -0.5
+    for rows in ([("a", "x", 1.0)], [("a", "clean", 1.0), ("a", "clean", 0.5)]):
+        with pytest.raises(Exception, match="not one baseline"):
+            compared(*rows)
+
+
+PROBLEMS = [(i, "please " * (i % 3) + f"q {i}", f"\\boxed{{{i}}}") for i in range(6)]
+MARKER = "<|im_start|>assistant\n"
+
+
+def _stage(spark, **options):
+    problems = spark.createDataFrame(PROBLEMS, "problem_id int, problem string, solution string")
+    rows = [(i, str(c), (MARKER if c else "") + f"work {c} \\boxed{{{i + c % 2}}}") for i in range(6) for c in range(3)]
+    candidates = spark.createDataFrame([*rows, (99, "0", "lost")], "problem_id int, candidate string, trace string")
+    return build_traces(problems, candidates, shards=2, **options)
+
+
+def test_every_trace_is_kept_without_a_threshold(spark):
+    going_on = spark.createDataFrame(
+        [(i, str(c), f"{i}}}") for i in range(6) for c in range(3)], "problem_id int, candidate string, continuation string"
+    )
+    out, report = _stage(spark, threshold=None, continuations=going_on, prompt_in_score=True)
+    rows = out.collect()
+    assert report is None and len(rows) == 18 and all(r.is_af_correct for r in rows)
+    assert {r.candidate for r in rows if not r.is_raw_correct} == {"1"}
+    # the score of a trace does not count its prompt, whatever its length
+    scores = {(r.problem_id, r.candidate): r.trace_logppl for r in rows}
+    assert math.isclose(scores[1, "0"], scores[5, "0"], rel_tol=0.05)
+
+
+def test_a_threshold_keeps_the_quota_by_cycle(spark):
+    out, report = _stage(spark, threshold=99.0, target=4, batch=2)
+    total = {r.shard: r for r in report.collect()}[None]
+    assert out.count() == 8 == total.accepted and not total.exhausted
+    assert not any(r.is_af_correct is None for r in out.collect())

@@ -103,13 +103,40 @@ def test_only_direct_replies_pair(spark):
     assert [(r.problem, r.response) for r in out.collect()] == [("r", "a")]
 
 
-def test_ablation_prefers_the_clean_set(spark):
-    def rows(n, flip):
-        return [(["good" if i % 2 else "bad", f"w{i % 7}"], float((i % 2) ^ flip)) for i in range(n)]
-
-    schema = "tokens array<string>, label double"
-    clean, noisy = (spark.createDataFrame(rows(60, f), schema) for f in (0, 1))
-    out = {r.train_set: r for r in ablation.dataset_ablation({"clean": clean, "noisy": noisy}, clean, "clean").collect()}
-    assert out["clean"].accuracy == 1.0 and out["noisy"].accuracy == 0.0
-    assert out["noisy"].accuracy_delta == -1.0 and out["clean"].rows == 60
-    assert out["noisy"].log_loss > out["clean"].log_loss
+@pytest.mark.parametrize("order", [1, 2])
+def test_student_loss_equals_a_loop(spark, order):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice("abcdef"[: 3 + i % 4]) for _ in range(i % 9)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, tokens array<string>").repartition(4)
+    chosen = {"all": lambda i: True, "few": lambda i: i % 4 == 1, "none": lambda i: False}
+    conditions = {"all": F.lit(True), "few": F.col("i") % 4 == 1, "none": F.lit(None).cast("boolean")}
+    out = {
+        r.train_set: r
+        for r in ablation.student_loss(df, conditions, F.col("i") % 5 == 0, "all", order=order, head_rows=4).collect()
+    }
+    grams = lambda t: [tuple(t[j : j + order]) for j in range(len(t) - order + 1)]
+    held = [g for i, t in rows if i % 5 == 0 for g in grams(t)]
+    types = len({g[-1] for i, t in rows if i % 5 for g in grams(t)}) + 1
+    for name, takes in chosen.items():
+        train = [g for i, t in rows if i % 5 and takes(i) for g in grams(t)]
+        given = lambda g: len(train) if order == 1 else sum(h[0] == g[0] for h in train)
+        loss = sum(-math.log((train.count(g) + 1) / (given(g) + types)) for g in held) / len(held)
+        assert math.isclose(out[name].loss, loss, abs_tol=1e-9)
+        assert math.isclose(out[name].perplexity, math.exp(loss), rel_tol=1e-9)
+        assert out[name].rows == sum(1 for i, _ in rows if i % 5 and takes(i))
+    assert out["all"].loss_delta == 0 and out["none"].loss_delta > 0
+
+
+def test_student_loss_without_a_holdout_is_null(spark):
+    df = spark.createDataFrame([(["a"],)], "tokens array<string>")
+    row = ablation.student_loss(df, {"all": F.lit(True)}, F.lit(False), "all").first()
+    assert row.loss is None and row.rows == 1
+    with pytest.raises(ValueError):
+        ablation.student_loss(df, {"all": F.lit(True)}, F.lit(False), "other")
+
+
+def test_traces_read_by_schema_keep_partition_types(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_traces(spark.createDataFrame([(1, "01"), (2, "a")], "i int, run string"), path, ["run"])
+    out = tables.read_traces(spark, path, schema="i int, run string")
+    assert sorted(map(tuple, out.collect())) == [(1, "01"), (2, "a")]

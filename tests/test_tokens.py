@@ -20,7 +20,18 @@ def results(spark, rows, column):
 
 def test_words_keep_chat_markers_whole(value):
     out = value(tk.words(F.col("t")), t="<|im_start|>Assistant\nÉté 3,5!<|im_end|>")
-    assert out == ["<|im_start|>", "assistant", "été", "3", "5", "<|im_end|>"]
+    assert out == ["<|im_start|>", "assistant", "été", "3", ",", "5", "!", "<|im_end|>"]
+
+
+@FEW
+@given(st.text(st.sampled_from("ab1 -.\\{}<|>_\t\n\u00e9\u0301\U0001f600\u00a0="), max_size=30))
+def test_tokens_lose_nothing_but_blanks(value, text):
+    assert "".join(value(tk.words(F.col("t")), t=text)) == "".join(c for c in text if c not in " \t\n")
+
+
+def test_signs_tell_numbers_apart(value):
+    read = lambda t: value(tk.words(F.col("t")), t=t)
+    assert read("x = -3.5") == ["x", "=", "-", "3", ".", "5"] != read("x = 3/5")
 
 
 def test_strip_trailing_cases(spark):

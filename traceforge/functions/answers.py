@@ -10,6 +10,8 @@ from traceforge.constants import ANSWER_FORCE_STRING
 BRACE_PATTERN = r"(\\[{}]|[{}]|[^{}\\]++|\\)"
 NUMBER_PATTERN = r"-?\d+(?:,\d+)*(?:\.\d+)?(?:/\d+)?"
 INTEGER_PATTERN = r"^[+-]?\d+$"
+# A number with a unit in a text command, a percent or a degree sign behind it.
+UNIT_PATTERN = r"^([+-]?[\d.,/]*\d)(?:\\(?:text|mathrm|mbox)\{[^{}]*\}|\\?%|\^\{?\\circ\}?)+(\.?)$"
 PLAIN_NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
 TOLERANCE = 1e-6
 
@@ -43,14 +45,17 @@ def extract_answer(text: Column) -> Column:
 
 
 def normalise_answer(answer: Column) -> Column:
-    """One spelling per answer: no spacing or sizing commands, plain fractions, lower case."""
-    out = F.regexp_replace(answer, r"\\left|\\right|\\[!,$]|\$|\s+", "")
+    """One spelling per answer: no spacing or sizing commands, no unit behind a number,
+    plain fractions, lower case."""
+    out = F.regexp_replace(answer, r"\\left|\\right|\\[!,;:$]|\$|\s+", "")
+    out = F.regexp_replace(out, UNIT_PATTERN, "$1$2")
     # commas before groups of three digits, and none in brackets, so a list stays a list
     joined = F.regexp_replace(out, r"(?<=\d),(?=\d{3}(?!\d))", "")
     out = F.when(out.rlike(r"[(\[{]"), out).otherwise(joined)
     out = F.regexp_replace(out, r"\\text\{([^{}]*)\}", "$1")
     out = F.regexp_replace(out, r"\\[dt]frac", r"\\frac")
     out = F.regexp_replace(out, r"\\frac\{(-?\d+)\}\{(-?\d+)\}", "$1/$2")
+    out = F.regexp_replace(out, r"\\frac(\d)(\d)", "$1/$2")
     return F.lower(F.regexp_replace(out, r"\.$", ""))
 
 

@@ -9,13 +9,14 @@ from pyspark.sql import Column, functions as F
 
 from traceforge.constants import IGNORED_LABEL, TRAINING_MAX_LENGTH
 
-# A chat marker such as <|im_start|> is one token; everything else is split
-# into runs of letters and digits.
-TOKEN_PATTERN = r"<\|[a-z_]+\|>|[\p{L}\p{N}]+"
+# A chat marker such as <|im_start|> is one token, and so is a run of letters and
+# digits; any other sign stands alone. Only blanks are no part of a token.
+BLANKS = r"\x20\x09-\x0D"
+TOKEN_PATTERN = rf"<\|[a-z_]+\|>|[\p{{L}}\p{{N}}]+|[^{BLANKS}\p{{L}}\p{{N}}]"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased tokens of the whole text, in order."""
+    """Lower-cased tokens of the whole text, in order; joined they are the text without blanks."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 

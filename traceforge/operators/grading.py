@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from traceforge.functions.answers import (
     answer_variants,
@@ -73,10 +73,18 @@ def compare_runs(
     baseline: str,
     run: str = "run",
     metrics: Sequence[str] = ("raw_accuracy", "af_accuracy"),
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Each run's metrics beside their difference from the baseline run."""
-    base = runs.where(F.col(run) == baseline).agg(
-        F.struct(*[F.max(m).alias(m) for m in metrics]).alias("base")
-    )
-    deltas = {f"{m}_delta": F.col(m) - F.col(f"_base.{m}") for m in metrics}
-    return runs.withColumn("_base", base.scalar()).withColumns(deltas).drop("_base")
+    """Each run's metrics beside their difference from the baseline run, within each ``by``.
+
+    One row per run. A ``by`` group in which the baseline is absent or stands
+    more than once is an error.
+    """
+    of = Window.partitionBy(*(by or [F.lit(0)]))
+    is_base = F.col(run) == baseline
+    checked = F.when(
+        F.count_if(is_base).over(of) != 1,
+        F.raise_error(F.concat(F.lit(f"not one baseline {baseline!r} for "), F.to_json(F.struct(run, *by)))),
+    ).otherwise(F.lit(0.0))
+    deltas = {f"{m}_delta": F.col(m) - F.max(F.when(is_base, F.col(m))).over(of) + F.col("_ok") for m in metrics}
+    return runs.withColumn("_ok", checked).withColumns(deltas).drop("_ok")

@@ -40,8 +40,8 @@ def _exploded(df: DataFrame, key: Sequence[str], tokens: str, order: int) -> Dat
 class NgramModel:
     """Counts of one corpus.
 
-    ``counts`` has the n-gram and ``n``; ``contexts`` (bigrams only) has the
-    first word and ``n``. ``types`` counts predicted words plus one unseen word,
+    ``counts`` has the n-gram and ``n``, for bigrams also ``given``, the count of
+    the first word, which ``contexts`` has as ``n``. ``types`` counts predicted words plus one unseen word,
     so that the probabilities after any context sum to 1.
     """
 
@@ -76,6 +76,8 @@ def fit_ngram(df: DataFrame, tokens: str, order: int = 1, alpha: float = 1.0) ->
         )
         total = counts.agg(F.sum("n")).first()[0]
         types = counts.select(WORD).distinct().count()
+        given = contexts.withColumnRenamed("n", "given")
+        counts = materialise(lookup(counts, given, [CONTEXT], "given"), "ngrams-given")
     return NgramModel(order, float(alpha), counts, contexts, int(total or 0), int(types) + 1)
 
 
@@ -86,8 +88,9 @@ def token_logprobs(
     tokens: str,
     head_rows: int = SMALL_ROWS,
     same_corpus: bool = True,
+    pad: str | None = None,
 ) -> DataFrame:
-    """Long table ``key, position, logp``.
+    """Long table ``key, position, logp``, with ``pad`` also ``is_pad``.
 
     ``same_corpus`` says that the model counts ``df`` itself, so that its counts
     tell the frequent words of the join; otherwise ``df`` is counted for that.
@@ -99,13 +102,20 @@ def token_logprobs(
         return skewed_lookup(facts, table, on, head_rows)
 
     items = _exploded(df, key, tokens, model.order)
-    found = attach(items, model.counts, _item_columns(model.order), "_count")
     context = None
-    if model.order == 2:
+    if model.order == 1 or same_corpus:  # every n-gram of the corpus is in the table, with its context
+        found = attach(items, model.counts, _item_columns(model.order), "_count")
+        if model.order == 2:
+            context = F.coalesce("given", F.lit(0))
+    else:
+        found = attach(items, model.counts.drop("given"), _item_columns(model.order), "_count")
         found = attach(found, model.contexts, [CONTEXT], "_given")
         context = F.coalesce("_given", F.lit(0))
     logp = model.log_probability(F.coalesce("_count", F.lit(0)), context)
-    return found.select(*key, "position", F.when(F.col("position").isNotNull(), logp).alias("logp"))
+    out = [*key, "position", F.when(F.col("position").isNotNull(), logp).alias("logp")]
+    if pad is not None:
+        out.append((F.col(WORD) == pad).alias("is_pad"))
+    return found.select(*out)
 
 
 def log_perplexity(
@@ -138,10 +148,21 @@ def score_ngram(
     name: str = "logppl",
     head_rows: int = SMALL_ROWS,
     same_corpus: bool = True,
+    pad: str | None = None,
 ) -> DataFrame:
-    """Log-perplexity of each token array under the model."""
-    logprobs = token_logprobs(df, model, key, tokens, head_rows, same_corpus)
-    return log_perplexity(logprobs, key, prompt_length, name=name)
+    """Log-perplexity of each token array under the model.
+
+    ``prompt_length`` may be any expression of the columns of ``df``; tokens
+    equal to ``pad`` do not count.
+    """
+    keys = list(key)
+    if prompt_length is not None:
+        df, keys = df.withColumn("_prompt", prompt_length), [*keys, "_prompt"]
+    logprobs = token_logprobs(df, model, keys, tokens, head_rows, same_corpus, pad)
+    return log_perplexity(
+        logprobs, keys, None if prompt_length is None else F.col("_prompt"),
+        None if pad is None else F.coalesce("is_pad", F.lit(False)), name=name,
+    ).drop("_prompt")
 
 
 def cross_entropy_difference(
@@ -176,7 +197,6 @@ def cross_entropy_difference(
     )
     in_models = counts.where((F.col("_plus") > 0) | (F.col("_minus") > 0))
     types = in_models.select(WORD).distinct().count() + 1
-    found = lookup(_exploded(df, key, tokens, order), counts, columns, "_n", head_rows)
     if order == 1:
         totals = counts.agg(F.sum("_plus"), F.sum("_minus")).first()
         given = [F.lit(float(total or 0)) for total in totals]
@@ -187,8 +207,10 @@ def cross_entropy_difference(
             ),
             "ngram-pair-contexts",
         )
-        found = lookup(found, contexts, [CONTEXT], "_all", head_rows)
+        # joined to the counts, so that the rows of ``df`` are looked up once
+        counts = materialise(lookup(counts, contexts, [CONTEXT], "_all", head_rows), "ngram-pair-given")
         given = [F.col("_plus_1"), F.col("_minus_1")]
+    found = lookup(_exploded(df, key, tokens, order), counts, columns, "_n", head_rows)
 
     def log_probability(count: str, total: Column) -> Column:
         return F.log((F.col(count) + float(alpha)) / (total + float(alpha) * types))

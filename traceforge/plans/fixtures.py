@@ -13,15 +13,32 @@ from traceforge.sources.problems import (
     KEY,
     ProblemSource,
     as_problems,
-    concat_subsets,
     exchanges,
     mcq_as_problems,
 )
 from traceforge.workspace import spread
 
+# Gold answer, trace and whether the trace is right; # stands for the key.
+EDGE_CASES = [
+    ("\\boxed{#}", "\\boxed{#}", True),
+    ("\\boxed{#}", "\\boxed{#1}", False),
+    ("#### #", "\\boxed{# \\text{ dollars}}", True),
+    ("\\boxed{#}", "\\boxed{#\\%}", True),
+    ("\\boxed{\\frac{#}{7}}", "\\boxed{\\dfrac{#}{7}}", True),
+    ("\\boxed{\\frac{#}{7}}", "\\boxed{\\frac{#}{9}}", False),
+    ("\\boxed{\\frac{\\sqrt{\\frac{1}{#}}}{3}}", "\\boxed{\\frac{\\sqrt{\\frac{5}{#}}}{3}}", False),
+    ("\\boxed{\\frac{\\sqrt{\\frac{1}{#}}}{3}}", "so \\boxed{ \\frac{\\sqrt{\\frac{1}{#}}}{3} }", True),
+    ("\\boxed{#,5}", "\\boxed{(#,5)}", False),
+    ("\\boxed{9007199254740992#}", "\\boxed{9007199254740993#}", False),
+    ("\\boxed{1e999}", "\\boxed{2e999}", False),
+    ("\\boxed{\\frac12}", "\\boxed{0.5}, not #", True),
+    ("\\boxed{#}", "\\boxed{#.0000}", True),
+    ("\\boxed{#}", "it is #, then \\boxed{open", True),
+    ("\\boxed{#}", "no answer", False),
+    ("\\boxed{x_{#}}", "\\boxed{1} or \\boxed{X_{#}}.", True),
+]
 CANDIDATE = ["l_linenumber", "l_partkey", "l_suppkey"]
 LINE = ["l_orderkey", *CANDIDATE]
-LANGUAGES = ["de", "en", "es", "fr"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +108,41 @@ def answer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(key.alias(KEY), spelled.alias("text"))
 
 
+def edge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys as gold answers beside one of ``EDGE_CASES``, chosen by the key."""
+    key = _text(F.col("o_orderkey"))
+    case = F.pmod("o_orderkey", F.lit(len(EDGE_CASES))).cast("int")
+
+    def filled(i: int) -> Column:
+        forms = [F.replace(F.lit(c[i]), F.lit("#"), key) for c in EDGE_CASES]
+        return F.get(F.array(*forms), case)
+
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias(KEY), filled(0).alias("solution"), filled(1).alias("trace")
+    )
+
+
+def plain_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as problems whose prompts differ in length."""
+    key = F.col("o_orderkey")
+    please = F.repeat(F.lit("please "), F.pmod(key, F.lit(3)).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        key.alias(KEY), F.concat(please, F.lit("q "), _text(key)).alias("problem"),
+        boxed(key % 97).alias("solution"),
+    )
+
+
+def continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows a forced answer: right, except for every third line number."""
+    wrong = (F.col("l_linenumber") % 3 == 0).cast("int")
+    lines = table(spark, sf_dir, "lineitem").select(*LINE).distinct()
+    return lines.select(
+        F.col("l_orderkey").alias(KEY),
+        F.concat_ws("-", *[_text(F.col(c)) for c in CANDIDATE]).alias("candidate"),
+        F.concat(_text((F.col("l_orderkey") + wrong) % 97), F.lit("}\\]<|im_end|>")).alias("continuation"),
+    )
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as scored candidates of their order, one row per key."""
     return (
@@ -143,12 +195,8 @@ def problem_sources(sf_dir: str) -> dict[str, ProblemSource]:
         return graded_fixture(spark, sf_dir).select(KEY, "problem", "solution")
 
     def competition(spark):
-        texts = table(spark, sf_dir, "documents")
-        subsets = {
-            lang: as_problems(texts.where(F.col("lang") == lang), "doc_id", "text", "source")
-            for lang in LANGUAGES
-        }
-        return concat_subsets(subsets)
+        texts = table(spark, sf_dir, "documents").withColumnRenamed("lang", "subset")
+        return as_problems(texts, "doc_id", "text", "source", "subset")
 
     def choice(spark):
         rows = table(spark, sf_dir, "part").select(

@@ -30,6 +30,8 @@ QUERIES: dict[str, Query] = {}
 SEED = 42
 PRICE_THRESHOLD = 2.5
 TRACE_THRESHOLD = 3.64
+MOST_SUBSETS = 512
+FLUENT = 7.9
 TEMPLATE = [2, 3]  # id pair searched in the word-length arrays
 
 
@@ -73,7 +75,13 @@ def load_problems_test(spark, sf_dir):
 @register
 def concat_subsets(spark, sf_dir):
     documents = fx.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
-    parts = {lang: documents.where(F.col("lang") == lang).drop("lang") for lang in fx.LANGUAGES}
+    names = [row["lang"] for row in documents.select("lang").distinct().limit(MOST_SUBSETS + 1).collect()]
+    if len(names) > MOST_SUBSETS:
+        raise ValueError(f"more than {MOST_SUBSETS} subsets")
+    parts = {
+        lang: documents.where(F.col("lang").eqNullSafe(lang)).drop("lang")
+        for lang in sorted(names, key=lambda lang: lang or "")
+    }
     return problems.concat_subsets(parts)
 
 
@@ -159,6 +167,11 @@ def tokenize(spark, sf_dir):
     )
 
 
+@register
+def tokens_without_loss(spark, sf_dir):
+    return fx.document_tokens(spark, sf_dir).select("doc_id", F.array_join("tokens", "").alias("joined"))
+
+
 @register
 def vocabulary(spark, sf_dir):
     return encoding.vocabulary(fx.document_tokens(spark, sf_dir), "tokens")
@@ -241,6 +254,12 @@ def grade_against(spark, sf_dir):
     return graded.select(*fx.LINE, "is_correct")
 
 
+@register
+def grade_edge_answers(spark, sf_dir):
+    graded = grading.grade(fx.edge_answers(spark, sf_dir), "trace", "solution")
+    return graded.select("problem_id", "is_correct")
+
+
 def _written_tokens(spark, sf_dir):
     """Document tokens as a table, for queries that read them several times."""
     return materialise(fx.document_tokens(spark, sf_dir), "tokens")
@@ -284,6 +303,18 @@ def trace_dataset_report(spark, sf_dir):
     return report.select("shard", "generated", "rejected", "accepted", "exhausted")
 
 
+@register
+def trace_dataset_plain(spark, sf_dir):
+    built, _ = traces.build_traces(
+        fx.plain_fixture(spark, sf_dir), fx.candidate_traces(spark, sf_dir), shards=4, threshold=None,
+        continuations=fx.continuations(spark, sf_dir), prompt_in_score=True,
+    )
+    return built.select(
+        "problem_id", "candidate", "shard", "prompt", rounded("trace_logppl", "trace_logppl"),
+        "trace_af", "is_raw_correct", "is_af_correct",
+    )
+
+
 @register
 def accuracy(spark, sf_dir):
     return _accuracy_by_run(spark, sf_dir).select(
@@ -301,6 +332,32 @@ def compare_runs(spark, sf_dir):
     )
 
 
+@register
+def defence_comparison(spark, sf_dir):
+    # choose an answer per order with and without the shifted scores, grade, compare within a priority
+    base = materialise(fx.candidates(spark, sf_dir), "candidates")
+    sides = [base.select(*fx.LINE, F.col(side).alias("score")) for side in ("plus", "minus")]
+    drawn = []
+    for run, lam in (("clean", 0.0), ("defended", 0.1)):
+        adjusted = choose.rescore(base, *sides, fx.LINE, lam=lam, eps=0.01)
+        scored = choose.softmax_scores(adjusted, ["l_orderkey"], fx.CANDIDATE, "adjusted", tau=2.0)
+        kept = choose.nucleus(scored, ["l_orderkey"], fx.CANDIDATE)
+        drawn.append(choose.sample_one(kept, ["l_orderkey"], fx.CANDIDATE, SEED).withColumn("run", F.lit(run)))
+    answer = fx.boxed((F.col("l_orderkey") + F.col("l_linenumber") % 2) % 97)
+    solutions = fx.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), fx.boxed(F.col("o_orderkey") % 97).alias("solution"),
+        F.col("o_orderpriority").alias("split"),
+    )
+    tried = drawn[0].unionByName(drawn[1]).withColumn("trace", answer).join(solutions, "l_orderkey")
+    graded = grading.grade(tried, "trace", "solution", "is_raw_correct")
+    totals = materialise(grading.accuracy(graded, ["split", "run"], forced=None), "accuracies")
+    compared = grading.compare_runs(totals, "clean", metrics=["raw_accuracy"], by=["split"])
+    return compared.select(
+        "split", "run", "traces", rounded("raw_accuracy", "raw_accuracy"),
+        rounded("raw_accuracy_delta", "raw_accuracy_delta"),
+    )
+
+
 # --- ranks, splits, shards ------------------------------------------------
 
 
@@ -373,6 +430,19 @@ def rejection_report(spark, sf_dir):
     )
 
 
+@register
+def rejection_unplaced(spark, sf_dir):
+    # orders that no shard was given
+    lost = fx.candidates(spark, sf_dir).withColumn("shard", F.when(F.col("l_orderkey") % 11 > 0, F.col("shard")))
+    run = rejection.RejectionRun(lost, fx.LINE, "price", SEED, shard="shard", threshold=PRICE_THRESHOLD)
+    tried = run.report().where(F.col("shard").isNull()).select(
+        F.lit("placed").alias("part"), F.col("accepted"), F.col("rejected")
+    )
+    none = F.lit(0).cast("long")
+    rest = run.unplaced().agg(F.count(F.lit(1)).alias("rows"))
+    return tried.unionByName(rest.select(F.lit("unplaced").alias("part"), none.alias("accepted"), F.col("rows").alias("rejected")))
+
+
 @register
 def softmax_scores(spark, sf_dir):
     scored = choose.softmax_scores(
@@ -404,6 +474,18 @@ def sample_one(spark, sf_dir):
     return choose.sample_one(_nucleus(spark, sf_dir), ["l_orderkey"], fx.CANDIDATE, SEED)
 
 
+@register
+def undecided_groups(spark, sf_dir):
+    # every third order has scores that cannot be used, in part or throughout
+    key = F.col("l_orderkey") % 9
+    bad = F.when(key == 0, F.lit(None)).when(key == 3, float("nan")).when(
+        (key == 6) & (F.col("l_linenumber") % 2 == 0), float("inf")
+    ).otherwise(F.col("score"))
+    scores = fx.candidates(spark, sf_dir).withColumn("score", bad)
+    scored = choose.softmax_scores(scores, ["l_orderkey"], fx.CANDIDATE, tau=2.0)
+    return choose.undecided(scored, ["l_orderkey"])
+
+
 @register
 def rescore(spark, sf_dir):
     base = fx.candidates(spark, sf_dir)
@@ -445,6 +527,17 @@ def score_bigram(spark, sf_dir):
     return scored.select("doc_id", F.round(F.nanvl("logppl", F.lit(-1.0)), 6).alias("logppl"))
 
 
+@register
+def score_other_corpus(spark, sf_dir):
+    # replies under a model of the documents
+    model = lm.fit_ngram(fx.document_tokens(spark, sf_dir), "tokens")
+    replies = fx.conversation_pairs(spark, sf_dir).select(
+        "conv_id", "turn", tokens.words(F.col("response")).alias("tokens")
+    )
+    scored = lm.score_ngram(replies, model, ["conv_id", "turn"], "tokens", same_corpus=False)
+    return scored.select("conv_id", "turn", F.round(F.nanvl("logppl", F.lit(-1.0)), 6).alias("logppl"))
+
+
 def _difference(spark, sf_dir, order):
     labels = fx.table(spark, sf_dir, "labels").select("doc_id", "quality")
     listed = _written_tokens(spark, sf_dir).join(labels, "doc_id", "left")
@@ -538,23 +631,24 @@ def flatten_struct(spark, sf_dir):
     return flat.withColumn("stats.raw_accuracy", F.round(F.col("`stats.raw_accuracy`"), 6))
 
 
-@register
-def run_record(spark, sf_dir):
-    graded = traces.graded_traces(fx.graded_fixture(spark, sf_dir))
+def _run_record(spark, sf_dir):
+    """The record of the run that builds ``trace_dataset``."""
+    built, report = _built(spark, sf_dir)
     measured = materialise(
-        graded.select(
-            "is_raw_correct",
-            "is_af_correct",
-            F.length("trace_af").alias("length"),
-            (F.col("problem_id") % 101 / F.lit(7.0)).alias("logppl"),
+        built.select(
+            "is_raw_correct", "is_af_correct", "trace_logppl",
+            F.size(tokens.words(F.col("trace_af"))).alias("length"),
         ),
-        "traces",
+        "measured",
     )
-    total = _rejection_run(spark, sf_dir).report().where(F.col("shard").isNull()).drop("shard")
-    record = stats.run_record(
-        measured, {"data_split": "gsm8k_train", "tau": 2.0}, "length", "logppl", rejection=total
-    )
-    flat = stats.flatten_struct(record)
+    total = materialise(report.where(F.col("shard").isNull()).drop("shard"), "report")
+    settings = {"data_split": "gsm8k_train", "tau": 2.0}
+    return stats.run_record(measured, settings, "length", "trace_logppl", rejection=total)
+
+
+@register
+def run_record(spark, sf_dir):
+    flat = stats.flatten_struct(_run_record(spark, sf_dir))
     doubles = [f.name for f in flat.schema if f.dataType.typeName() == "double"]
     return flat.select(
         [F.round(F.col(f"`{c}`"), 6).alias(c) if c in doubles else F.col(f"`{c}`") for c in flat.columns]
@@ -562,20 +656,39 @@ def run_record(spark, sf_dir):
 
 
 @register
-def dataset_ablation(spark, sf_dir):
-    labels = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    listed = _written_tokens(spark, sf_dir)
-    model = lm.fit_ngram(listed, "tokens")
-    perplexity = lm.score_ngram(listed, model, ["doc_id"], "tokens")
-    labelled = listed.join(labels, "doc_id").join(perplexity, "doc_id")
-    parts = materialise(ranking.with_split(labelled, "doc_id", SEED), "ablation")
-    train, holdout = parts.where("split = 'train'"), parts.where("split = 'holdout'")
+def stored_settings(spark, sf_dir):
+    # the record appended and read again; what a later run does not set is taken from it
+    path = scratch_path(spark, "registry")
+    tables.append_run(_run_record(spark, sf_dir), path)
+    schema = "data_split string, tau double, `stats.raw_accuracy` double, `stats.trace_len_stats.count` long"
+    stored = tables.read_runs(spark, path, schema)
+    used = stats.with_stored_settings({"tau": 0.5, "data_split": None}, stored)
+    return used.withColumn("stats.raw_accuracy", F.round(F.col("`stats.raw_accuracy`"), 6))
+
+
+def _student_loss(spark, sf_dir, order):
+    listed = materialise(ranking.with_split(_written_tokens(spark, sf_dir), "doc_id", SEED), "ablation")
+    train = listed.where("split = 'train'")
+    perplexity = lm.score_ngram(train, lm.fit_ngram(train, "tokens"), ["doc_id"], "tokens")
+    labels = fx.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    marked = listed.join(perplexity, "doc_id", "left").join(labels, "doc_id", "left")
     selections = {
-        "all": train,
-        "fluent": train.where(F.col("logppl") <= 9.5),
-        "half": ranking.split(train.drop("split"), "doc_id", "train", SEED + 1, 0.5),
+        "all": F.lit(True), "fluent": F.col("logppl") <= FLUENT, "good": F.col("quality") == 1,
     }
-    return ablation.dataset_ablation(selections, holdout, baseline="all")
+    losses = ablation.student_loss(marked, selections, F.col("split") == "holdout", "all", order=order)
+    return losses.select(
+        "train_set", "rows", *[rounded(c, c) for c in ("loss", "perplexity", "loss_delta")]
+    )
+
+
+@register
+def dataset_ablation(spark, sf_dir):
+    return _student_loss(spark, sf_dir, 1)
+
+
+@register
+def dataset_ablation_bigram(spark, sf_dir):
+    return _student_loss(spark, sf_dir, 2)
 
 
 @register

@@ -11,8 +11,9 @@ from traceforge.constants import (
     TRAIN_FRACTION,
     TRAINING_MAX_LENGTH,
 )
+from traceforge.plans.fixtures import EDGE_CASES
 
-SEED = 42
+SEED, TRACE_THRESHOLD, FLUENT = 42, 3.64, 7.9
 
 
 def q(value: str) -> str:
@@ -22,7 +23,7 @@ def q(value: str) -> str:
 
 QWEN, R1, LLAMA = (q(RESPONSE_MARKERS[n]) for n in ("qwen", "r1", "llama"))
 FORCE = q(ANSWER_FORCE_STRING)
-TOKENS = r"regexp_extract_all(lower({0}), '<\|[a-z_]+\|>|[\p{{L}}\p{{N}}]+')"
+TOKENS = r"regexp_extract_all(lower({0}), '<\|[a-z_]+\|>|[\p{{L}}\p{{N}}]+|[^\x20\x09-\x0D\p{{L}}\p{{N}}]')"
 BOXED = r"'\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}'"
 NUMBER = r"'-?\d[\d,]*(?:\.\d+)?(?:/\d+)?'"
 PLAIN = r"'^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$'"
@@ -217,21 +218,89 @@ TRAINING = f"""pairs as ({PAIRS}), t as (select conv_id, turn, {words(
 
 
 # The whole trace stage: shards by position, unigram scores, quota, grades.
-BUILT = f"""f2 as ({F2}), b as (select s.range as shard, s.range * (n // 4) + least(s.range, n % 4) as first,
+def stage(problems: str) -> str:
+    return f"""f2 as ({problems}), b as (select s.range as shard, s.range * (n // 4) + least(s.range, n % 4) as first,
     (s.range + 1) * (n // 4) + least(s.range + 1, n % 4) as past from (select count(*) as n from orders), range(4) as s),
   sharded as (select problem_id, problem, solution, shard::INT as shard
     from (select *, row_number() over (order by problem_id) - 1 as i from f2) join b on i >= first and i < past),
   ct as (select l_orderkey as problem_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey as candidate,
     '<|im_start|>assistant' || chr(10) || 'flag ' || min(l_returnflag) || ' part ' || l_partkey || ' status ' || min(l_linestatus)
       || ' so \\boxed{{' || ((l_orderkey + l_linenumber % 2) % 97) || '}}<|im_end|>' as trace
-    from lineitem group by l_orderkey, l_linenumber, l_partkey, l_suppkey),
+    from lineitem group by l_orderkey, l_linenumber, l_partkey, l_suppkey)"""
+
+
+BUILT = f"""{stage(F2)},
   x as (select problem_id, candidate, unnest({words('trace')}) as w from ct),
   m as (select w, count(*) as n from x group by w), z as (select sum(n) as total, count(*) + 1 as types from m),
   sc as (select problem_id, candidate, avg(-ln((n + 1.0::DOUBLE) / (total + types))) as ppl from x join m using (w), z group by all),
-  tried as (select *, ppl <= 3.64::DOUBLE as ok, {seeded('problem_id, candidate')} as h from sc join sharded using (problem_id)),
+  tried as (select *, ppl <= {TRACE_THRESHOLD}::DOUBLE as ok, {seeded('problem_id, candidate')} as h from sc join sharded using (problem_id)),
   o as (select *, sum(ok::INT) over (partition by shard order by h rows unbounded preceding) as a,
     row_number() over (partition by shard order by h) as pos, count(*) over (partition by shard) as n from tried),
   taken as (select * exclude (n) from o join ct using (problem_id, candidate) where ok and a <= 500)"""
+BUILT_DONE = f"""{BUILT}, raw as ({graded('taken', 'trace', 'is_raw_correct')}),
+  af as (select *, {AF_OPEN} || '<|im_end|>' as trace_af from raw), done as ({graded('af', 'trace_af', 'is_af_correct')})"""
+PROMPT = f"""{message('system', q(SYSTEM_PROMPT))} || {message('user', "problem || chr(10)")} || '<|im_start|>assistant' || chr(10)"""
+
+# The stage without rejection: scores behind prompts of different length, answers forced and continued.
+PLAIN_F2 = """select o_orderkey as problem_id, repeat('please ', (o_orderkey % 3)::INT) || 'q ' || o_orderkey as problem,
+  '\\boxed{' || (o_orderkey % 97) || '}' as solution from orders"""
+PLAIN_STAGE = f"""{stage(PLAIN_F2)}, p as (select *, {PROMPT} as prompt from ct join sharded using (problem_id)),
+  t as (select problem_id, candidate, len({words('prompt')}) as skip, list_concat({words('prompt')}, {words('trace')}) as tokens from p),
+  x as (select problem_id, candidate, skip, unnest(tokens) as w, generate_subscripts(tokens, 1) - 1 as position from t),
+  m as (select w, count(*) as n from x group by w), z as (select sum(n) as total, count(*) + 1 as types from m),
+  sc as (select problem_id, candidate, avg(-ln((n + 1.0::DOUBLE) / (total + types))) filter (position >= skip) as ppl
+    from x join m using (w), z group by problem_id, candidate),
+  kept as (select * from p join sc using (problem_id, candidate)), raw as ({graded('kept', 'trace', 'is_raw_correct')}),
+  af as (select *, {AF_OPEN} || ((problem_id + (string_split(candidate, '-')[1]::INT % 3 = 0)::INT) % 97) || '}}\\]<|im_end|>' as trace_af from raw),
+  done as ({graded('af', 'trace_af', 'is_af_correct')})"""
+
+
+def drawn(run: str, score: str) -> str:
+    """One draw per order from the nucleus of these scores."""
+    return f"""select '{run}' as run, {LINE} from (select *, row_number() over (partition by l_orderkey order by
+        -ln(1 - ('0x' || substr({seeded(LINE)}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) / share) as place
+      from (select *, probability / sum(probability) over (partition by l_orderkey) as share
+        from (select *, sum(probability) over (partition by l_orderkey order by probability desc, {CANDIDATE} rows unbounded preceding) as upto
+          from (select *, mass / sum(mass) over (partition by l_orderkey) as probability
+            from (select *, exp((s - max(s) over (partition by l_orderkey)) / 2.0::DOUBLE) as mass
+              from (select *, {score} as s from ({CANDIDATES})))))
+        where upto - probability < 0.95::DOUBLE)) where place = 1"""
+
+
+def student_loss(order: int) -> str:
+    """Losses on the holdout of models fitted on three selections of the rest."""
+    grams = "w2" if order == 1 else "w1, w2"
+    pairs = "" if order == 1 else """, y as (select *, lead(w) over (partition by doc_id order by position) as next from u)"""
+    items = "select doc_id, w as w2 from u" if order == 1 else "select doc_id, w as w1, next as w2 from y where next is not null"
+    names = ("all", "fluent", "good")
+    flags = ("not held", "not held and coalesce(ppl <= {FLUENT}, false)", "not held and coalesce(quality = 1, false)")
+    columns = ", ".join(f"{f} as s{i}".replace("{FLUENT}", f"{FLUENT}::DOUBLE") for i, f in enumerate(flags))
+    if order == 1:
+        given = [f"(select sum(n{i}) from c)" for i in range(3)]
+    else:
+        given = [f"(sum(n{i}) over (partition by w1))" for i in range(3)]
+    chance = ", ".join(
+        f"-ln((n{i} + 1.0::DOUBLE) / ({given[i]} + (select count(distinct w2) filter (n0 + n1 + n2 > 0) + 1 from c))) as l{i}" for i in range(3)
+    )
+    rows = " union all ".join(
+        f"select '{n}' as train_set, (select count(*) filter (s{i}) from k)::BIGINT as rows, v{i} as loss, exp(v{i}) as perplexity, v{i} - v0 as loss_delta from v"
+        for i, n in enumerate(names)
+    )
+    return f"""with d as ({DOC_TOKENS}), h as (select doc_id,
+        row_number() over (order by {seeded('doc_id')}, doc_id) > floor(count(*) over () * {TRAIN_FRACTION}::DOUBLE) as held from documents),
+      u as (select doc_id, unnest(tokens) as w, generate_subscripts(tokens, 1) as position from d),
+      tm as (select w, count(*) as n from u join h using (doc_id) where not held group by w),
+      tz as (select sum(n) as total, count(*) + 1 as types from tm),
+      tp as (select doc_id, avg(-ln((n + 1.0::DOUBLE) / (total + types))) as ppl from u join h using (doc_id) join tm using (w), tz where not held group by doc_id),
+      k as (select doc_id, held, {columns} from h left join tp using (doc_id) left join labels using (doc_id)){pairs},
+      x as ({items}),
+      c as (select {grams}, count(*) filter (held) as nh, {', '.join(f'count(*) filter (s{i}) as n{i}' for i in range(3))} from x join k using (doc_id) group by all),
+      e as (select nh, {chance} from c),
+      v as (select {', '.join(f'sum(l{i} * nh) / sum(nh) as v{i}' for i in range(3))} from e)
+      select train_set, rows, round(loss, 6) as loss, round(perplexity, 6) as perplexity, round(loss_delta, 6) as loss_delta from ({rows})"""
+
+
+EDGES = ", ".join(str(right).lower() for _, _, right in EDGE_CASES)
 
 
 ORACLE: dict[str, str] = {
@@ -239,12 +308,12 @@ ORACLE: dict[str, str] = {
         row_number() over (order by problem_id) as rank, count(*) over () as n from f2)
       select problem_id, problem, solution from r where rank <= floor(n * {TRAIN_FRACTION}::DOUBLE)""",
     "load_problems_holdout": f"""with p as (select doc_id as problem_id, text as problem, source as solution, lang as subset
-        from documents where lang in ('de', 'en', 'es', 'fr')),
+        from documents),
       r as (select *, row_number() over (order by {seeded('problem_id')}, problem_id) as rank, count(*) over () as n from p)
       select problem_id, problem, solution, subset from r where rank > floor(n * {TRAIN_FRACTION}::DOUBLE)""",
     "load_problems_choice": MCQ,
     "load_problems_test": BENCHMARK,
-    "concat_subsets": "select doc_id, source, n_chars, lang as subset from documents where lang in ('de', 'en', 'es', 'fr')",
+    "concat_subsets": "select doc_id, source, n_chars, lang as subset from documents",
     "trace_round_trip": f"with {GRADED} select problem_id, run, trace_af, is_raw_correct, is_af_correct from done",
     "run_registry": NESTED,
     "format_mcq": MCQ,
@@ -286,11 +355,27 @@ ORACLE: dict[str, str] = {
     "grade": f"with f2 as ({F2}), done as ({graded('f2', 'trace', 'is_correct')}) select problem_id, is_correct from done",
     "grade_against": f"""select {LINE}, l_orderkey % 97 = (l_orderkey + l_linenumber % 2) % 97 as is_correct from ({CANDIDATES})""",
     "graded_traces": f"with {GRADED_MORE} select problem_id, trace_af, is_raw_correct, is_af_correct from done",
-    "trace_dataset": f"""with {BUILT}, raw as ({graded('taken', 'trace', 'is_raw_correct')}),
-      af as (select *, {AF_OPEN} || '<|im_end|>' as trace_af from raw), done as ({graded('af', 'trace_af', 'is_af_correct')})
-      select problem_id, candidate, shard, {message('system', q(SYSTEM_PROMPT))} || {message('user', "problem || chr(10)")}
-        || '<|im_start|>assistant' || chr(10) as prompt, solution, trace, round(ppl, 6) as trace_logppl, a::BIGINT as accept_rank,
+    "trace_dataset": f"""with {BUILT_DONE}
+      select problem_id, candidate, shard, {PROMPT} as prompt, solution, trace, round(ppl, 6) as trace_logppl, a::BIGINT as accept_rank,
+        trace_af, is_raw_correct, is_af_correct from done""",
+    "trace_dataset_plain": f"""with {PLAIN_STAGE} select problem_id, candidate, shard, prompt, round(ppl, 6) as trace_logppl,
         trace_af, is_raw_correct, is_af_correct from done""",
+    "grade_edge_answers": f"""select o_orderkey as problem_id, ([{EDGES}])[(o_orderkey % {len(EDGE_CASES)})::INT + 1] as is_correct from orders""",
+    "tokens_without_loss": r"""select doc_id, regexp_replace(lower(text), '[\x20\x09-\x0D]', '', 'g') as joined from documents""",
+    "defence_comparison": f"""with picks as ({drawn('clean', 'score')} union all {drawn('defended', 'score + 5.0::DOUBLE * (plus - minus)')}),
+      a as (select o_orderpriority as split, run, count(*) as traces, avg((l_linenumber % 2 = 0)::INT) as acc
+        from picks join orders on o_orderkey = l_orderkey group by all)
+      select split, run, traces, round(acc, 6) as raw_accuracy,
+        round(acc - max(case when run = 'clean' then acc end) over (partition by split), 6) as raw_accuracy_delta from a""",
+    "undecided_groups": f"""select l_orderkey, count(*) as candidates from ({CANDIDATES}) group by l_orderkey
+      having l_orderkey % 9 in (0, 3) or l_orderkey % 9 = 6 and bool_and(l_linenumber % 2 = 0)""",
+    "score_other_corpus": f"""with {UNIGRAMS}, pairs as ({PAIRS}), r as (select conv_id, turn, unnest({words('response')}) as w2 from pairs),
+      s as (select conv_id, turn, avg(-ln((coalesce(n, 0) + 1.0::DOUBLE) / (total + types))) as p from r left join m using (w2), z group by conv_id, turn)
+      select conv_id, turn, round(coalesce(p, -1), 6) as logppl from pairs left join s using (conv_id, turn)""",
+    "dataset_ablation": student_loss(1),
+    "dataset_ablation_bigram": student_loss(2),
+    "stored_settings": f"""with {BUILT_DONE} select 'gsm8k_train' as data_split, 0.5::DOUBLE as tau,
+        round(avg(is_raw_correct::INT), 6) as "stats.raw_accuracy", count(*) as "stats.trace_len_stats.count" from done""",
     "trace_dataset_report": f"""with {BUILT}, s as (select shard, count(*) as n,
           min(case when ok and a = 500 then least(ceil(pos / 512.0::DOUBLE) * 512, n) end) as paid,
           sum((a - ok::INT < 500 and not ok)::INT) as rejected, sum((a - ok::INT < 500 and ok)::INT) as accepted from o group by shard)
@@ -322,6 +407,11 @@ ORACLE: dict[str, str] = {
     "rejection_sample": f"""with {REJECTION} select {LINE}, shard, round(price, 6) as price, a::BIGINT as accept_rank
         from o where ok and a <= 1000""",
     "rejection_report": f"with {REJECTION} select * from report",
+    "rejection_unplaced": f"""with c as ({CANDIDATES}), o as (select *, price <= 2.5::DOUBLE as ok,
+        sum((price <= 2.5::DOUBLE)::INT) over (partition by shard order by {seeded(LINE)}, {LINE} rows unbounded preceding) as a
+        from c where l_orderkey % 11 > 0)
+      select 'placed' as part, sum((ok and a <= 500)::INT)::BIGINT as accepted, sum((not ok and a < 500)::INT)::BIGINT as rejected from o
+      union all select 'unplaced', 0, count(*) from c where l_orderkey % 11 = 0""",
     "softmax_scores": f"with {SOFTMAX} select {LINE}, round(probability, 6) as probability from p",
     "softmax_greedy": f"""with c as ({CANDIDATES}) select {LINE}, (row_number() over (partition by l_orderkey
         order by score desc, {CANDIDATE}) = 1)::INT::DOUBLE as probability from c""",
@@ -372,13 +462,20 @@ ORACLE: dict[str, str] = {
     "describe_lengths": f"select lang, {statistics('len(tokens)')} from ({DOC_TOKENS}) group by lang",
     "describe_all": f"select {statistics('l_extendedprice')} from lineitem",
     "flatten_struct": NESTED,
-    "run_record": f"""with {GRADED}, m as (select *, length(trace_af) as len, (problem_id % 101) / 7.0::DOUBLE as ppl from done), {REJECTION.replace('c as', 'rc as', 1).replace('from c)', 'from rc)', 1)}
+    "run_record": f"""with {BUILT_DONE}, measured as (select *, len({words('trace_af')}) as len from done),
+      shards as (select shard, count(*) as n, min(case when ok and a = 500 then least(ceil(pos / 512.0::DOUBLE) * 512, n) end) as paid,
+        sum((a - ok::INT < 500 and not ok)::INT) as rejected, sum((a - ok::INT < 500 and ok)::INT) as accepted,
+        max(case when ok and a <= 500 then ppl end) as top, sum(case when ok and a <= 500 then ppl end) as total from o group by shard),
+      report as (select sum(coalesce(paid, n))::BIGINT as generated, sum(rejected)::BIGINT as rejected, sum(accepted)::BIGINT as accepted,
+        round(sum(accepted) / greatest(sum(coalesce(paid, n)), 1)::DOUBLE, 6) as acceptance_rate, {TRACE_THRESHOLD}::DOUBLE as threshold,
+        true as all_below_threshold, round(max(top), 6) as max_accepted, round(sum(total) / sum(accepted), 6) as mean_accepted,
+        bool_or(accepted < 500) as exhausted from shards)
       select 'gsm8k_train' as data_split, 2.0::DOUBLE as tau, s.*, r.* from
         (select round(avg(is_raw_correct::INT), 6) as "stats.raw_accuracy", round(avg(is_af_correct::INT), 6) as "stats.af_accuracy",
-          {dotted('stats.trace_len_stats', 'len')}, {dotted('stats.ppl_stats', 'ppl')} from m) s,
+          {dotted('stats.trace_len_stats', 'len')}, {dotted('stats.ppl_stats', 'ppl')} from measured) s,
         (select {', '.join(f'{c} as "stats.rejection_sampling.{c}"' for c in (
             'generated', 'rejected', 'accepted', 'acceptance_rate', 'threshold', 'all_below_threshold',
-            'max_accepted', 'mean_accepted', 'exhausted'))} from report where shard is null) r""",
+            'max_accepted', 'mean_accepted', 'exhausted'))} from report) r""",
     "accepted_replies": f"""with pairs as ({PAIRS}), x as (select conv_id, turn, unnest({words('response')}) as w from pairs),
       m as (select w, count(*) as n from x group by w), z as (select sum(n) as total, count(*) + 1 as types from m),
       s as (select conv_id, turn, avg(-ln((n + 1.0::DOUBLE) / (total + types))) as logppl from x join m using (w), z group by all),

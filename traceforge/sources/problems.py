@@ -62,10 +62,10 @@ def subject_subsets(read: Callable[[str], DataFrame]) -> DataFrame:
     return concat_subsets({subject: read(subject) for subject in MATH_SUBJECTS})
 
 
-def as_problems(df: DataFrame, key: str, problem: str, solution: str) -> DataFrame:
-    """Rename a question/answer table and keep nothing else."""
+def as_problems(df: DataFrame, key: str, problem: str, solution: str, *others: str) -> DataFrame:
+    """Rename a question/answer table and keep only ``others`` beside."""
     return df.select(
-        F.col(key).alias(KEY), F.col(problem).alias("problem"), F.col(solution).alias("solution")
+        F.col(key).alias(KEY), F.col(problem).alias("problem"), F.col(solution).alias("solution"), *others
     )
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 SMALL_ROWS = 400_000
 SMALL_BYTES = 64 << 20
 
-# Spark's default size of one read split.
-SPLIT_BYTES = 128 << 20
+# Most rows of a scan that ``spread`` shuffles.
+SPREAD_ROWS = 1_000_000
 
 
 def build_session(app_name: str = "traceforge", master: str | None = None, **settings) -> SparkSession:
@@ -63,18 +63,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a small scan over all cores before costly per-row work.
+def spread(df: DataFrame, *keys: str, max_rows: int = SPREAD_ROWS) -> DataFrame:
+    """Hash a scan of at most ``max_rows`` rows over all cores before costly per-row work.
 
-    A table smaller than one read split per core would keep some cores idle, in
-    the worst case all but one. Larger scans are left as they are, so what is
-    shuffled here is at most one split per core.
+    Such a table may lie in a single read split and keep all cores but one idle.
+    Larger scans are left as they are. The rows are counted from the file footers.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size) >= cores * SPLIT_BYTES:
+    if df.count() > max_rows:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def row_bytes(df: DataFrame) -> Column:
