@@ -55,10 +55,12 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_substring_dedup_over_many_chunks(spark, rows, docs, empty, monkeypatch):
+@pytest.mark.parametrize("hot_bytes", [substring_dedup.HOT_BYTES, 1500, 0])
+def test_substring_dedup_over_many_chunks(spark, rows, docs, empty, monkeypatch, hot_bytes):
+    monkeypatch.setattr(substring_dedup, "WINDOW_ROWS", 7)
     monkeypatch.setattr(substring_dedup, "CHUNK_CHARS", 600)
     monkeypatch.setattr(substring_dedup, "BUCKET_CHARS", 500)
-    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs).collect()}
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs, hot_bytes=hot_bytes).collect()}
     sequences = {i: (t or "").encode().split() for i, t in rows}
     first = {}
     for i, words in sorted(sequences.items()):
@@ -75,7 +77,9 @@ def test_substring_dedup_over_many_chunks(spark, rows, docs, empty, monkeypatch)
 def test_repeated_row_is_no_earlier_place(spark):
     text = sentence(random.Random(1), 30)
     twice = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
-    assert [r["n_removed"] for r in substring_dedup.remove_repeats(twice).collect()] == [0, 0]
+    for hot_bytes in (substring_dedup.HOT_BYTES, 0):
+        kept = substring_dedup.remove_repeats(twice, hot_bytes=hot_bytes).collect()
+        assert [r["n_removed"] for r in kept] == [0, 0]
 
 
 def test_hash_collision_falls_back_to_texts(monkeypatch):

@@ -10,11 +10,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from traceforge.llm.common import RangeHashes, in_chunks, scrambled, word_bounds, words
+from traceforge.llm.common import RangeHashes, in_chunks, scrambled, settle, word_bounds, words
+from traceforge.workspace import small_or_none
 
 # Words of a minimiser, characters deduplicated before anything is shuffled,
-# characters of text per bucket.
-MINIMISER, CHUNK_CHARS, BUCKET_CHARS = 3, 4 << 20, 3 << 19
+# characters of text per bucket, and bytes beyond which no task takes a bucket whole.
+MINIMISER, CHUNK_CHARS, BUCKET_CHARS, HOT_BYTES = 3, 4 << 20, 3 << 19, 64 << 20
+# Windows of a hot bucket that are written out at once.
+WINDOW_ROWS = 1 << 13
 PACKED = "bucket int, texts binary, docs binary, starts binary, sizes binary"
 SPANS = "doc_id long, start int, stop int"
 
@@ -102,22 +105,28 @@ def _squeezed(array: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(array).tobytes(), 1)
 
 
-def _packed_rows(chunk: _Words, buckets: int) -> Iterator[tuple]:
-    """A row per bucket with its super-k-mers, and one with what is known to be repeated."""
-    docs, starts, stops = chunk.removed_spans()
-    if len(docs):
-        yield int(docs[0]) % buckets, None, _squeezed(docs), _squeezed(starts), _squeezed(stops - starts)
+def _super_kmers(chunk: _Words, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, word after the last, and bucket of each run of windows with one minimiser."""
     at = chunk.unique
     if not len(at):
-        return
+        return at, at, at
     grams = chunk.range_hashes(min(MINIMISER, chunk.window))
     least = _sliding_min(grams, chunk.window - min(MINIMISER, chunk.window) + 1)[at]
     cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(least.view(np.int64)) != 0)) + 1
     lows, highs = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])) - 1
-    bucket = (scrambled(least[lows]) % np.uint64(buckets)).astype(np.int64)
+    return at[lows], at[highs] + chunk.window, (scrambled(least[lows]) % np.uint64(buckets)).astype(np.int64)
+
+
+def _packed_rows(chunk: _Words, buckets: int) -> Iterator[tuple]:
+    """A row per bucket with its super-k-mers, and one with what is known to be repeated."""
+    docs, starts, stops = chunk.removed_spans()
+    if len(docs):
+        yield int(docs[0]) % buckets, None, _squeezed(docs), _squeezed(starts), _squeezed(stops - starts)
+    a, b, bucket = _super_kmers(chunk, buckets)
+    if not len(a):
+        return
     order = np.argsort(bucket, kind="stable")
     bounds = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
-    a, b = at[lows], at[highs] + chunk.window
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         runs = order[low:high]
         begin, end = chunk.begins[a[runs]].tolist(), chunk.ends[b[runs] - 1].tolist()
@@ -131,7 +140,39 @@ def _packed_rows(chunk: _Words, buckets: int) -> Iterator[tuple]:
         )
 
 
-def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
+def _hot_spans(packed: DataFrame, window: int) -> DataFrame:
+    """``doc_id, start, stop`` of repeated windows in packed rows, however many share a bucket or a text.
+
+    Windows become rows. The first place of each text is a minimum, combined
+    before the shuffle; every other place is found by its own (document, start),
+    so no key of either step is frequent.
+    """
+
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                texts, ids, starts = [], [], []
+                doc = np.frombuffer(zstandard.decompress(row["docs"]), np.int64).tolist()
+                at = np.frombuffer(zstandard.decompress(row["starts"]), np.int32).tolist()
+                pieces = zstandard.decompress(row["texts"]).split(b"\n")
+                for i, (piece, d, s) in enumerate(zip(pieces, doc, at, strict=True), 1):
+                    sequence = piece.split(b" ")
+                    n = len(sequence) - window + 1
+                    texts += [b" ".join(sequence[j : j + window]) for j in range(n)]
+                    ids += [d] * n
+                    starts += range(s, s + n)
+                    if len(texts) >= WINDOW_ROWS or i == len(doc):
+                        columns = [pa.array(texts, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())]
+                        yield pa.RecordBatch.from_arrays(columns, ["words", "doc_id", "start"])
+                        texts, ids, starts = [], [], []
+
+    windows = packed.select("docs", "starts", "texts").mapInArrow(unpack, "words binary, doc_id long, start int")
+    first = windows.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("at.*")
+    later = windows.select("doc_id", "start").join(first, ["doc_id", "start"], "left_anti")
+    return later.distinct().withColumn("stop", F.col("start") + window)
+
+
+def repeated_spans(docs: DataFrame, window: int = 20, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``doc_id, start, stop``: word ranges covered by windows that also start earlier.
 
     Chunks of documents drop what repeats within themselves, so that a passage
@@ -139,12 +180,16 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     super-k-mers, one packed string for all consecutive windows with the same
     minimiser, to the bucket of that minimiser. A bucket sorts its windows by
     hash, compares the texts of equal ones and keeps each window's first place.
+
+    Buckets are weighed first. One beyond ``hot_bytes``, whose minimiser is
+    frequent or whose passage lies in very many chunks, is never one task's work
+    but is counted window by window (see ``_hot_spans``), with the same result.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // BUCKET_CHARS))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Words]:
         for ids, texts in in_chunks(batches, "doc_id", "text", CHUNK_CHARS):
             order = np.argsort(np.array(ids, np.int64), kind="stable")
             pieces = [b" ".join(words(texts[i])) for i in order]
@@ -154,7 +199,18 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
                 continue
             joined = b" ".join([pieces[i] for i in long])
             docs_ = np.array(ids, np.int64)[order][long]
-            chunk = _Words(joined, sizes[long], docs_, np.zeros(len(long), np.int64), window)
+            yield _Words(joined, sizes[long], docs_, np.zeros(len(long), np.int64), window)
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            a, b, bucket = _super_kmers(chunk, buckets)
+            if len(a):
+                mine, which = np.unique(bucket, return_inverse=True)
+                size = np.bincount(which, chunk.ends[b - 1] - chunk.begins[a] + 1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(mine.astype(np.int32)), pa.array(size)], ["bucket", "bytes"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
             columns = zip(*_packed_rows(chunk, buckets), strict=True)
             types = [pa.int32()] + [pa.binary()] * 4
             yield pa.RecordBatch.from_arrays(
@@ -186,10 +242,19 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
             }
         )
 
-    return rows.mapInArrow(run, PACKED).groupBy("bucket").applyInArrow(count, SPANS)
+    weights = rows.mapInArrow(weigh, "bucket int, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    hot = settle(weights.where(F.col("bytes") > hot_bytes).select("bucket", F.lit(True).alias("hot")))
+    packed = rows.mapInArrow(run, PACKED)
+    if hot.isEmpty():
+        return packed.groupBy("bucket").applyInArrow(count, SPANS)
+    few = small_or_none(hot)
+    marked = settle(packed.join(hot if few is None else few, "bucket", "left"))
+    is_hot = F.col("hot").isNotNull() & F.col("texts").isNotNull()
+    cool = marked.where(~is_hot).drop("hot").groupBy("bucket").applyInArrow(count, SPANS)
+    return cool.unionByName(_hot_spans(marked.where(is_hot), window))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every document with an id.
 
     ``kept`` are the words outside all repeated windows, joined by one blank.
@@ -199,7 +264,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     reported.
     """
     spans = (
-        repeated_spans(docs, window)
+        repeated_spans(docs, window, hot_bytes)
         .groupBy(F.col("doc_id").alias("_doc"))
         .agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     )
