@@ -58,10 +58,11 @@ class RangeHashes:
     """Hashes of parts of ``data``; equal bytes have equal hashes in any data."""
 
     def __init__(self, data: bytes) -> None:
-        values = BYTES[np.frombuffer(data, np.uint8)]
-        values *= _powers(BASE, len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values, out=self.sums[1:])
+        values = self.sums[1:]  # filled, weighted and summed in place
+        np.take(BYTES, np.frombuffer(data, np.uint8), out=values, mode="clip")
+        values *= _powers(BASE, len(data))
+        np.cumsum(values, out=values)
 
     def of(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         back = _powers(pow(BASE, -1, 1 << 64), len(self.sums))

@@ -199,6 +199,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, hot_bytes: int = HOT_BYTES
                 continue
             joined = b" ".join([pieces[i] for i in long])
             docs_ = np.array(ids, np.int64)[order][long]
+            del pieces, texts
             yield _Words(joined, sizes[long], docs_, np.zeros(len(long), np.int64), window)
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
