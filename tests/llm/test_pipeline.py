@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 import duckdb
 import pytest
 
-from traceforge.llm import registered
+from traceforge.llm import registered, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +51,49 @@ def test_twins(spark, name):
     got = registered.QUERIES[name](spark, SF)
     want = duckdb.sql(registered.ORACLE[name])
     assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def alike(rnd, n, similarity):
+    """Two texts of ``n`` words each whose five-word shingles have about this similarity, and that similarity."""
+    a = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    b, at, shingles = list(a), list(range(0, n, 6)), lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rnd.shuffle(at)
+    while True:
+        x, y = shingles(a), shingles(b)
+        if (got := len(x & y) / len(x | y)) <= similarity:
+            return " ".join(a), " ".join(b), got
+        b[at.pop()] = f"w{rnd.randrange(10**6)}"
+
+
+def test_pairs_just_above_the_similarity_are_found(spark):
+    rnd = random.Random(1)
+    made = [alike(rnd, 300, 0.82) for _ in range(150)]
+    data = [(2 * i + k, pair[k]) for i, pair in enumerate(made) for k in (0, 1)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    ids = {r["doc_id"] for r in kept.collect()}
+    over = [i for i, (_, _, got) in enumerate(made) if got >= 0.8]
+    assert sum(2 * i + 1 in ids for i in over) <= 0.08 * len(over)
+    assert all(2 * i + 1 in ids for i in range(150) if made[i][2] < 0.8) and all(2 * i in ids for i in range(150))
+
+
+def test_nodes_that_a_leader_refuses_meet(spark):
+    zero, near = bytes(64), bytes(63) + b"\x01"
+    far = bytes(32) + b"\xff" * 32
+    rows = [(n, zero) for n in range(30)] + [(100 + n, far if n % 2 else far[:-1] + b"\xfe") for n in range(30)] + [(200, near)]
+    nodes = spark.createDataFrame(rows, "node long, fingerprint binary")
+    found = {frozenset(r) for part in simhash._candidates(nodes, 28, range(2), 8, 0.23) for r in part.collect()}
+    for low, high in ((0, 30), (100, 130)):
+        left = set(range(low, high))
+        reached = {low}
+        for _ in left:
+            reached |= {n for pair in found if pair & reached for n in pair}
+        assert left <= reached
+    assert not any(min(pair) < 100 <= max(pair) < 200 for pair in found)
+
+
+def test_rows_without_an_id_and_other_texts_of_an_id_stay(spark):
+    rnd = random.Random(2)
+    one, two, three = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(100)) for _ in range(3))
+    data = [(1, one), (1, two), (1, one), (2, one), (3, three), (None, one), (None, one)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, one), (1, two), (3, three), (None, one), (None, one)], key=str)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -118,3 +119,9 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint()
+
+
+def release(spark) -> None:
+    """Let Spark delete the shuffle files of finished work, which it does once the driver drops what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

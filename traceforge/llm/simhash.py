@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from traceforge.llm.common import settle, words
+from traceforge.llm.common import release, settle, words
 from traceforge.llm.components import connected_components
 
 SEED = 42
@@ -18,6 +19,10 @@ SEED = 42
 BLOCK = 1 << 16
 # Odd multipliers from which further 64-bit words of a fingerprint are drawn.
 GOLDEN, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+# Share of differing bits of two equally large sets at a Jaccard similarity of 0.8: arccos(2J / (1 + J)) / pi.
+SHARE = math.acos(1.6 / 1.8) / math.pi
+# Nodes under one key that meet pair by pair; tables searched at once.
+FEW, PASS = 16, 6
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -73,28 +78,33 @@ def _bits(width: int, table: Column) -> Column:
     return F.conv(part, 16, -10).cast("long")
 
 
+def _ball(keys: DataFrame, width: int) -> DataFrame:
+    """Each row of ``keys`` (table, key, ...) at its key and at all keys one bit away, as ``place``."""
+    ball = f"concat(array(key), transform(sequence(0, {width - 1}), j -> key ^ shiftleft(1L, j)))"
+    place = F.col("variant") if width == 64 else F.shiftleft(F.col("table").cast("long"), width).bitwiseOR(F.col("variant"))
+    return keys.withColumn("variant", F.explode(F.expr(ball))).withColumn("place", place).drop("variant")
+
+
 def _ball_links(keys: DataFrame, width: int, neighbours: bool) -> DataFrame:
     """Candidate links ``a, b`` of ``table, key, node`` rows with distinct (table, key).
 
     Each key emits itself and all keys one bit away; two keys at most two bits
     apart meet at the key in between. At most ``width + 1`` keys meet there, all
     within two bits of each other, so a link to the smallest node of a meeting
-    place joins them all; ``neighbours`` adds links along the order, for callers
-    whose verification may refuse some. Keys of several tables must leave room
-    for the table's number above them.
+    place joins them all; with ``neighbours``, for callers whose verification
+    may refuse some, every two of them are linked. Keys of several tables must
+    leave room for the table's number above them.
     """
-    ball = f"concat(array(key), transform(sequence(0, {width - 1}), j -> key ^ shiftleft(1L, j)))"
-    place = F.col("variant") if width == 64 else F.shiftleft(F.col("table").cast("long"), width).bitwiseOR(F.col("variant"))
-    emitted = keys.withColumn("variant", F.explode(F.expr(ball))).select(place.alias("place"), "node")
-    met = Window.partitionBy("place").orderBy("node")
-    found = emitted.withColumn("other", F.first("node").over(met))
+    emitted = _ball(keys, width).select("place", "node")
     if neighbours:
-        found = found.withColumn("before", F.lag("node").over(met)).where("other <> node")
-        found = found.withColumn("other", F.explode(F.array_distinct(F.array("other", "before"))))
+        met = emitted.groupBy("place").agg(F.collect_list("node").alias("met")).where(F.size("met") > 1)
+        met = met.select(F.explode("met").alias("a"), "met").select("a", F.explode("met").alias("b"))
+        return met.where("a > b").distinct()
+    found = emitted.withColumn("other", F.first("node").over(Window.partitionBy("place").orderBy("node")))
     return found.where("other <> node").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def plan_tables(documents: int, share: float = 0.11, recall: float = 0.95) -> tuple[int, int]:
+def plan_tables(documents: int, share: float = SHARE, recall: float = 0.95) -> tuple[int, int]:
     """Key width and number of tables for so many documents.
 
     A key is wide enough that unrelated documents rarely meet, whatever their
@@ -107,57 +117,144 @@ def plan_tables(documents: int, share: float = 0.11, recall: float = 0.95) -> tu
     return width, math.ceil(math.log(1 - recall) / math.log(1 - near))
 
 
-def near_duplicates(
-    docs: DataFrame, shingle_words: int = 3, parts: int = 1, max_distance: float | None = None
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document with an id.
 
-    Without ``max_distance``, 64-bit fingerprints link at two or fewer differing
-    bits, every link is found, and ``parts`` must be one. With it, fingerprints
-    of at least 64 × ``parts`` bits link at that share of differing bits: any of
-    several disjoint keys within two bits makes a pair a candidate (see
-    ``plan_tables``), and the whole fingerprint verifies it.
-
-    A null or empty text has fingerprint zero and links like any other. Rows
-    that share a doc_id are reported once each, in one group. Copies are
-    collapsed by fingerprint, then by key, before anything is emitted.
+    64-bit fingerprints link at two or fewer differing bits, and every link is
+    found. A null or empty text has fingerprint zero and links like any other.
+    Rows that share a doc_id are reported once each, in one group. Copies are
+    collapsed by fingerprint before anything is emitted.
     """
-    exact = max_distance is None
-    if not exact:
-        width, tables = plan_tables(docs.count())
-        parts = max(parts, -(-width * tables // 64))
-    marked = settle(fingerprints(docs, shingle_words, parts))
+    marked = settle(fingerprints(docs, shingle_words))
     nodes = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
-    if exact:
-        keys = nodes.select(F.lit(0).alias("table"), _bits(64, F.lit(0)).alias("key"), "node")
-        links = _ball_links(keys, 64, neighbours=False)
-    else:
-        nodes = settle(nodes)
-        each = nodes.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
-        each = each.select("table", _bits(width, F.col("table")).alias("key"), "node")
-        keys = settle(each.groupBy("table", "key").agg(F.min("node").alias("first")))
-        same = each.join(keys, ["table", "key"]).where("node <> first")
-        near = _ball_links(keys.withColumnRenamed("first", "node"), width, neighbours=True)
-        candidates = near.unionByName(same.select(F.col("node").alias("a"), F.col("first").alias("b"))).distinct()
-        left = nodes.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa"))
-        right = nodes.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb"))
-        words_of = lambda f, i: F.conv(F.substr(F.hex(f), F.lit(16 * i + 1), F.lit(16)), 16, -10).cast("long")
-        differing = sum(F.bit_count(words_of("fa", i).bitwiseXOR(words_of("fb", i))) for i in range(parts))
-        links = candidates.join(left, "a").join(right, "b").where(differing <= int(64 * parts * max_distance)).select("a", "b")
-    groups = connected_components(links)
+    keys = nodes.select(F.lit(0).alias("table"), _bits(64, F.lit(0)).alias("key"), "node")
+    groups = connected_components(_ball_links(keys, 64, neighbours=False))
     named = nodes.join(groups, nodes["node"] == groups["node"], "left").select(
         "fingerprint", F.coalesce("component", nodes["node"]).alias("component_id")
     )
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def _marks(docs: DataFrame, shingle_words: int, parts: int) -> DataFrame:
+    """``doc_id, hash, shingles, fingerprint`` of rows with an id: digest and fingerprint of the set of shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.as_py(), shingle_words)) for text in batch.column("text")]
+            digests = [xxhash.xxh3_128_digest(found.tobytes()) for found in sets]
+            values = [majority(found, parts) for found in sets]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(values, pa.binary())],
+                ["doc_id", "hash", "shingles", "fingerprint"],
+            )
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, hash long, shingles binary, fingerprint binary")
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """``pairs`` (a, b, ...) with ``apart``, the share of differing bits of their fingerprints."""
+    left = nodes.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb"))
+    words_of = lambda f, i: F.conv(F.substr(F.hex(f), F.lit(16 * i + 1), F.lit(16)), 16, -10).cast("long")
+    differing = sum(F.bit_count(words_of("fa", i).bitwiseXOR(words_of("fb", i))) for i in range(parts))
+    return pairs.join(left, "a").join(right, "b").withColumn("apart", differing / (64.0 * parts)).drop("fa", "fb")
+
+
+def _candidates(nodes: DataFrame, width: int, tables: range, parts: int, max_distance: float) -> list[DataFrame]:
+    """Pairs ``a, b`` whose keys are within two bits in one of ``tables`` and whose fingerprints are near.
+
+    Under one key, nodes near a leader stand behind it in this table, and those
+    that it refuses go on among themselves, until no more than ``FEW`` are left
+    and meet pair by pair. Leaders of keys within two bits meet pair by pair.
+    Another table draws other leaders.
+    """
+    each = nodes.withColumn("table", F.explode(F.array(*map(F.lit, tables))))
+    rest = settle(each.select("table", _bits(width, F.col("table")).alias("key"), "node"))
+    found, leaders = [], []
+    rank = F.struct(F.xxhash64("table", "node").alias("rank"), "node")
+    while True:
+        groups = rest.groupBy("table", "key").agg(F.count("*").alias("n"), F.min(rank)["node"].alias("b"))
+        small, large = groups.where(f"n <= {FEW}"), settle(groups.where(f"n > {FEW}"))
+        few = rest.join(small.select("table", "key", "n"), ["table", "key"])
+        leaders.append(few.select("table", "key", "node"))
+        two = few.where("n > 1").select("table", "key", F.col("node").alias("a"))
+        two = two.join(two.select("table", "key", F.col("a").alias("b")), ["table", "key"]).where("a > b")
+        found.append(settle(_near(two.select("a", "b").distinct(), nodes, parts).where(F.col("apart") <= max_distance)))
+        if large.isEmpty():
+            break
+        leaders.append(large.select("table", "key", F.col("b").alias("node")))
+        led = rest.join(large.drop("n"), ["table", "key"]).where("node <> b").withColumnRenamed("node", "a")
+        led = settle(_near(led, nodes, parts))
+        found.append(led.where(F.col("apart") <= max_distance))
+        rest = led.where(F.col("apart") > SHARE).select("table", "key", F.col("a").alias("node"))
+    leaders = settle(reduce(DataFrame.unionByName, leaders))
+    keys = leaders.select("table", "key").distinct().withColumn("node", F.shiftleft(F.col("table").cast("long"), width).bitwiseOR(F.col("key")))
+    met = _ball_links(keys, width, neighbours=True)
+    place = F.shiftleft(F.col("table").cast("long"), width).bitwiseOR(F.col("key"))
+    left = leaders.select(place.alias("a"), F.col("node").alias("na"))
+    right = leaders.select(place.alias("b"), F.col("node").alias("nb"))
+    across = met.join(left, "a").join(right, "b").select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b"))
+    found.append(settle(_near(across.distinct(), nodes, parts).where(F.col("apart") <= max_distance)))
+    return [part.select("a", "b") for part in found]
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets of shingles have at least this Jaccard similarity."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = lambda name: (np.unique(shingle_hashes(t.as_py(), shingle_words)) for t in batch.column(name))
+            good = []
+            for x, y in zip(sets("ta"), sets("tb"), strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text")
+    named = nodes.select("node", "doc_id", "hash").join(ends, "node")
+    texts = settle(rows.join(named, ["doc_id", "hash"]).groupBy("node").agg(F.any_value("text").alias("text")))
+    left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def near_copies(
+    docs: DataFrame, shingle_words: int = 5, parts: int = 5, max_distance: float = 0.23, similarity: float = 0.8
+) -> DataFrame:
+    """``doc_id, hash`` (of the text) of the texts with an id that have a near copy before them.
+
+    Fingerprints of the sets of shingles, of at least 64 × ``parts`` bits, only
+    propose (see ``plan_tables``), at that share of differing bits; the exact
+    Jaccard similarity decides. Texts with equal sets count as one, that of the
+    smallest doc_id. Tables are searched a few at a time and their shuffle files
+    released in between, so that the disk holds those of a few.
+    """
+    width, tables = plan_tables(docs.count())
+    parts = max(parts, -(-width * tables // 64))
+    marked = settle(_marks(docs, shingle_words, parts))
+    least = F.min(F.struct("doc_id", "hash"))
+    nodes = marked.groupBy("shingles").agg(least.alias("least"), F.any_value("fingerprint").alias("fingerprint"))
+    nodes = nodes.select("least.*", "shingles", "fingerprint").repartitionByRange("doc_id", "hash")
+    nodes = settle(nodes.sortWithinPartitions("doc_id", "hash").withColumn("node", F.monotonically_increasing_id()))
+    found = []
+    for first in range(0, tables, PASS):
+        found += _candidates(nodes, width, range(first, min(tables, first + PASS)), parts, max_distance)
+        release(docs.sparkSession)
+    pairs = settle(reduce(DataFrame.unionByName, found).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    groups = connected_components(_alike(pairs, nodes, docs, shingle_words, similarity))
+    release(docs.sparkSession)
+    stay = nodes.join(groups, "node", "left_anti").select("doc_id", "hash")
+    return marked.select("doc_id", "hash").distinct().join(stay, ["doc_id", "hash"], "left_anti")
+
+
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id.
 
-    Rows that repeat a doc_id count as copies: the least text by hash stays.
+    Rows that repeat a doc_id and its text count as copies; different texts of
+    one doc_id are judged each by itself.
     """
-    first = near_duplicates(docs, **settings).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
-    order = Window.partitionBy("doc_id").orderBy("hash")
-    kept = rows.join(first, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order))
-    return kept.where("nth = 1").select("row.*")
+    gone = near_copies(docs, **settings)
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    once = rows.groupBy("doc_id", "hash").agg(F.any_value("row").alias("row"))
+    return once.join(gone, ["doc_id", "hash"], "left_anti").select("row.*")
