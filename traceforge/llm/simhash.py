@@ -16,13 +16,13 @@ from traceforge.llm.components import connected_components
 
 SEED = 42
 # Shingles whose bits are spread out at once.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 # Odd multipliers from which further 64-bit words of a fingerprint are drawn.
 GOLDEN, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 # Share of differing bits of two equally large sets at a Jaccard similarity of 0.8: arccos(2J / (1 + J)) / pi.
 SHARE = math.acos(1.6 / 1.8) / math.pi
 # Nodes under one key that meet pair by pair; tables searched at once.
-FEW, PASS = 16, 6
+FEW, PASS = 16, 4
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -97,7 +97,9 @@ def _ball_links(keys: DataFrame, width: int, neighbours: bool) -> DataFrame:
     """
     emitted = _ball(keys, width).select("place", "node")
     if neighbours:
-        met = emitted.groupBy("place").agg(F.collect_list("node").alias("met")).where(F.size("met") > 1)
+        order = Window.partitionBy("place").orderBy("node")  # most places hold one key: they go before any list is made
+        shared = emitted.withColumn("near", F.coalesce(F.lag("node").over(order), F.lead("node").over(order)))
+        met = shared.where("near is not null").groupBy("place").agg(F.collect_list("node").alias("met"))
         met = met.select(F.explode("met").alias("a"), "met").select("a", F.explode("met").alias("b"))
         return met.where("a > b").distinct()
     found = emitted.withColumn("other", F.first("node").over(Window.partitionBy("place").orderBy("node")))
