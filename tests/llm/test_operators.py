@@ -341,3 +341,17 @@ def test_language_of_a_text_longer_than_a_chunk(monkeypatch):
     text = "word " * 100 + "x" * 130
     pieces = [p for _, group in language._pieces([text, "", "b"]) for p in group]
     assert "".join(pieces) == text + "b"
+
+
+def test_labels_of_other_documents_and_whole_labels(spark):
+    rnd = random.Random(9)
+    prose = [f"{sentence(rnd, 40).capitalize()}. {sentence(rnd, 30)}." for _ in range(120)]
+    junk = ["!! ".join(sentence(rnd, 30).upper().split()) + "!!" for _ in range(60)]
+    data = [(i, t, 1) for i, t in enumerate(prose)] + [(1000 + i, t, 0) for i, t in enumerate(junk)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(0, prose[0])] * 5, "doc_id long, text string")
+    for labels in ([(i, q) for i, _, q in data if i % 2] + [(10**6 + i, 0) for i in range(500)], [(i, q) for i, _, q in data]):
+        model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"), sample=100)
+        got = {r["doc_id"]: r["predicted"] for r in quality.score(docs, model, [F.col("doc_id")]).collect()}
+        assert sum(got[i] == q for i, _, q in data) >= 0.95 * len(data)
+    with pytest.raises(ValueError):
+        quality.fit(docs, spark.createDataFrame([(0, 0)], "doc_id long, quality int"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from traceforge.llm.common import RangeHashes, word_bounds
+from traceforge.llm.common import RangeHashes, settle, word_bounds
 
 # Most rows of a class that are learned from, bins of a feature, gradient steps.
 SAMPLE, BINS, STEPS = 10_000, 16, 1500
@@ -132,32 +133,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), both limited to learning rows.
 
     Rows of quality 1 are the trusted positives, rows without a label the
-    unlabelled text; the class prior is the share of ones among all labels. The
-    labels of both kinds then place the logits around 0.5. About ``sample`` rows
-    at most of each kind are used, chosen by hash of the doc_id; only their
-    features reach the driver. Without a positive or an unlabelled row there is
-    nothing to learn and the result is None. A doc_id with several labels counts
-    with the highest.
+    unlabelled text; the class prior is the share of ones among the labelled
+    rows of ``docs``, so labels of other documents count nowhere. The labels of
+    both kinds then place the logits around 0.5. At most ``sample`` rows of each
+    kind are used, those of the least hashes of doc_id and text; only their
+    features reach the driver. Where every row has a label, the labelled rows
+    are the unlabelled text, with their own share of ones. No rows give None;
+    rows without a one, or ones alone, cannot be learned from and raise. A
+    doc_id with several labels counts with the highest.
     """
     marks = labels.where("doc_id is not null and quality is not null")
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("quality"))
-    ones, marked = marks.agg(F.count_if(F.col("quality") == 1), F.count("*")).first()
-    plain = docs.where("doc_id is not null").count() - marked
-    if ones == 0 or plain <= 0:
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text")
+    kind = F.when(F.col("_id").isNull(), -1).otherwise((F.col("quality") == 1).cast("int")).alias("kind")
+    texts = rows.select("doc_id", "hash").distinct().join(marks, F.col("doc_id") == F.col("_id"), "left")
+    texts = settle(texts.select("doc_id", "hash", kind))
+    counts = {r["kind"]: r["count"] for r in texts.groupBy("kind").count().collect()}
+    if not counts:
         return None
-    share = lambda n: min(1.0, sample / max(1, n))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rates = F.when(F.col("_id").isNull(), share(plain)).when(F.col("quality") == 1, share(ones)).otherwise(share(marked - ones))
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    # at most about three samples of ids, so they may go to every task; the texts stay where they are
-    drawn = (
-        rows.select("doc_id")
-        .distinct()
-        .join(marks, F.col("doc_id") == F.col("_id"), "left")
-        .where(part < rates)
-        .select("doc_id", F.when(F.col("_id").isNull(), -1).otherwise((F.col("quality") == 1).cast("int")).alias("kind"))
-    )
-    drawn = rows.join(F.broadcast(drawn), "doc_id").select("kind", "text")
+    if not counts.get(1) or len(counts) == 1:
+        raise ValueError(f"quality cannot be learned: {counts.get(1, 0)} rows of quality 1, {counts.get(0, 0)} of 0, {counts.get(-1, 0)} without")
+    # a tenth more than the sample by hash, of which the least stay: at most three samples of keys
+    # go to every task; the texts stay where they are
+    place = F.xxhash64("doc_id", "hash", F.lit(0))
+    part = F.pmod(place, F.lit(1 << 20)) / float(1 << 20)
+    least = [
+        texts.where((F.col("kind") == k) & (part < 1.1 * sample / n)).orderBy(part, place, "doc_id", "hash").limit(sample)
+        for k, n in counts.items()
+    ]
+    drawn = rows.join(F.broadcast(reduce(DataFrame.unionByName, least)), ["doc_id", "hash"])
+    drawn = drawn.groupBy("doc_id", "hash", "kind").agg(F.any_value("text").alias("text")).select("kind", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,10 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     kind = found.column("kind").to_numpy()
     order = np.lexsort((*values.T, kind))  # the same model whatever order the rows arrive in
     values, kind = values[order], kind[order]
-    if not (kind == 1).any() or not (kind == -1).any():
-        return None
-    model = fit_risk(values[kind == 1], values[kind == -1], ones / marked)
-    return calibrated(model, values[kind == 1], values[kind == 0])
+    one, zero, plain = (values[kind == k] for k in (1, 0, -1))
+    prior = counts[1] / (counts[1] + counts.get(0, 0))
+    if not len(plain):
+        plain = np.vstack((one, zero))
+        prior = len(one) / len(plain)
+    return calibrated(fit_risk(one, plain, prior), one, zero)
 
 
 def score(docs: DataFrame, model: Model | None, kept: list[Column]) -> DataFrame:
