@@ -12,8 +12,8 @@ from traceforge.llm.common import RangeHashes, rolled, scrambled, word_bounds, w
 
 # Every byte but a letter's or digit's is a blank.
 SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-# Shortest item searched for, and its edits per word: two texts with a fifth of
-# their words edited are four fifths alike.
+# Shortest item searched for with edits, shorter ones word for word; edits per
+# word: two texts with a fifth of their words edited are four fifths alike.
 LEAST_WORDS, EDIT_SHARE = 8, 0.2
 # Random walks, samples per walk, positions per sample; an embedding's length per word.
 WALKS, SAMPLES, POSITIONS, STRETCH = 8, 4, 3, 3
@@ -91,10 +91,10 @@ def best_match(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
 class Finder:
     """Items prepared for the search; small enough to be sent to every task."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
         parts = [(key, normal_words(text)) for key, text in items]
-        self.items = [(key, sequence) for key, sequence in parts if len(sequence) >= LEAST_WORDS]
-        self.edits = [int(len(sequence) * EDIT_SHARE) for _, sequence in self.items]
+        self.items = [(key, sequence) for key, sequence in parts if sequence]
+        self.edits = [int(len(s) * EDIT_SHARE) if len(s) >= LEAST_WORDS else 0 for _, s in self.items]
         # An item with k edits or fewer keeps one of its k + 1 equal parts unchanged.
         seeds: dict[int, list[tuple[int, int, int]]] = {}
         for i, (_, sequence) in enumerate(self.items):
@@ -174,12 +174,12 @@ class Finder:
 
 def _finders(benchmark: DataFrame) -> Iterator[Finder]:
     """The items in blocks of bounded size; a benchmark beyond one block is searched for block by block."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // ITEM_BYTES + 1
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        yield Finder(sorted(map(tuple, mine.collect())))
+        yield Finder(sorted(map(tuple, mine.collect()), key=lambda item: (item[0] is None, item[0] or 0, item[1])))
 
 
 def _slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -203,9 +203,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     turn edits into differing positions; windows that share a sampled key with
     an item in any of 32 samples are verified exactly. Only windows are embedded
     that hold one of the item's k + 1 equal parts unchanged, which every match
-    with k edits does. Items under eight words, and null texts, items or ids of
-    items, match nothing; a null doc_id is reported as such. Repeated rows are
-    reported each.
+    with k edits does. Items under eight words are searched for word for word.
+    Null texts and items without a word match nothing; a null doc_id or item_id
+    is reported as such. Repeated rows are reported each.
     """
     spark, parts = docs.sparkSession, []
     for finder in _finders(benchmark):
