@@ -346,13 +346,20 @@ def test_language_of_a_text_longer_than_a_chunk(monkeypatch):
 def test_short_items_and_items_without_an_id_leak_too(spark):
     texts = ["a What is, b?", "so what is c b", "one two three four five six seven", "x of no name y", "clean"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    items = [(1, "what is b"), (2, "two three four five six Seven"), (None, "of no name"), (3, "?")]
+    items = [(1, "what is b"), (1, "what is b"), (2, "two three four five six Seven"), (None, "of no name"), (3, "?")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find_leaks(docs, benchmark).collect()
     assert sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in found), key=str) == [(0, 1, 0), (2, 2, 0), (3, None, 0)]
     assert {r["doc_id"] for r in decontaminate.drop_leaking(docs, benchmark).collect()} == {1, 4}
 
 
+def test_texts_of_one_item_id_are_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 100)
+    items = [(1, f"item number {i} of one id") for i in range(40)] * 3
+    sizes = [len(f.items) for f in decontaminate._finders(spark.createDataFrame(items, "item_id long, text string"))]
+    assert sum(sizes) == 40 and max(sizes) < 20
+
+
 def test_labels_of_other_documents_and_whole_labels(spark):
     rnd = random.Random(9)
     prose = [f"{sentence(rnd, 40).capitalize()}. {sentence(rnd, 30)}." for _ in range(120)]

@@ -174,11 +174,11 @@ class Finder:
 
 def _finders(benchmark: DataFrame) -> Iterator[Finder]:
     """The items in blocks of bounded size; a benchmark beyond one block is searched for block by block."""
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // ITEM_BYTES + 1
     for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         yield Finder(sorted(map(tuple, mine.collect()), key=lambda item: (item[0] is None, item[0] or 0, item[1])))
 
 
@@ -205,7 +205,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     that hold one of the item's k + 1 equal parts unchanged, which every match
     with k edits does. Items under eight words are searched for word for word.
     Null texts and items without a word match nothing; a null doc_id or item_id
-    is reported as such. Repeated rows are reported each.
+    is reported as such. Equal rows of the benchmark count once, different texts
+    of one item_id each; repeated documents are reported each.
     """
     spark, parts = docs.sparkSession, []
     for finder in _finders(benchmark):
