@@ -372,3 +372,33 @@ def test_labels_of_other_documents_and_whole_labels(spark):
         assert sum(got[i] == q for i, _, q in data) >= 0.95 * len(data)
     with pytest.raises(ValueError):
         quality.fit(docs, spark.createDataFrame([(0, 0)], "doc_id long, quality int"))
+
+
+PROSE = "A sentence of some length, with signs. And one more, to be sure of it. " * 4
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_html_ratios_decide_inside_and_outside_of_articles(around):
+    body = f"<h2>Head</h2><p>{PROSE}</p><ul><li>alpha<li>beta</ul><table><tr><td>cell<td>other</table><p>{PROSE}</p>"
+    links = "<div><ul><li><a href=1>Read this next</a><li><a href=2>Most seen</a></ul></div>"
+    text = html_text.main_text(f"<body><{around}>{body}{links}</{around}></body>")
+    assert text.split("\n") == ["Head", PROSE.strip(), "alpha", "beta", "cell", "other", PROSE.strip()]
+    teaser = html_text.main_text(f"<body><article><p>Short, soon.</p></article><div><p>{PROSE}</p><p>{PROSE}</p></div></body>")
+    assert teaser.count(PROSE.strip()) == 2
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<article class='post category-notices'>",
+        "<div id='page' class='has-sidebar'>",
+        "<div class='content no-comments'>",
+        "<article class='search result'>",
+        "<div class='entry social-science'>",
+        "<div class='search result'>",
+    ],
+)
+def test_html_state_classes_drop_no_page(start):
+    page = f"<body><div class='cookie-banner'>Take cookies.</div>{start}<h1>T</h1><p>{PROSE}</p><div class='ad'>buy</div></{start[1:].split()[0]}>"
+    assert html_text.main_text(page + "<p>x</p></body>").split("\n")[:2] == ["T", PROSE.strip()]
+    assert "buy" not in html_text.main_text(page) and "cookies" not in html_text.main_text(page)

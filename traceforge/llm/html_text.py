@@ -48,39 +48,54 @@ PART_NAMES = set(
 HEADER_NAMES = {"header", "hero"}
 # Share of the text-weighted mean score that a path must reach.
 THRESHOLD = 0.5
+# Weight of lying in an article or main element; factor of a path that a compound name such as social-share hints at.
+ROOT, HINTED = 0.5, 0.4
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# Parts of lists and tables, which are judged by what stands beside the whole list or table.
+STRUCTURE = HEADINGS | set("ul ol li dl dt dd table caption thead tbody tfoot tr td th".split())
 
 
 class _Element:
-    __slots__ = ("name", "block", "dropped", "root", "path", "link")
+    __slots__ = ("name", "block", "dropped", "root", "path", "link", "hinted", "by")
 
-    def __init__(self, name: str, attributes: str, parent: _Element | None) -> None:
+    def __init__(self, name: str, attributes: str, parent: _Element | None, nth: int = 0, spared: frozenset[int] = frozenset()) -> None:
         self.name, self.block = name, name not in INLINE
         dropped, label, root = name in DROPPED, "", name in ROOTS
-        inside = parent is not None and parent.root
+        inside, hinted, by = parent is not None and parent.root, parent is not None and parent.hinted, parent.by if parent else 0
+        excused = name in ("body", "html", "main", "article") or nth in spared
         if attributes:
-            names: set[str] = set()
+            names: list[set[str]] = []
             for key, *values, hidden in ATTRIBUTE.findall(attributes):
                 value = "".join(values)
                 key = key.lower()
                 if hidden or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     dropped = True
                 elif key in ("class", "id", "role"):
-                    names.update(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().replace("-", " ").replace("_", " ").split())
+                    names += [set(re.sub(r"([a-z])([A-Z])|[-_]+", r"\1 \2", token).lower().split()) for token in value.split()]
                     root = root or key == "role" and value.lower() == "main"
                     label += "." + value
-            dropped = dropped or bool(names & PART_NAMES) and name not in ("body", "html", "main")
-            dropped = dropped or bool(names & HEADER_NAMES) and not inside and name not in ("body", "html", "main", "article")
+            if not excused:
+                if any(token and token <= (PART_NAMES if inside else PART_NAMES | HEADER_NAMES) for token in names):
+                    by = by or nth
+                hinted = hinted or any(token & PART_NAMES for token in names)
         dropped = dropped or name == "header" and not inside
         self.dropped = dropped or parent is not None and parent.dropped
-        self.root = root and not self.dropped or inside
+        self.by, self.hinted = by, hinted and name not in ROOTS
+        self.root = root and not self.dropped and not by or inside
         above = parent.path if parent else ""
-        self.path = f"{above}/{name}{label}" if self.block else above
+        self.path = f"{above}/{name}{label.replace('/', '|')}" if self.block else above
         self.link = name == "a" or parent is not None and parent.link
 
 
-def text_blocks(page: str) -> list[tuple[str, bool, str, int]]:
-    """Path, whether in an article, text and characters in links of every block outside dropped parts."""
-    out: list[tuple[str, bool, str, int]] = []
+def text_blocks(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, bool, bool, str, int]]:
+    """Path, whether in an article, whether hinted at, text and characters in links of every block outside dropped parts.
+
+    An element is dropped by a class, id or role of which every word names a
+    part, unless it holds most of the page's text (``spared``).
+    """
+    out: list[tuple[str, bool, bool, str, int]] = []
+    held: dict[int, int] = {}
+    count = 0
     stack = [_Element("", "", None)]
     opened: dict[str, int] = {}
     buffer: list[str] = []
@@ -91,7 +106,7 @@ def text_blocks(page: str) -> list[tuple[str, bool, str, int]]:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                out.append((stack[-1].path, stack[-1].root, text, linked))
+                out.append((stack[-1].path, stack[-1].root, stack[-1].hinted, text, linked))
             buffer.clear()
         linked = 0
 
@@ -99,6 +114,9 @@ def text_blocks(page: str) -> list[tuple[str, bool, str, int]]:
         nonlocal linked
         if stack[-1].dropped:
             return
+        if by := stack[-1].by:
+            held[by] = held.get(by, 0) + len(segment.strip())
+            return
         buffer.append(html.unescape(segment) if "&" in segment else segment)
         if stack[-1].link:
             linked += len(segment)
@@ -149,7 +167,8 @@ def text_blocks(page: str) -> list[tuple[str, bool, str, int]]:
             raw_end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = page.find(">", raw_end.end()) + 1 or end if raw_end else end
             continue
-        element = _Element(name, attributes, stack[-1])
+        count += 1
+        element = _Element(name, attributes, stack[-1], count, spared)
         if element.block:
             flush()
         if attributes.endswith("/") and name in ("svg", "path"):
@@ -157,9 +176,20 @@ def text_blocks(page: str) -> list[tuple[str, bool, str, int]]:
         stack.append(element)
         opened[name] = opened.get(name, 0) + 1
     flush()
+    most = max(held, key=held.__getitem__, default=0)
+    if most and 2 * held[most] > sum(held.values()) + sum(len(text) for *_, text, _ in out) and out:
+        return text_blocks(page, spared | {most})
     return out
 
 
+def _home(path: str) -> str:
+    """Path of the element in which a block, or the list or table that it is part of, stands."""
+    path = path.rpartition("/")[0]
+    while path.rpartition("/")[2].partition(".")[0] in STRUCTURE:
+        path = path.rpartition("/")[0]
+    return path
+
+
 def _since_block(stack: list[_Element]) -> Iterator[_Element]:
     for element in reversed(stack):
         if element.block:
@@ -178,35 +208,42 @@ def _near(stack: list[_Element], names: tuple[str, ...], walls: tuple[str, ...])
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the article, joined by line ends.
+    """Blocks of the main text, joined by line ends.
 
     Parts that the page itself names (menus, headers, forms, comments, ...) are
-    dropped by element, class, id or role. In a page with an article or main
-    element all of its other blocks are content. Else every path from the root
-    to a block is scored by its mean text length and punctuation and by how
-    little of it is links, smoothed with its siblings under the same parent, and
-    paths below a share of the page's text-weighted mean score are left out.
+    dropped by element, class, id or role. Every path from the root to a block
+    is scored by its mean text length and punctuation, by how little of it is
+    links and by compound names that hint at such a part; it is smoothed with
+    the best path that stands in the same element, where parts of a list or
+    table and headings count as their whole. To its ratio to the page's
+    text-weighted mean comes the article or main element as one more term, with
+    the share of the text that it holds: a gain inside, a loss outside. Paths
+    under ``THRESHOLD`` are left out.
     """
     blocks = text_blocks(page or "")
-    if any(root for _, root, _, _ in blocks):
-        return "\n".join(text for _, root, text, _ in blocks if root)
-    sums: dict[str, list[float]] = {}
-    for path, _, text, linked in blocks:
-        row = sums.setdefault(path, [0, 0, 0, 0])
+    sums: dict[tuple[str, bool, bool], list[float]] = {}
+    for path, root, hinted, text, linked in blocks:
+        row = sums.setdefault((path, root, hinted), [0, 0, 0, 0])
         for i, value in enumerate((1, len(text), len(PUNCTUATION.findall(text)), min(linked, len(text)))):
             row[i] += value
-    scores = {
-        path: math.log1p(chars / n) * math.log1p(1 + signs / n) * (1 - links / max(1, chars))
-        for path, (n, chars, signs, links) in sums.items()
+    plain = {
+        at: (1.0 if at[0].rpartition("/")[2].partition(".")[0] in HEADINGS else 1 - links / max(1, chars)) * (HINTED if at[2] else 1)
+        for at, (_, chars, _, links) in sums.items()
     }
+    scores = {at: math.log1p(chars / n) * math.log1p(1 + signs / n) * plain[at] for at, (n, chars, signs, _) in sums.items()}
     best: dict[str, float] = {}
-    for path, value in scores.items():
-        parent = path.rpartition("/")[0]
-        best[parent] = max(best.get(parent, 0.0), value)
-    smooth = {path: (value + best[path.rpartition("/")[0]]) / 2 for path, value in scores.items()}
+    for at, value in scores.items():
+        best[_home(at[0])] = max(best.get(_home(at[0]), 0.0), value)
+    smooth = {}
+    for at, value in scores.items():
+        beside = best[_home(at[0])] * plain[at]
+        part = at[0].rpartition("/")[2].partition(".")[0] in STRUCTURE
+        smooth[at] = max(value, beside) if part else (value + beside) / 2
     weight = sum(row[1] for row in sums.values())
-    least = THRESHOLD * sum(smooth[p] * row[1] for p, row in sums.items()) / max(1, weight)
-    return "\n".join(text for path, _, text, _ in blocks if smooth[path] >= least)
+    mean = sum(smooth[at] * row[1] for at, row in sums.items()) / max(1, weight)
+    share = sum(row[1] for at, row in sums.items() if at[1]) / max(1, weight)
+    fused = {at: smooth[at] / (mean or 1) + ROOT * share * (plain[at] if at[1] else -1) for at in sums}
+    return "\n".join(text for path, root, hinted, text, _ in blocks if fused[path, root, hinted] >= THRESHOLD)
 
 
 def extract(pages: DataFrame, kept: list[Column]) -> DataFrame:
