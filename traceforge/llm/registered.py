@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from traceforge.llm import decontaminate, html_text, language, packing, pii, quality, simhash, substring_dedup, topk, url_filter
+from traceforge.llm import (
+    decontaminate,
+    html_text,
+    language,
+    lattice_lm,
+    packing,
+    pii,
+    quality,
+    simhash,
+    substring_dedup,
+    topk,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +145,11 @@ def op6_pii(spark, sf_dir):
     found = pii.find(docs, pii.fit(docs))
     counts = [f"n_{kind}" for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@register
+def op11_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.held_out(F.col("doc_id"), 10, 0)
+    model = lattice_lm.fit(docs, held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice_lm.score(docs, model, keep=(held_out.alias("held_out"),))
