@@ -15,6 +15,7 @@ from traceforge.llm import (
     packing,
     pii,
     quality,
+    ranked_search,
     simhash,
     substring_dedup,
     topk,
@@ -153,3 +154,44 @@ def op11_lm_score(spark, sf_dir):
     held_out = language.held_out(F.col("doc_id"), 10, 0)
     model = lattice_lm.fit(docs, held_out, public_tokenizers.path("piece_bpe_32k.model"))
     return lattice_lm.score(docs, model, keep=(held_out.alias("held_out"),))
+
+
+@register
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _terms_sql(text: str) -> str:
+    return (
+        f"regexp_extract_all(translate({text}, '{url_filter.ascii_uppercase}', '{url_filter.ascii_lowercase}'), "
+        r"'[0-9a-z\x{80}-\x{10FFFF}]+')"
+    )
+
+
+ORACLE["op12_ranked_search"] = f"""
+with d as (select row_number() over () as row, doc_id, {_terms_sql('text')} as terms from documents where text is not null),
+held as (select row, doc_id, terms, len(terms)::bigint as n from d where len(terms) > 0),
+corpus as (select count(*)::bigint as docs, sum(n)::bigint as total from held),
+item as (select row_number() over () as item, item_id, text from (select distinct item_id, text from benchmark where text is not null)),
+asked as (select distinct item, item_id, unnest({_terms_sql('text')}) as term from item),
+entry as (
+  select row, term, count(*)::bigint as tf from (select row, unnest(terms) as term from held)
+  where term in (select term from asked) group by row, term
+),
+weight as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from entry, corpus group by term
+),
+value as (
+  select e.row, e.term, w.w * ((1000000000 * e.tf) // (1000 * e.tf + 20 * (100 - 50 + (50 * h.n * c.docs) // c.total))) as v
+  from entry e join held h on e.row = h.row join weight w on w.term = e.term, corpus c
+),
+scored as (
+  select a.item, a.item_id, h.doc_id, sum(v.v)::bigint as score
+  from asked a join value v on a.term = v.term join held h on h.row = v.row
+  group by a.item, a.item_id, v.row, h.doc_id having sum(v.v) > 0
+)
+select item_id, rank::integer as rank, doc_id, score
+from (select *, row_number() over (partition by item order by score desc, doc_id nulls last) as rank from scored)
+where rank <= 50
+"""
