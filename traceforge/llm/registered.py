@@ -17,6 +17,7 @@ from traceforge.llm import (
     quality,
     ranked_search,
     simhash,
+    spelling,
     substring_dedup,
     topk,
     url_filter,
@@ -195,3 +196,8 @@ select item_id, rank::integer as rank, doc_id, score
 from (select *, row_number() over (partition by item order by score desc, doc_id nulls last) as rank from scored)
 where rank <= 50
 """
+
+
+@register
+def op13_spelling(spark, sf_dir):
+    return spelling.group_variants(spelling.corpus_words(table(spark, sf_dir, "documents"), misspell=31))
