@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from traceforge.constants import ANSWER_FORCE_STRING
-from traceforge.functions import answers
+from traceforge.functions import answers, formulas
 from traceforge.operators import grading
 from traceforge.plans.traces import build_traces, graded_traces
 
@@ -33,26 +34,68 @@ def test_long_boxes_do_not_overflow_the_matcher(value):
     assert value(answers.extract_answer(F.col("t")), t="\\boxed{" + inside) is None
 
 
-@pytest.mark.parametrize(
-    "gold, other, same",
-    [
-        (r"\boxed{1/2}", r"\boxed{\dfrac{1}{2}}", True),
-        (r"\boxed{0.5}", r"\boxed{\tfrac{1}{2}}", True),
-        (r"\boxed{1,234,567}", r"\boxed{1234567.0}", True),
-        (r"\boxed{\text{Blue} }", r"\boxed{blue}", True),
-        (r"\boxed{$5$}", r"\boxed{5.}", True),
-        (r"\boxed{\left(1,2\right)}", r"\boxed{(1,2)}", True),
-        (r"\boxed{1}", r"\boxed{1.0000001}", True),
-        (r"\boxed{1}", r"\boxed{1.001}", False),
-        (r"\boxed{1/0}", r"\boxed{2/0}", False),
-        (r"\boxed{x+1}", r"\boxed{1+x}", False),
-        ("none", "none", False),
-        (r"\boxed{nan}", r"\boxed{1}", False),
-    ],
-)
-def test_equivalence(spark, gold, other, same):
-    df = spark.createDataFrame([(gold, other)], "solution string, trace string")
-    assert grading.grade(df, "trace", "solution").first().is_correct is same
+EQUIVALENT = [
+    (r"\boxed{1/2}", r"\boxed{\dfrac{1}{2}}", True),
+    (r"\boxed{0.5}", r"\boxed{\tfrac{1}{2}}", True),
+    (r"\boxed{1,234,567}", r"\boxed{1234567.0}", True),
+    (r"\boxed{\text{Blue} }", r"\boxed{blue}", True),
+    (r"\boxed{$5$}", r"\boxed{5.}", True),
+    (r"\boxed{\left(1,2\right)}", r"\boxed{(1,2)}", True),
+    (r"\boxed{1}", r"\boxed{1.0000001}", True),
+    (r"\boxed{1}", r"\boxed{1.001}", False),
+    (r"\boxed{1/0}", r"\boxed{2/0}", False),
+    (r"\boxed{x+1}", r"\boxed{1+x}", True),
+    # mixed numbers, thousands, letters, names, empty boxes
+    (r"\boxed{1\frac{1}{2}}", r"\boxed{1.5}", True),
+    (r"\boxed{1\frac{1}{2}}", r"\boxed{11/2}", False),
+    (r"\boxed{-2\frac12}", r"\boxed{-2.5}", True),
+    (r"\boxed{1{,}000}", r"\boxed{1000}", True),
+    (r"\boxed{\text{(A)}}", r"\boxed{A}", True),
+    (r"\boxed{(A)}", r"\boxed{B}", False),
+    (r"\boxed{x=5}", r"\boxed{5}", True),
+    (r"\boxed{x=5}", r"\boxed{x = 5.0}", True),
+    (r"\boxed{x=5}", r"\boxed{y=5}", False),
+    (r"\boxed{}", r"\boxed{}", False),
+    (r"\boxed{ }", r"\boxed{\,}", False),
+    # units: none fits any, two must be one
+    (r"\boxed{5 \text{ km}}", r"\boxed{5 \text{ m}}", False),
+    (r"\boxed{5 \text{ km}}", r"\boxed{5\,\mathrm{km}}", True),
+    (r"\boxed{5 \text{ dollars}}", r"\boxed{5 dollar}", True),
+    (r"\boxed{5 km}", r"\boxed{5}", True),
+    (r"\boxed{5 km}", r"\boxed{5 m}", False),
+    (r"\boxed{5}", r"\boxed{6 \text{ km}}", False),
+    (r"\boxed{90^\circ}", r"\boxed{90 \text{ degrees}}", True),
+    (r"\boxed{50\%}", r"\boxed{50^\circ}", False),
+    (r"\boxed{50\%}", r"\boxed{50 percent}", True),
+    (r"\boxed{3 \text{ cm}^2}", r"\boxed{3 \text{ cm}^3}", False),
+    # sets, tuples, intervals
+    (r"\boxed{\{1, 2\}}", r"\boxed{\{2,1\}}", True),
+    (r"\boxed{\{1, 2\}}", r"\boxed{2, 1}", True),
+    (r"\boxed{\{1, 2\}}", r"\boxed{(1,2)}", False),
+    (r"\boxed{(1,2)}", r"\boxed{(2,1)}", False),
+    (r"\boxed{(\frac{1}{2}, 3)}", r"\boxed{(0.5,3)}", True),
+    (r"\boxed{[0,1)}", r"\boxed{\left[0, 1\right)}", True),
+    (r"\boxed{[0,1)}", r"\boxed{[0,1]}", False),
+    (r"\boxed{(-\infty,1)\cup(2,3)}", r"\boxed{(2,3) \cup (-\infty, 1)}", True),
+    (r"\boxed{1,2,3}", r"\boxed{3,2,1}", True),
+    (r"\boxed{\{100, 200\}}", r"\boxed{\{200,100\}}", True),
+    # formulas
+    (r"\boxed{(x+1)^2}", r"\boxed{x^{2}+2x+1}", True),
+    (r"\boxed{(x+1)^2}", r"\boxed{x^2+1}", False),
+    (r"\boxed{\frac{1}{\sqrt{2}}}", r"\boxed{\dfrac{\sqrt{2}}{2}}", True),
+    (r"\boxed{2\sqrt{3}}", r"\boxed{\sqrt{12}}", True),
+    (r"\boxed{\frac{\pi}{2}}", r"\boxed{\pi/2}", True),
+    (r"\boxed{2^{10}}", r"\boxed{1024}", True),
+    (r"\boxed{east}", r"\boxed{seat}", False),
+    ("none", "none", False),
+    (r"\boxed{nan}", r"\boxed{1}", False),
+]
+
+
+def test_equivalence(spark):
+    df = spark.createDataFrame(EQUIVALENT, "solution string, trace string, same boolean")
+    wrong = grading.grade(df, "trace", "solution").where("is_correct <> same").collect()
+    assert not wrong, wrong
 
 
 def test_any_reading_of_a_forced_trace_counts(spark):
@@ -192,3 +235,45 @@ def test_a_threshold_keeps_the_quota_by_cycle(spark):
     total = {r.shard: r for r in report.collect()}[None]
     assert out.count() == 8 == total.accepted and not total.exhausted
     assert not any(r.is_af_correct is None for r in out.collect())
+
+
+def test_formula_constants_follow_their_rule():
+    def is_prime(n):
+        return all(n % i for i in range(2, int(n**0.5) + 1))
+
+    def fits(n):
+        return n % 8 == 7 and all(pow(q, (n - 1) // 2, n) == 1 for q in (2, 3, 5, 7, 11, 13, 17, 19, 23)) and is_prime(n)
+
+    first, second = formulas.PRIMES
+    assert [n for n in range((1 << 30) + 7, second + 1, 8) if fits(n)] == [first, second]
+
+
+@pytest.mark.parametrize(
+    "one, other, same",
+    [
+        ("(x+1)(x-1)", "x^2-1", True), ("\\frac{x^2-1}{x-1}", "x+1", True), ("\\sqrt{-4}", "2\\sqrt{-1}", True),
+        ("\\sqrt{-1}", "1", False), ("\\sqrt{-1}", "-1", False), ("-x^2", "(-x)^2", False), ("x^-2", "1/(x^2)", True),
+        ("\\sin(2x)", "\\sin(x+x)", True), ("\\sin2x", "\\cos2x", False), ("(1,(2,3))", "(1,2,3)", False),
+        ("(1,2),(3,4)", "(3,4),(1,2)", True), ("a-b-c", "a-(b+c)", True), ("a/b/c", "a/(bc)", True), ("2^{n}", "2^n", True),
+        ("x_1", "x_{1}", True), ("x_1", "x_2", False), ("«1,1,2»", "«2,1»", True), ("2xy", "2yx", True),
+    ],
+)
+def test_formula_keys(one, other, same):
+    keys = formulas.key_of(one), formulas.key_of(other)
+    assert None not in keys and (keys[0] == keys[1]) is same
+
+
+def test_what_is_no_formula_has_no_key():
+    for text in ["x+", "(x", "x)", "", "1/0", "+", "()", "x!", "a**b", "\\sqrt", "\\frac{1}", "x^", "blue", "1..2",
+                 "(" * 300 + "x", "x" * 500 + "+1", "2^9999999", "(" * 45 + "x" + ")" * 45, None, "é+1", "0^{-1}"]:
+        assert formulas.key_of(text) is None, text
+
+
+def test_random_identities():
+    rnd = random.Random(4)
+    for _ in range(200):
+        a, b, c = (rnd.randint(1, 50) for _ in range(3))
+        left = f"({a}x+{b})({c}x-{b})"
+        right = f"{a * c}x^2+{b * c - a * b}x-{b * b}".replace("+-", "-")
+        assert formulas.key_of(left) == formulas.key_of(right)
+        assert formulas.key_of(left) != formulas.key_of(right + "+1")

@@ -6,34 +6,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from traceforge.functions.answers import (
-    answer_variants,
-    extract_answer,
-    normalise_answer,
-    numeric_answer,
-    same_answer,
-)
+from traceforge.functions.answers import answer_variants, bound, extract_answer, same_answer, typed_answer
+from traceforge.functions.formulas import formula_keys
 from traceforge.operators.lookup import skewed_lookup
 
 
 def grade(df: DataFrame, trace: str, solution: str, name: str = "is_correct") -> DataFrame:
     """True where any reading of the trace gives the gold answer; never null.
 
-    Each text is parsed once; the comparisons run on the parsed answers.
+    Each text is parsed once into a typed answer. Formulas are read, for their
+    keys, only in rows where an answer of the trace is no plain number or the
+    gold one is not, and their texts differ.
     """
     texts = F.concat(F.array(F.col(solution)), answer_variants(F.col(trace)))
-    graded = df.withColumn(
-        "_answers", F.transform(texts, lambda t: normalise_answer(extract_answer(t)))
-    ).withColumn("_values", F.transform("_answers", numeric_answer))
+    graded = df.withColumn("_answers", F.transform(texts, lambda t: bound(extract_answer(t), typed_answer)))
+    gold = F.get("_answers", F.lit(0))
+    open_to_doubt = F.exists(
+        F.slice("_answers", 2, 3),
+        lambda a: (a["text"] != gold["text"]) & (a["value"].isNull() | gold["value"].isNull()),
+    )
+    formulas = F.when(open_to_doubt, F.transform("_answers", lambda a: a["text"]))
+    graded = graded.withColumn("_keys", formula_keys(formulas))
 
     def matches(i: int) -> Column:
-        return same_answer(
-            F.get("_answers", F.lit(0)), F.get("_values", F.lit(0)),
-            F.get("_answers", F.lit(i)), F.get("_values", F.lit(i)),
-        )
+        other = F.get("_answers", F.lit(i))
+        return same_answer(gold, other, F.get("_keys", F.lit(0)), F.get("_keys", F.lit(i)))
 
     correct = matches(1) | matches(2) | matches(3)
-    return graded.withColumn(name, F.coalesce(correct, F.lit(False))).drop("_answers", "_values")
+    return graded.withColumn(name, F.coalesce(correct, F.lit(False))).drop("_answers", "_keys")
 
 
 def grade_against(

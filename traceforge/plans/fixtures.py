@@ -36,6 +36,21 @@ EDGE_CASES = [
     ("\\boxed{#}", "it is #, then \\boxed{open", True),
     ("\\boxed{#}", "no answer", False),
     ("\\boxed{x_{#}}", "\\boxed{1} or \\boxed{X_{#}}.", True),
+    ("\\boxed{#\\frac{1}{2}}", "\\boxed{#.5}", True),
+    ("\\boxed{#\\frac{1}{2}}", "\\boxed{#1/2}", False),
+    ("\\boxed{#{,}000}", "\\boxed{#000}", True),
+    ("\\boxed{\\text{(A)}}", "\\boxed{A}, not #", True),
+    ("\\boxed{x=#}", "\\boxed{#}", True),
+    ("\\boxed{x=#}", "\\boxed{y=#}", False),
+    ("\\boxed{# \\text{ km}}", "\\boxed{# \\text{ m}}", False),
+    ("\\boxed{# \\text{ km}}", "\\boxed{#\\,\\mathrm{km}}", True),
+    ("\\boxed{\\{#, -1\\}}", "\\boxed{\\{-1, #\\}}", True),
+    ("\\boxed{(#,-1)}", "\\boxed{(-1,#)}", False),
+    ("\\boxed{[-1,#)}", "\\boxed{\\left[-1, #\\right)}", True),
+    ("\\boxed{[-1,#)}", "\\boxed{[-1,#]}", False),
+    ("\\boxed{(x+#)^2}", "\\boxed{x^2+2\\cdot #x+#^2}", True),
+    ("\\boxed{(x+#)^2}", "\\boxed{x^2+#^2}", False),
+    ("\\boxed{}", "\\boxed{} #", False),
 ]
 CANDIDATE = ["l_linenumber", "l_partkey", "l_suppkey"]
 LINE = ["l_orderkey", *CANDIDATE]
