@@ -31,9 +31,14 @@ def _item_columns(order: int) -> list[str]:
     return [WORD] if order == 1 else [CONTEXT, WORD]
 
 
-def _exploded(df: DataFrame, key: Sequence[str], tokens: str, order: int) -> DataFrame:
-    """One row per n-gram; a row without n-grams keeps one null row."""
-    return df.select(*key, F.inline_outer(ngram_items(F.col(tokens), order)))
+def _exploded(
+    df: DataFrame, key: Sequence[str], tokens: str, order: int, first: Column | None = None
+) -> DataFrame:
+    """One row per n-gram, from position ``first`` on; a row without any keeps one null row."""
+    items = ngram_items(F.col(tokens), order)
+    if first is not None:
+        items = F.filter(items, lambda item: item["position"] >= first)
+    return df.select(*key, F.inline_outer(items))
 
 
 @dataclass(frozen=True)
@@ -89,9 +94,12 @@ def token_logprobs(
     head_rows: int = SMALL_ROWS,
     same_corpus: bool = True,
     pad: str | None = None,
+    first: Column | None = None,
 ) -> DataFrame:
     """Long table ``key, position, logp``, with ``pad`` also ``is_pad``.
 
+    Positions before ``first`` are left out before anything is looked up.
+
     ``same_corpus`` says that the model counts ``df`` itself, so that its counts
     tell the frequent words of the join; otherwise ``df`` is counted for that.
     """
@@ -101,7 +109,7 @@ def token_logprobs(
             return lookup(facts, table, on, count, head_rows)
         return skewed_lookup(facts, table, on, head_rows)
 
-    items = _exploded(df, key, tokens, model.order)
+    items = _exploded(df, key, tokens, model.order, first)
     context = None
     if model.order == 1 or same_corpus:  # every n-gram of the corpus is in the table, with its context
         found = attach(items, model.counts, _item_columns(model.order), "_count")
@@ -153,16 +161,11 @@ def score_ngram(
     """Log-perplexity of each token array under the model.
 
     ``prompt_length`` may be any expression of the columns of ``df``; tokens
-    equal to ``pad`` do not count.
+    before it, and tokens equal to ``pad``, do not count.
     """
-    keys = list(key)
-    if prompt_length is not None:
-        df, keys = df.withColumn("_prompt", prompt_length), [*keys, "_prompt"]
-    logprobs = token_logprobs(df, model, keys, tokens, head_rows, same_corpus, pad)
-    return log_perplexity(
-        logprobs, keys, None if prompt_length is None else F.col("_prompt"),
-        None if pad is None else F.coalesce("is_pad", F.lit(False)), name=name,
-    ).drop("_prompt")
+    logprobs = token_logprobs(df, model, key, tokens, head_rows, same_corpus, pad, prompt_length)
+    is_pad = None if pad is None else F.coalesce("is_pad", F.lit(False))
+    return log_perplexity(logprobs, key, None, is_pad, name=name)
 
 
 def cross_entropy_difference(

@@ -430,6 +430,30 @@ def rejection_report(spark, sf_dir):
     )
 
 
+def _lazy_run(spark, sf_dir):
+    # prices are looked up for tried candidates alone
+    lines = materialise(fx.candidates(spark, sf_dir).select(*fx.LINE, "shard"), "candidates")
+
+    def scorer(rows, columns):
+        priced = fx.candidates(spark, sf_dir).select(*fx.LINE, "price")
+        return rows.select(*columns).join(priced, fx.LINE)
+
+    return rejection.RejectionRun(
+        lines, fx.LINE, "price", SEED, shard="shard", threshold=PRICE_THRESHOLD, target=REJECTION_TARGET, scorer=scorer
+    )
+
+
+@register
+def rejection_lazy(spark, sf_dir):
+    accepted = _lazy_run(spark, sf_dir).accepted()
+    return accepted.select(*fx.LINE, "shard", rounded("price", "price"), "accept_rank")
+
+
+@register
+def rejection_lazy_report(spark, sf_dir):
+    return _lazy_run(spark, sf_dir).report().select("shard", "generated", "rejected", "accepted", "exhausted")
+
+
 @register
 def rejection_unplaced(spark, sf_dir):
     # orders that no shard was given

@@ -255,6 +255,11 @@ PLAIN_STAGE = f"""{stage(PLAIN_F2)}, p as (select *, {PROMPT} as prompt from ct
   done as ({graded('af', 'trace_af', 'is_af_correct')})"""
 
 
+LAZY = f"""c as ({CANDIDATES}), o as (select *, price <= 2.5::DOUBLE as ok,
+    sum((price <= 2.5::DOUBLE)::INT) over w as a, row_number() over w as pos, count(*) over (partition by shard) as n
+    from c window w as (partition by shard order by {seeded(LINE)}, {LINE} rows unbounded preceding))"""
+
+
 def drawn(run: str, score: str) -> str:
     """One draw per order from the nucleus of these scores."""
     return f"""select '{run}' as run, {LINE} from (select *, row_number() over (partition by l_orderkey order by
@@ -407,6 +412,13 @@ ORACLE: dict[str, str] = {
     "rejection_sample": f"""with {REJECTION} select {LINE}, shard, round(price, 6) as price, a::BIGINT as accept_rank
         from o where ok and a <= 1000""",
     "rejection_report": f"with {REJECTION} select * from report",
+    "rejection_lazy": f"""with {LAZY} select {LINE}, shard, round(price, 6) as price, a::BIGINT as accept_rank
+        from o where ok and a <= 500""",
+    "rejection_lazy_report": f"""with {LAZY}, s as (select shard, count(*) as n,
+          min(case when ok and a = 500 then least(ceil(pos / 512.0::DOUBLE) * 512, n) end) as paid,
+          sum((a - ok::INT < 500 and not ok)::INT) as rejected, sum((a - ok::INT < 500 and ok)::INT) as accepted from o group by shard)
+      select shard::VARCHAR as shard, sum(coalesce(paid, n))::BIGINT as generated, sum(rejected)::BIGINT as rejected,
+        sum(accepted)::BIGINT as accepted, bool_or(accepted < 500) as exhausted from s group by rollup (shard)""",
     "rejection_unplaced": f"""with c as ({CANDIDATES}), o as (select *, price <= 2.5::DOUBLE as ok,
         sum((price <= 2.5::DOUBLE)::INT) over (partition by shard order by {seeded(LINE)}, {LINE} rows unbounded preceding) as a
         from c where l_orderkey % 11 > 0)
