@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from traceforge.constants import REJECTION_TARGET, REJECTION_THRESHOLD
+from traceforge.constants import REJECTION_TARGET, REJECTION_THRESHOLD, SYSTEM_PROMPT
 from traceforge.functions import answers, text, tokens
 from traceforge.operators import (
     ablation,
     candidates as choose,
+    conversations,
     coverage,
     encoding,
     grading,
     language_model as lm,
     ranking,
     rejection,
+    shifted,
     stats,
     vectors,
 )
@@ -126,6 +128,21 @@ def render_chat(spark, sf_dir):
     return fx.conversation_pairs(spark, sf_dir).select("conv_id", "turn", chat.alias("chat"))
 
 
+@register
+def render_conversations(spark, sf_dir):
+    turns = fx.table(spark, sf_dir, "conversations").withColumn("text", text.strip(F.col("text")))
+    return conversations.render_conversations(turns, ["conv_id"], ["turn"], system=SYSTEM_PROMPT)
+
+
+@register
+def conversation_parts(spark, sf_dir):
+    # parts of about 600 bytes, as a conversation beyond the size of a string would be given
+    turns = fx.table(spark, sf_dir, "conversations")
+    return conversations.render_conversations(
+        turns, ["conv_id"], ["turn"], segment_bytes=300, part_bytes=600, group_rows=3
+    )
+
+
 @register
 def clean_trace(spark, sf_dir):
     padded = F.concat(F.lit("[PAD]<s>"), "text", F.lit("</s><s>[PAD]</s>[PAD]"))
@@ -520,6 +537,50 @@ def rescore(spark, sf_dir):
     return adjusted.select(*fx.LINE, rounded("adjusted", "adjusted"))
 
 
+SHIFT = 0.5
+
+
+def _shifted(spark, sf_dir):
+    """Score tables of the candidate traces; the gradient is that of the traces of even line numbers, which are right."""
+    key = ["problem_id", "candidate"]
+    tried = fx.candidate_traces(spark, sf_dir).select(*key, tokens.words(F.col("trace")).alias("tokens"))
+    tried = materialise(tried, "tokens")
+    clean = tried.where(F.substring_index("candidate", "-", 1).cast("int") % 2 == 0)
+    model = lm.fit_ngram(tried, "tokens", alpha=0.5)
+    return shifted.shifted_scores(tried, clean, key, "tokens", SHIFT, model)
+
+
+@register
+def shifted_scores(spark, sf_dir):
+    key = ["problem_id", "candidate"]
+    base, plus, minus = _shifted(spark, sf_dir)
+    sides = plus.withColumnRenamed("score", "plus").join(minus.withColumnRenamed("score", "minus"), key)
+    return base.join(sides, key).select(*key, *[rounded(c, c) for c in ("score", "plus", "minus")])
+
+
+@register
+def defence_comparison_shifted(spark, sf_dir):
+    # as defence_comparison, with scores of the traces under the model and its shifted copies
+    key = ["problem_id", "candidate"]
+    tables_ = [t.withColumn("score", F.round("score", 9)) for t in _shifted(spark, sf_dir)]
+    drawn = []
+    for run, lam in (("clean", 0.0), ("defended", 40.0)):
+        adjusted = choose.rescore(*tables_, key, lam=lam, eps=SHIFT).withColumn("adjusted", F.round("adjusted", 6))
+        scored = choose.softmax_scores(adjusted, key[:1], key[1:], "adjusted", tau=0.25)
+        kept = choose.nucleus(scored, key[:1], key[1:])
+        drawn.append(choose.sample_one(kept, key[:1], key[1:], SEED).withColumn("run", F.lit(run)))
+    tried = drawn[0].unionByName(drawn[1]).select(*key, "run").join(fx.candidate_traces(spark, sf_dir), key)
+    solutions = fx.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("problem_id"), fx.boxed(F.col("o_orderkey") % 97).alias("solution")
+    )
+    graded = grading.grade_against(tried, solutions, ["problem_id"], "trace", name="is_raw_correct")
+    totals = materialise(grading.accuracy(graded, ["run"], forced=None), "accuracies")
+    compared = grading.compare_runs(totals, "clean", metrics=["raw_accuracy"])
+    return compared.select(
+        "run", "traces", rounded("raw_accuracy", "raw_accuracy"), rounded("raw_accuracy_delta", "raw_accuracy_delta")
+    )
+
+
 # --- language models and vectors ------------------------------------------
 
 

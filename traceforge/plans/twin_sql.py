@@ -272,6 +272,32 @@ def drawn(run: str, score: str) -> str:
         where upto - probability < 0.95::DOUBLE)) where place = 1"""
 
 
+def drawn_traces(run: str, score: str) -> str:
+    """``drawn`` for the candidate traces of ``r``."""
+    return f"""select '{run}' as run, problem_id, candidate from (select *, row_number() over (partition by problem_id order by
+        -ln(1 - ('0x' || substr({seeded('problem_id, candidate')}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) / share) as place
+      from (select *, probability / sum(probability) over (partition by problem_id) as share
+        from (select *, sum(probability) over (partition by problem_id order by probability desc, candidate rows unbounded preceding) as upto
+          from (select *, mass / sum(mass) over (partition by problem_id) as probability
+            from (select *, exp((s - max(s) over (partition by problem_id)) / 0.25::DOUBLE) as mass
+              from (select *, {score} as s from r))))
+        where upto - probability < 0.95::DOUBLE)) where place = 1"""
+
+
+# Mean token shares of the right traces, the gradient, both shifted models and their scores.
+SHIFTED = f"""{stage(F2)},
+  x as (select problem_id, candidate, unnest({words('trace')}) as w from ct),
+  k as (select problem_id, candidate, count(*) as len, string_split(candidate, '-')[1]::INT % 2 = 0 as clean from x group by all),
+  m as (select w, count(*) as n from x group by w), z as (select sum(n) as total, count(*) + 1 as types from m),
+  sh as (select w, sum(1.0::DOUBLE / len) / (select count(*) from k where clean) as share from x join k using (problem_id, candidate) where clean group by w),
+  g as (select w, ln((n + 0.5::DOUBLE) / (total + 0.5::DOUBLE * types)) as base, coalesce(share, 0) - exp(base) as g from m left join sh using (w), z),
+  u as (select ln(0.5::DOUBLE / (total + 0.5::DOUBLE * types)) as rest from z),
+  norm as (select ln(sum(exp(base + 0.5::DOUBLE * g)) + any_value(exp(rest - 0.5::DOUBLE * exp(rest)))) as p,
+    ln(sum(exp(base - 0.5::DOUBLE * g)) + any_value(exp(rest + 0.5::DOUBLE * exp(rest)))) as q from g, u),
+  sides as (select problem_id, candidate, avg(base) as score, avg(base + 0.5::DOUBLE * g - p) as plus, avg(base - 0.5::DOUBLE * g - q) as minus
+    from x join g using (w), norm group by problem_id, candidate)"""
+
+
 def student_loss(order: int) -> str:
     """Losses on the holdout of models fitted on three selections of the rest."""
     grams = "w2" if order == 1 else "w1, w2"
@@ -326,6 +352,20 @@ ORACLE: dict[str, str] = {
         || '<|im_start|>assistant' || chr(10) as prompt from conversations where role = 'user'""",
     "render_chat": f"""with pairs as ({PAIRS}) select conv_id, turn, {message('system', q(SYSTEM_PROMPT))} ||
         {message('user', strip('problem'))} || {message('assistant', strip('response'))} as chat from pairs""",
+    "render_conversations": f"""select conv_id, 0::BIGINT as part, {message('system', q(SYSTEM_PROMPT))}
+        || string_agg('<|im_start|>' || role || chr(10) || {strip('text')} || '<|im_end|>' || chr(10), '' order by turn) as chat,
+        count(*) as turns from conversations group by conv_id""",
+    "conversation_parts": """with m as (select conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as m from conversations),
+      b as (select *, coalesce(sum(strlen(m)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::BIGINT as before from m)
+      select conv_id, before // 300 // 2 as part, string_agg(m, '' order by turn) as chat, count(*) as turns from b group by all""",
+    "shifted_scores": f"with {SHIFTED} select problem_id, candidate, round(score, 6) as score, round(plus, 6) as plus, round(minus, 6) as minus from sides",
+    "defence_comparison_shifted": f"""with {SHIFTED},
+      r as (select problem_id, candidate, round(score, 9) as score, round(plus, 9) as plus, round(minus, 9) as minus from sides),
+      picks as ({drawn_traces('clean', 'round(score, 6)')} union all
+        {drawn_traces('defended', 'round(score + 40.0::DOUBLE * (plus - minus), 6)')}),
+      a as (select run, count(*) as traces, avg((string_split(candidate, '-')[1]::INT % 2 = 0)::INT) as acc from picks group by run)
+      select run, traces, round(acc, 6) as raw_accuracy,
+        round(acc - (select acc from a where run = 'clean'), 6) as raw_accuracy_delta from a""",
     "clean_trace": "select doc_id, text || '<s></s>' as trace from documents",
     "response_family": f"""with f as ({FAMILY}) select doc_id, case when contains(trace, {LLAMA}) then 'llama'
         when contains(trace, {QWEN}) then 'qwen' when contains(trace, {R1}) then 'r1' end as family from f""",
