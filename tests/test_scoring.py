@@ -154,3 +154,31 @@ def test_only_small_tables_are_collected(spark):
     assert [r[0] for r in df.select(row_bytes(df)).collect()] == [2 + 8 + len('{"a":["x"]}'), 8 + len("{}")]
     assert small_or_none(df, 2).collect() == df.collect()
     assert small_or_none(df, 1) is None and small_or_none(df, 2, 20) is None
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_split_scores_read_and_explode_the_tokens_once(spark, tmp_path, order):
+    rows = [(i, ["the", "a", f"w{i}", "the", f"v{i % 7}"] * 3) for i in range(60)] + [(99, []), (98, None)]
+    spark.createDataFrame(rows, "id int, tokens array<string>").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    model = lm.fit_ngram(df, "tokens", order)
+    split = lm.score_ngram(df, model, ["id"], "tokens", head_rows=3)
+    plan = split._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Generate ") == 1 and plan.count("tokens#") > 0
+    assert sum("FileScan" in line and "tokens" in line for line in plan.splitlines()) == 1
+    whole = {r.id: r.logppl for r in lm.score_ngram(df, model, ["id"], "tokens").collect()}
+    got = {r.id: r.logppl for r in split.collect()}
+    assert got.keys() == whole.keys() and math.isnan(got[99]) and math.isnan(got[98])
+    for key, value in whole.items():
+        assert math.isnan(value) or got[key] == pytest.approx(value, rel=1e-12)
+
+
+def test_sums_of_a_hot_key_and_of_keys_that_lack(spark):
+    facts = spark.createDataFrame([(1, "hot")] * 50 + [(2, "rare"), (2, "new"), (3, None), (None, "hot"), (None, "rare")], "by int, k string")
+    table = spark.createDataFrame([("hot", 51, 2.0), ("rare", 2, 5.0), ("other", 1, 9.0)], "k string, n int, v double")
+    for options in ({}, {"head_rows": 1}, {"head_rows": 0}, {"head_bytes": 20}):
+        out = lookup.lookup_sums(
+            facts, table, ["k"], "n", ["by"], {"sum": F.coalesce("v", F.lit(-1.0))}, F.col("k").isNotNull(), **options
+        )
+        got = {r["by"]: (r["sum"], r.facts) for r in out.collect()}
+        assert {k: (s or 0, n) for k, (s, n) in got.items()} == {1: (100.0, 50), 2: (4.0, 2), 3: (0, 0), None: (7.0, 2)}, options

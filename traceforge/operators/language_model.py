@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from traceforge.operators.lookup import lookup, skewed_lookup
+from traceforge.operators.lookup import lookup, lookup_sums, skewed_lookup, skewed_lookup_sums
 from traceforge.workspace import SMALL_ROWS, materialise
 
 CONTEXT, WORD = "w1", "w2"
@@ -32,12 +33,14 @@ def _item_columns(order: int) -> list[str]:
 
 
 def _exploded(
-    df: DataFrame, key: Sequence[str], tokens: str, order: int, first: Column | None = None
+    df: DataFrame, key: Sequence[str], tokens: str, order: int, first: Column | None = None, pad: str | None = None
 ) -> DataFrame:
-    """One row per n-gram, from position ``first`` on; a row without any keeps one null row."""
+    """One row per n-gram, from position ``first`` on and but for ``pad``; a row without any keeps one null row."""
     items = ngram_items(F.col(tokens), order)
     if first is not None:
         items = F.filter(items, lambda item: item["position"] >= first)
+    if pad is not None:
+        items = F.filter(items, lambda item: item[WORD] != pad)
     return df.select(*key, F.inline_outer(items))
 
 
@@ -45,9 +48,9 @@ def _exploded(
 class NgramModel:
     """Counts of one corpus.
 
-    ``counts`` has the n-gram and ``n``, for bigrams also ``given``, the count of
-    the first word, which ``contexts`` has as ``n``. ``types`` counts predicted words plus one unseen word,
-    so that the probabilities after any context sum to 1.
+    ``counts`` has the n-gram and ``n``, ``contexts`` the first words of bigrams
+    with theirs. ``types`` counts predicted words plus one unseen word, so that
+    the probabilities after any context sum to 1.
     """
 
     order: int
@@ -57,6 +60,14 @@ class NgramModel:
     total: int
     types: int
 
+    @cached_property
+    def counts_with_context(self) -> DataFrame:
+        """``counts``, for bigrams with ``given``, the count of the first word; written when first asked for."""
+        if self.contexts is None:
+            return self.counts
+        given = self.contexts.withColumnRenamed("n", "given")
+        return materialise(lookup(self.counts, given, [CONTEXT], "given"), "ngrams-given")
+
     def log_probability(self, count: Column, context: Column | None = None) -> Column:
         given = F.lit(float(self.total)) if context is None else context
         return F.log((count + self.alpha) / (given + self.alpha * self.types))
@@ -81,8 +92,6 @@ def fit_ngram(df: DataFrame, tokens: str, order: int = 1, alpha: float = 1.0) ->
         )
         total = counts.agg(F.sum("n")).first()[0]
         types = counts.select(WORD).distinct().count()
-        given = contexts.withColumnRenamed("n", "given")
-        counts = materialise(lookup(counts, given, [CONTEXT], "given"), "ngrams-given")
     return NgramModel(order, float(alpha), counts, contexts, int(total or 0), int(types) + 1)
 
 
@@ -112,11 +121,11 @@ def token_logprobs(
     items = _exploded(df, key, tokens, model.order, first)
     context = None
     if model.order == 1 or same_corpus:  # every n-gram of the corpus is in the table, with its context
-        found = attach(items, model.counts, _item_columns(model.order), "_count")
+        found = attach(items, model.counts_with_context, _item_columns(model.order), "_count")
         if model.order == 2:
             context = F.coalesce("given", F.lit(0))
     else:
-        found = attach(items, model.counts.drop("given"), _item_columns(model.order), "_count")
+        found = attach(items, model.counts, _item_columns(model.order), "_count")
         found = attach(found, model.contexts, [CONTEXT], "_given")
         context = F.coalesce("_given", F.lit(0))
     logp = model.log_probability(F.coalesce("_count", F.lit(0)), context)
@@ -163,9 +172,20 @@ def score_ngram(
     ``prompt_length`` may be any expression of the columns of ``df``; tokens
     before it, and tokens equal to ``pad``, do not count.
     """
-    logprobs = token_logprobs(df, model, key, tokens, head_rows, same_corpus, pad, prompt_length)
-    is_pad = None if pad is None else F.coalesce("is_pad", F.lit(False))
-    return log_perplexity(logprobs, key, None, is_pad, name=name)
+    if model.order == 2 and not same_corpus:  # a bigram that is not in the table may have a known first word
+        logprobs = token_logprobs(df, model, key, tokens, head_rows, same_corpus, pad, prompt_length)
+        is_pad = None if pad is None else F.coalesce("is_pad", F.lit(False))
+        return log_perplexity(logprobs, key, None, is_pad, name=name)
+    items, columns = _exploded(df, key, tokens, model.order, prompt_length, pad), _item_columns(model.order)
+    context = F.coalesce("given", F.lit(0)) if model.order == 2 else None
+    values = {"_loss": -model.log_probability(F.coalesce("n", F.lit(0)), context)}
+    counted = F.col("position").isNotNull()
+    if same_corpus:
+        sums = lookup_sums(items, model.counts_with_context, columns, "n", key, values, counted, head_rows)
+    else:
+        sums = skewed_lookup_sums(items, model.counts, columns, key, values, counted, head_rows)
+    mean = F.try_divide(F.col("_loss"), F.col("facts"))
+    return sums.select(*key, F.coalesce(mean, F.lit(float("nan"))).alias(name))
 
 
 def cross_entropy_difference(
@@ -213,13 +233,17 @@ def cross_entropy_difference(
         # joined to the counts, so that the rows of ``df`` are looked up once
         counts = materialise(lookup(counts, contexts, [CONTEXT], "_all", head_rows), "ngram-pair-given")
         given = [F.col("_plus_1"), F.col("_minus_1")]
-    found = lookup(_exploded(df, key, tokens, order), counts, columns, "_n", head_rows)
 
     def log_probability(count: str, total: Column) -> Column:
         return F.log((F.col(count) + float(alpha)) / (total + float(alpha) * types))
 
     gap = log_probability("_plus", given[0]) - log_probability("_minus", given[1])
-    return found.groupBy(*key).agg(F.avg(F.when(F.col("position").isNotNull(), gap)).alias(name))
+    counts = counts.withColumnRenamed("_n", "_weight")
+    sums = lookup_sums(
+        _exploded(df, key, tokens, order), counts, columns, "_weight", key, {"_gap": gap},
+        F.col("position").isNotNull(), head_rows,
+    )
+    return sums.select(*key, F.try_divide(F.col("_gap"), F.col("facts")).alias(name))
 
 
 def cross_entropy_difference_of(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from traceforge.workspace import SMALL_BYTES, SMALL_ROWS, materialise, row_bytes, small_or_none
 
@@ -83,3 +83,60 @@ def attach_bounded(facts: DataFrame, table: DataFrame, on: Sequence[str]) -> Dat
     """Inner-join a table that is usually small: broadcast only after counting it."""
     small = small_or_none(table)
     return facts.join(table if small is None else small, list(on))
+
+
+def lookup_sums(
+    facts: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    weight: str,
+    by: Sequence[str],
+    values: Mapping[str, Column],
+    counted: Column,
+    head_rows: int = SMALL_ROWS,
+    head_bytes: int = SMALL_BYTES,
+) -> DataFrame:
+    """``by``, the sum of each value over its ``counted`` facts, and their number ``facts``.
+
+    As ``lookup``, followed by sums per ``by``, but the facts are read once and
+    every one is looked up in one branch: those of the head are added up where
+    they are, one row per ``by`` and task, and the rest become counts per ``by``
+    and key before they are shuffled to the tail. ``values`` are expressions of
+    the columns of ``table``, null where a fact's key is not there.
+    """
+    on, by, names = list(on), list(by), list(values)
+    cut = _heavy_cut(table, weight, head_rows, head_bytes)
+    number = F.count_if(counted)
+    if cut is None:
+        found = facts.join(F.broadcast(table), on, "left")
+        sums = [F.sum(F.when(counted, values[n])).alias(n) for n in names]
+        return found.groupBy(*by).agg(*sums, number.alias("facts"))
+    head = table.where(F.col(weight) > cut).withColumn("_found", F.lit(True))
+    tried = facts.join(F.broadcast(head), on, "left").withColumn("_miss", counted & F.col("_found").isNull())
+    keys = [f"_key{i}" for i in range(len(on))]
+    combined = (
+        tried.withColumns({k: F.when(F.col("_miss"), F.col(c)) for k, c in zip(keys, on, strict=True)})
+        .groupBy(*by, "_miss", *keys)
+        .agg(number.alias("_n"), *[F.sum(F.when(counted & ~F.col("_miss"), values[n])).alias(f"_sum_{n}") for n in names])
+        # what has no key left to look up is spread by its own row
+        .withColumn("_spread", F.when(F.col("_miss"), F.lit(0).cast("long")).otherwise(F.xxhash64(*by)))
+    )
+    tail = table.where(F.col(weight) <= cut).withColumnsRenamed(dict(zip(on, keys, strict=True)))
+    joined = combined.join(tail.withColumn("_spread", F.lit(0).cast("long")), ["_spread", *keys], "left")
+    sums = [
+        F.sum(F.when(F.col("_miss"), F.col("_n") * values[n]).otherwise(F.col(f"_sum_{n}"))).alias(n) for n in names
+    ]
+    return joined.groupBy(*by).agg(*sums, F.sum("_n").alias("facts"))
+
+
+def skewed_lookup_sums(
+    facts: DataFrame, table: DataFrame, on: Sequence[str], by: Sequence[str], values: Mapping[str, Column],
+    counted: Column, head_rows: int = SMALL_ROWS,
+) -> DataFrame:
+    """``lookup_sums`` for a table that does not say how often its keys occur; see ``skewed_lookup``."""
+    on = list(on)
+    if small_or_none(table, head_rows) is not None:
+        return lookup_sums(facts, table.withColumn("_facts", F.lit(1)), on, "_facts", by, values, counted, head_rows)
+    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_facts"))
+    weighed = materialise(counts.join(table, on, "left"), "lookup")
+    return lookup_sums(facts, weighed, on, "_facts", by, values, counted, head_rows)
