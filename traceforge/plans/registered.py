@@ -10,6 +10,7 @@ from traceforge.constants import REJECTION_TARGET, REJECTION_THRESHOLD, SYSTEM_P
 from traceforge.functions import answers, text, tokens
 from traceforge.operators import (
     ablation,
+    bootstrap,
     candidates as choose,
     conversations,
     coverage,
@@ -349,6 +350,14 @@ def compare_runs(spark, sf_dir):
     )
 
 
+@register
+def accuracy_intervals(spark, sf_dir):
+    # orders of one priority are a run; the forced answers put some of its traces right
+    graded = fx.graded_fixture(spark, sf_dir).transform(grading.grade, "trace", "solution")
+    out = bootstrap.accuracy_intervals(graded, "is_correct", "problem_id", "run", "1-URGENT", seed=SEED)
+    return out.select("run", "traces", *[rounded(c, c) for c in out.columns[2:]])
+
+
 @register
 def defence_comparison(spark, sf_dir):
     # choose an answer per order with and without the shifted scores, grade, compare within a priority

@@ -11,6 +11,7 @@ from traceforge.constants import (
     TRAIN_FRACTION,
     TRAINING_MAX_LENGTH,
 )
+from traceforge.operators.bootstrap import THRESHOLDS
 from traceforge.plans.fixtures import EDGE_CASES
 
 SEED, TRACE_THRESHOLD, FLUENT = 42, 3.64, 7.9
@@ -407,6 +408,18 @@ ORACLE: dict[str, str] = {
         trace_af, is_raw_correct, is_af_correct from done""",
     "grade_edge_answers": f"""select o_orderkey as problem_id, ([{EDGES}])[(o_orderkey % {len(EDGE_CASES)})::INT + 1] as is_correct from orders""",
     "tokens_without_loss": r"""select doc_id, regexp_replace(lower(text), '[\x20\x09-\x0D]', '', 'g') as joined from documents""",
+    "accuracy_intervals": f"""with f2 as ({F2}), raw as ({graded('f2', 'trace', 'is_raw_correct')}),
+      h as (select problem_id, run, is_raw_correct::INT as ok, block, md5(problem_id || '|{SEED}|' || block) as h
+        from raw, (select unnest(range(25)) as block)),
+      n as (select run, ok, block * 8 + i as r, ('0x' || substr(h, 4 * i::INT + 1, 4))::INT as u from h, (select unnest(range(8)) as i)),
+      w as (select run, r, ok, {' + '.join(f'(u >= {t})::INT' for t in THRESHOLDS)} as w from n),
+      s as (select run, r, sum(w * ok)::DOUBLE / sum(w) as share from w group by run, r),
+      d as (select s.run, s.share, s.share - b.share as gap from s join s b on b.r = s.r and b.run = '1-URGENT'),
+      l as (select run, list_sort(list(share)) as shares, list_sort(list(gap)) as gaps from d group by run),
+      a as (select run, count(*) as traces, avg(is_raw_correct::INT) as acc from raw group by run)
+      select run, traces, round(acc, 6) as accuracy, round(shares[6], 6) as accuracy_low, round(shares[195], 6) as accuracy_high,
+        round(acc - (select acc from a where run = '1-URGENT'), 6) as delta, round(gaps[6], 6) as delta_low,
+        round(gaps[195], 6) as delta_high from a join l using (run)""",
     "defence_comparison": f"""with picks as ({drawn('clean', 'score')} union all {drawn('defended', 'score + 5.0::DOUBLE * (plus - minus)')}),
       a as (select o_orderpriority as split, run, count(*) as traces, avg((l_linenumber % 2 = 0)::INT) as acc
         from picks join orders on o_orderkey = l_orderkey group by all)
