@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ LEAST_WORDS, EDIT_SHARE = 8, 0.2
 WALKS, SAMPLES, POSITIONS, STRETCH = 8, 4, 3, 3
 # Bytes of item text searched for in one pass over the documents; characters looked at together.
 ITEM_BYTES, CHUNK_CHARS = 8 << 20, 1 << 20
+# Bytes of embeddings held at once, and places of shared parts looked at together.
+EMBED_BYTES, PAIRS = 16 << 20, 1 << 17
 TABLE_BITS = 22
 
 
@@ -31,6 +34,7 @@ def spaced(text: str | None) -> bytes:
     return text.lower().encode().translate(SPACED) if text else b""
 
 
+@lru_cache(maxsize=1 << 16)
 def _draw(*numbers: int) -> np.uint64:
     value = np.array([0], np.uint64)
     for number in numbers:
@@ -38,30 +42,64 @@ def _draw(*numbers: int) -> np.uint64:
     return value[0] | np.uint64(1)
 
 
-def embed(symbols: np.ndarray, sizes: np.ndarray, walk: int, steps: int) -> np.ndarray:
-    """CGK: copy the current symbol at each step, move on if a coin of (step, symbol) says so; zero past the end."""
-    rows, at = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
-    out = np.zeros((len(symbols), steps), np.uint64)
-    for step in range(steps):
-        inside = at < sizes
-        symbol = np.where(inside, symbols[rows, np.minimum(at, symbols.shape[1] - 1)], np.uint64(0))
-        out[:, step] = symbol
-        at += inside & (scrambled(symbol * _draw(walk, step)) >> np.uint64(63)).astype(bool)
+def embed(symbols: np.ndarray, words_: np.ndarray) -> np.ndarray:
+    """CGK: at each step copy the current symbol, and move on if a coin of (walk, step, symbol) says so.
+
+    Rows are padded with zeros, one at least, and stand by falling ``words_``;
+    a row takes ``STRETCH`` steps per word. Indexed by step, walk and row; zero
+    past the end, where the coin of a zero stays down.
+    """
+    steps = STRETCH * words_
+    flat, at = symbols.ravel(), np.tile(np.arange(len(symbols)) * symbols.shape[1], (WALKS, 1))
+    out = np.zeros((steps[0], WALKS, len(symbols)), np.uint64)
+    for step in range(steps[0]):
+        open_ = int(np.searchsorted(-steps, -step, "left"))
+        symbol = flat.take(at[:, :open_])
+        out[step, :, :open_] = symbol
+        symbol *= np.array([[_draw(walk, step)] for walk in range(WALKS)])
+        at[:, :open_] += (scrambled(symbol) >> np.uint64(63)).view(np.int64)
     return out
 
 
-def lsh_keys(symbols: np.ndarray, sizes: np.ndarray, words_: int) -> np.ndarray:
-    """One key per walk and sample of each row, from fixed positions of its embedding."""
-    steps, keys = STRETCH * words_, []
-    for walk in range(WALKS):
-        embedded = embed(symbols, sizes, walk, steps)
-        for sample in range(SAMPLES):
-            at = np.random.default_rng((words_, walk, sample)).choice(steps, min(POSITIONS, steps), replace=False)
-            key = np.full(len(symbols), _draw(words_, walk, sample))
-            for position in at:
-                key = scrambled(key ^ embedded[:, position])
-            keys.append(key)
-    return np.array(keys).T
+@lru_cache(maxsize=1 << 10)
+def _sampled(words_: int) -> np.ndarray:
+    """Steps sampled for items of a length, by walk, sample and position."""
+    steps = STRETCH * words_
+    return np.array(
+        [
+            [
+                np.random.default_rng((words_, walk, sample)).choice(steps, min(POSITIONS, steps), replace=False)
+                for sample in range(SAMPLES)
+            ]
+            for walk in range(WALKS)
+        ]
+    )
+
+
+def lsh_keys(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, words_: np.ndarray) -> np.ndarray:
+    """One key per walk and sample of each window of ``hashes``, from fixed positions of its embedding.
+
+    ``words_`` is the length of the items that a window is held against. Windows
+    are embedded in parts of about ``EMBED_BYTES``.
+    """
+    keys = np.empty((len(starts), WALKS * SAMPLES), np.uint64)
+    order = np.argsort(-words_, kind="stable")
+    walks, begin = np.arange(WALKS)[:, None], 0
+    while begin < len(order):
+        most = int(words_[order[begin]])
+        rows = order[begin : begin + max(1, EMBED_BYTES // (8 * WALKS * STRETCH * most))]
+        begin += len(rows)
+        place = starts[rows, None] + np.arange(most + 1)
+        symbols = np.where(place < stops[rows, None], hashes[np.minimum(place, len(hashes) - 1)], np.uint64(0))
+        embedded, sizes = embed(symbols, words_[rows]), words_[rows]
+        for n in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == n)
+            seeds = np.array([[_draw(n, walk, sample) for sample in range(SAMPLES)] for walk in range(WALKS)])
+            key = np.repeat(seeds[:, :, None], len(mine), 2)
+            for at in np.moveaxis(_sampled(n), 2, 0):
+                key = scrambled(key ^ embedded[at[:, :, None], walks[:, :, None], mine])
+            keys[rows[mine]] = key.reshape(-1, len(mine)).T
+    return keys
 
 
 def best_match(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
@@ -109,69 +147,92 @@ class Finder:
             table = np.zeros(1 << TABLE_BITS, bool)
             table[np.array([k for k, _, _ in found], np.uint64) >> np.uint64(64 - TABLE_BITS)] = True
             self.tables[size] = (table, np.array([k for k, _, _ in found], np.uint64))
-        self.keys: dict[int, dict[tuple[int, int], set[int]]] = {}
-        for i, (_, sequence) in enumerate(self.items):
-            n = len(sequence)
-            own = lsh_keys(word_hashes(sequence)[None], np.array([n]), n)[0]
-            for at, key in enumerate(own.tolist()):
-                self.keys.setdefault(n, {}).setdefault((at, key), set()).add(i)
-
-    def _windows(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> dict[int, set[tuple[int, int, int]]]:
-        """By item size: start, stop and document's first word of windows around a part that an item shares."""
-        out: dict[int, set[tuple[int, int, int]]] = {}
+        sizes = np.array([len(s) for _, s in self.items], np.int64)
+        self.sizes, self.most_edits = sizes, np.array(self.edits, np.int64)
+        stops = np.cumsum(sizes)
+        joined = np.concatenate([word_hashes(s) for _, s in self.items]) if self.items else np.zeros(0, np.uint64)
+        keys = lsh_keys(joined, stops - sizes, stops, sizes)
+        order = np.argsort(keys, axis=None)
+        self.keys, self.owners = keys.ravel()[order], order // keys.shape[1]
+
+    def _windows(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Item size, start and stop of windows around a part that an item shares, in this order and each once."""
+        found = [np.zeros((3, 0), np.int64)]
         for size, (table, sorted_keys) in self.tables.items():
             keys = rolled(hashes, size)
             at = np.flatnonzero(table[keys >> np.uint64(64 - TABLE_BITS)])
+            at = at[at + size <= end[at]]
             low = np.searchsorted(sorted_keys, keys[at], "left")
-            high = np.searchsorted(sorted_keys, keys[at], "right")
-            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                if p + size > end[p]:
-                    continue
-                for _, i, offset in self.seeds[size][a:b]:
-                    n, k = len(self.items[i][1]), self.edits[i]
-                    for shift in {-k, -(k // 2), 0, k // 2, k}:
-                        start = max(int(begin[p]), p - offset + shift)
-                        stop = min(int(end[p]), start + n)
-                        if stop - start >= n - k:
-                            out.setdefault(n, set()).add((start, stop, int(begin[p])))
-        return out
+            hits = np.searchsorted(sorted_keys, keys[at], "right") - low
+            at, low, hits = at[hits > 0], low[hits > 0], hits[hits > 0]
+            seeds = np.array(self.seeds[size])[:, 1:].astype(np.int64)
+            stops = np.cumsum(hits)
+            for a in range(0, int(stops[-1]) if len(stops) else 0, PAIRS):
+                nth = np.arange(a, min(a + PAIRS, stops[-1]))
+                row = np.searchsorted(stops, nth, "right")
+                item, offset = seeds[low[row] + nth - (stops - hits)[row]].T
+                p, n, k = at[row], self.sizes[item], self.most_edits[item]
+                part = []
+                for shift in (-k, -(k // 2), 0, k // 2, k):
+                    start = np.maximum(begin[p], p - offset + shift)
+                    stop = np.minimum(end[p], start + n)
+                    part.append(np.array([n, start, stop])[:, stop - start >= n - k])
+                found.append(_distinct(np.concatenate(part, 1)))
+        return tuple(_distinct(np.concatenate(found, 1)))
 
     def leaks(self, texts: list[str | None]) -> list[dict[int, tuple[int, int]]]:
         """By text: item position to its least word edits and the number of words before the match's end."""
         found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         if not self.items:
             return found
-        pieces = [spaced(text) for text in texts]
-        data = b" ".join(pieces)
+        pieces = [b" ".join(normal_words(text)) for text in texts]
+        data = b" ".join(filter(None, pieces))
         begins, ends = word_bounds(data)
-        hashes = RangeHashes(data).of(begins, ends)
-        stops = np.searchsorted(begins, np.cumsum([len(piece) + 1 for piece in pieces]))
-        sizes = np.diff(stops, prepend=0)
+        ranges = RangeHashes(data)
+        hashes = ranges.of(begins, ends)
+        sizes = np.array([piece.count(b" ") + bool(piece) for piece in pieces], np.int64)
+        stops = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(texts)), sizes)
         begin, end = np.repeat(stops - sizes, sizes), np.repeat(stops, sizes)
-        for n, windows in self._windows(hashes, begin, end).items():
-            ordered = sorted(windows)
-            lengths = np.array([stop - start for start, stop, _ in ordered])
-            symbols = np.zeros((len(ordered), n), np.uint64)
-            for row, (start, stop, _) in enumerate(ordered):
-                symbols[row, : stop - start] = hashes[start:stop]
-            buckets, tried = self.keys[n], set()
-            for (start, _, first), keys in zip(ordered, lsh_keys(symbols, lengths, n).tolist(), strict=True):
-                text = int(owner[start])
-                for i in set().union(*(buckets.get(pair, ()) for pair in enumerate(keys))):
-                    k = self.edits[i]
-                    # windows of one neighbourhood share a verification, which reaches over all of them
-                    if (text, i, start // max(1, k)) in tried or found[text].get(i, (k + 1, 0))[0] == 0:
-                        continue
-                    tried.add((text, i, start // max(1, k)))
-                    low = max(first, start - 2 * k)
-                    high = min(int(end[start]), start + n + 2 * k)
-                    distance, to = best_match(self.items[i][1], data[begins[low] : ends[high - 1]].split())
-                    if distance <= k and distance < found[text].get(i, (k + 1, 0))[0]:
-                        found[text][i] = (distance, low + to - first)
+        size, start, stop = self._windows(hashes, begin, end)
+        if not len(start):
+            return found
+        # equal windows are embedded once
+        alike = scrambled(ranges.of(begins[start], ends[stop - 1]) ^ size.astype(np.uint64))
+        _, sample, which = np.unique(alike, return_index=True, return_inverse=True)
+        keys = lsh_keys(hashes, start[sample], stop[sample], size[sample])
+        low = np.searchsorted(self.keys, keys, "left")
+        hits = np.searchsorted(self.keys, keys, "right") - low
+        candidates: dict[int, set[int]] = {}
+        for row, column in np.argwhere(hits).tolist():
+            a = low[row, column]
+            candidates.setdefault(row, set()).update(self.owners[a : a + hits[row, column]].tolist())
+        tried = set()
+        for at in np.flatnonzero(np.isin(which, list(candidates))).tolist():
+            here = int(start[at])
+            text, first = int(owner[here]), int(begin[here])
+            for i in candidates[int(which[at])]:
+                k = self.edits[i]
+                # windows of one neighbourhood share a verification, which reaches over all of them
+                if (text, i, here // max(1, k)) in tried or found[text].get(i, (k + 1, 0))[0] == 0:
+                    continue
+                tried.add((text, i, here // max(1, k)))
+                left = max(first, here - 2 * k)
+                right = min(int(end[here]), here + int(size[at]) + 2 * k)
+                distance, to = best_match(self.items[i][1], data[begins[left] : ends[right - 1]].split())
+                if distance <= k and distance < found[text].get(i, (k + 1, 0))[0]:
+                    found[text][i] = (distance, left + to - first)
         return found
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Columns of a table, ordered by its rows from the first on, each once."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    fresh = np.ones(rows.shape[1], bool)
+    fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+    return rows[:, fresh]
+
+
 def _finders(benchmark: DataFrame) -> Iterator[Finder]:
     """The items in blocks of bounded size; a benchmark beyond one block is searched for block by block."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
