@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -58,11 +59,12 @@ class BlankCutEncoder:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
         cut = [text.split(" ") for text in texts]
         heads = self._encode([pieces.pop(0) for pieces in cut])
-        unknown = set().union(*cut).difference(self.known)
+        distinct = set().union(*cut)
+        if len(self.known) > CACHE_PIECES:  # what occurs again is kept
+            self.known = {p: self.known[p] for p in distinct & self.known.keys()}
+        unknown = distinct.difference(self.known)
         self.known.update(self._learn([p for p in unknown if p and not p[0].isspace() and not p[-1].isspace()]))
         ids_of, out = self.known.__getitem__, []
         for text, pieces, head in zip(texts, cut, heads, strict=True):
@@ -96,6 +98,8 @@ class BlankCutEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> BlankCutEncoder:
+    # a task has one core; threads of its own would only take those of others
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return BlankCutEncoder(path)
 
 
