@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 
 from traceforge.workspace import scratch_root
 
@@ -102,6 +105,39 @@ def in_chunks(
         yield keys, texts
 
 
+def in_slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Parts of each batch with about ``max_bytes`` of text, at least one row each."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64))
+        begin = 0
+        while begin < len(ends):
+            before = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
+            yield batch.slice(begin, stop - begin)
+            begin = stop
+
+
+def give_back() -> None:
+    """Return what earlier tasks of this Python worker have freed to the system, which the worker would keep else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Arrow batches of whole texts in fewer rows, for what is executed inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def in_sizes(texts: list[str], max_chars: int) -> Iterator[list[str]]:
     """Consecutive texts of about ``max_chars`` characters together; one longer text alone."""
     begin, size = 0, 0

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from traceforge.llm.common import RangeHashes, rolled, scrambled, word_bounds, word_hashes
+from traceforge.llm.common import RangeHashes, give_back, in_slices, rolled, scrambled, word_bounds, word_hashes
 
 # Every byte but a letter's or digit's is a blank.
 SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -243,18 +243,6 @@ def _finders(benchmark: DataFrame) -> Iterator[Finder]:
         yield Finder(sorted(map(tuple, mine.collect()), key=lambda item: (item[0] is None, item[0] or 0, item[1])))
 
 
-def _slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Batches in parts of about ``CHUNK_CHARS`` characters, at least one row each."""
-    for batch in batches:
-        texts, begin, size = batch.column(text).to_pylist(), 0, 0
-        for i, value in enumerate(texts):
-            if i > begin and size + len(value or "") > CHUNK_CHARS:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, size = i, 0
-            size += len(value or "")
-        yield batch.slice(begin), texts[begin:]
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, distance, item_words, end_word``: items that a document holds, with few words edited.
 
@@ -274,8 +262,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(finder)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            give_back()
             finder = shared.value
-            for batch, texts in _slices(batches, "text"):
+            for batch in in_slices(batches, "text", CHUNK_CHARS):
+                texts = batch.column("text").to_pylist()
                 rows = [
                     (key, finder.items[i][0], distance, len(finder.items[i][1]), end)
                     for key, leaks in zip(batch.column("doc_id").to_pylist(), finder.leaks(texts), strict=True)
@@ -303,8 +293,9 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(finder)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch, texts in _slices(batches, "text"):
-                yield batch.filter(pa.array([not leaks for leaks in shared.value.leaks(texts)], pa.bool_()))
+            give_back()
+            for batch in in_slices(batches, "text", CHUNK_CHARS):
+                yield batch.filter(pa.array([not leaks for leaks in shared.value.leaks(batch.column("text").to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from traceforge.llm.common import in_sizes
+from traceforge.llm.common import give_back, in_slices, small_batches
 from traceforge.workspace import materialise
 
 # Pieces between blanks that a worker remembers, the longest of them, pieces
@@ -114,9 +114,9 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.array([end_id], encode.kind).tobytes()
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [i + end for part in in_sizes(texts, CHUNK_CHARS) for i in encode(part)]
+        give_back()
+        for batch in in_slices(batches, "text", CHUNK_CHARS):
+            ids = [i + end for i in encode([t or "" for t in batch.column("text").to_pylist()])]
             sizes = np.array([len(i) // encode.kind.itemsize for i in ids], np.int64)
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
@@ -133,7 +133,8 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1) ->
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     done = rows.mapInArrow(run, "doc_id long, ids binary, n_tokens long, part long, before long")
-    return materialise(done, "tokens")
+    with small_batches(docs.sparkSession):
+        return materialise(done, "tokens")
 
 
 def pack(
@@ -161,8 +162,9 @@ def pack(
     shared = tokens.sparkSession.sparkContext.broadcast(offsets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         kind = encoder(tokenizer_path).kind
-        for batch in batches:
+        for batch in in_slices(batches, "ids", CHUNK_CHARS):
             size = batch.column("n_tokens").to_numpy()
             bounds = [shared.value[p] for p in batch.column("part").to_pylist()]
             lows, highs = np.array(bounds, np.int64).reshape(-1, 2).T
