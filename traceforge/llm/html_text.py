@@ -55,48 +55,61 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 STRUCTURE = HEADINGS | set("ul ol li dl dt dd table caption thead tbody tfoot tr td th".split())
 
 
+class _Paths:
+    """Paths from the root to a block, each as the number of a (parent, label) pair, so a deep one takes no more room."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, str], int] = {}
+        # By path: name of its last element, and the path of the element in which it,
+        # or the list or table that it is part of, stands.
+        self.names, self.homes = [""], [0]
+
+    def below(self, parent: int, name: str, label: str) -> int:
+        path = self.known.setdefault((parent, name + label), len(self.names))
+        if path == len(self.names):
+            self.names.append(name)
+            self.homes.append(self.homes[parent] if self.names[parent] in STRUCTURE else parent)
+        return path
+
+
 class _Element:
-    __slots__ = ("name", "block", "dropped", "root", "path", "link", "hinted", "by")
+    __slots__ = ("name", "block", "dropped", "root", "path", "link", "hinted")
 
-    def __init__(self, name: str, attributes: str, parent: _Element | None, nth: int = 0, spared: frozenset[int] = frozenset()) -> None:
+    def __init__(self, name: str, attributes: str, parent: _Element | None, paths: _Paths) -> None:
         self.name, self.block = name, name not in INLINE
         dropped, label, root = name in DROPPED, "", name in ROOTS
-        inside, hinted, by = parent is not None and parent.root, parent is not None and parent.hinted, parent.by if parent else 0
-        excused = name in ("body", "html", "main", "article") or nth in spared
+        inside, hinted = parent is not None and parent.root, parent is not None and parent.hinted
+        excused = name in ("body", "html", "main", "article")
         if attributes:
-            names: list[set[str]] = []
             for key, *values, hidden in ATTRIBUTE.findall(attributes):
                 value = "".join(values)
                 key = key.lower()
                 if hidden or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     dropped = True
                 elif key in ("class", "id", "role"):
-                    names += [set(re.sub(r"([a-z])([A-Z])|[-_]+", r"\1 \2", token).lower().split()) for token in value.split()]
+                    words = set(re.sub(r"([a-z])([A-Z])|[-_]+", r"\1 \2", value).lower().split())
                     root = root or key == "role" and value.lower() == "main"
                     label += "." + value
-            if not excused:
-                if any(token and token <= (PART_NAMES if inside else PART_NAMES | HEADER_NAMES) for token in names):
-                    by = by or nth
-                hinted = hinted or any(token & PART_NAMES for token in names)
+                    if not excused and words & PART_NAMES | words & HEADER_NAMES:
+                        dropped = dropped or words <= (PART_NAMES if inside else PART_NAMES | HEADER_NAMES)
+                        hinted = hinted or bool(words & PART_NAMES)
         dropped = dropped or name == "header" and not inside
         self.dropped = dropped or parent is not None and parent.dropped
-        self.by, self.hinted = by, hinted and name not in ROOTS
-        self.root = root and not self.dropped and not by or inside
-        above = parent.path if parent else ""
-        self.path = f"{above}/{name}{label.replace('/', '|')}" if self.block else above
+        self.hinted = hinted and name not in ROOTS
+        self.root = root and not self.dropped or inside
+        above = parent.path if parent else 0
+        self.path = paths.below(above, name, label) if self.block and parent else above
         self.link = name == "a" or parent is not None and parent.link
 
 
-def text_blocks(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, bool, bool, str, int]]:
+def text_blocks(page: str, paths: _Paths) -> list[tuple[int, bool, bool, str, int]]:
     """Path, whether in an article, whether hinted at, text and characters in links of every block outside dropped parts.
 
-    An element is dropped by a class, id or role of which every word names a
-    part, unless it holds most of the page's text (``spared``).
+    An element is dropped by its name, or by a class, id or role of which every
+    word names a part; one that has other words beside is hinted at.
     """
-    out: list[tuple[str, bool, bool, str, int]] = []
-    held: dict[int, int] = {}
-    count = 0
-    stack = [_Element("", "", None)]
+    out: list[tuple[int, bool, bool, str, int]] = []
+    stack = [_Element("", "", None, paths)]
     opened: dict[str, int] = {}
     buffer: list[str] = []
     linked = 0
@@ -114,9 +127,6 @@ def text_blocks(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[s
         nonlocal linked
         if stack[-1].dropped:
             return
-        if by := stack[-1].by:
-            held[by] = held.get(by, 0) + len(segment.strip())
-            return
         buffer.append(html.unescape(segment) if "&" in segment else segment)
         if stack[-1].link:
             linked += len(segment)
@@ -167,8 +177,7 @@ def text_blocks(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[s
             raw_end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = page.find(">", raw_end.end()) + 1 or end if raw_end else end
             continue
-        count += 1
-        element = _Element(name, attributes, stack[-1], count, spared)
+        element = _Element(name, attributes, stack[-1], paths)
         if element.block:
             flush()
         if attributes.endswith("/") and name in ("svg", "path"):
@@ -176,20 +185,9 @@ def text_blocks(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[s
         stack.append(element)
         opened[name] = opened.get(name, 0) + 1
     flush()
-    most = max(held, key=held.__getitem__, default=0)
-    if most and 2 * held[most] > sum(held.values()) + sum(len(text) for *_, text, _ in out) and out:
-        return text_blocks(page, spared | {most})
     return out
 
 
-def _home(path: str) -> str:
-    """Path of the element in which a block, or the list or table that it is part of, stands."""
-    path = path.rpartition("/")[0]
-    while path.rpartition("/")[2].partition(".")[0] in STRUCTURE:
-        path = path.rpartition("/")[0]
-    return path
-
-
 def _since_block(stack: list[_Element]) -> Iterator[_Element]:
     for element in reversed(stack):
         if element.block:
@@ -220,24 +218,26 @@ def main_text(page: str | None) -> str:
     the share of the text that it holds: a gain inside, a loss outside. Paths
     under ``THRESHOLD`` are left out.
     """
-    blocks = text_blocks(page or "")
-    sums: dict[tuple[str, bool, bool], list[float]] = {}
+    paths = _Paths()
+    blocks = text_blocks(page or "", paths)
+    names, home = paths.names, paths.homes
+    sums: dict[tuple[int, bool, bool], list[float]] = {}
     for path, root, hinted, text, linked in blocks:
         row = sums.setdefault((path, root, hinted), [0, 0, 0, 0])
         for i, value in enumerate((1, len(text), len(PUNCTUATION.findall(text)), min(linked, len(text)))):
             row[i] += value
     plain = {
-        at: (1.0 if at[0].rpartition("/")[2].partition(".")[0] in HEADINGS else 1 - links / max(1, chars)) * (HINTED if at[2] else 1)
+        at: (1.0 if names[at[0]] in HEADINGS else 1 - links / max(1, chars)) * (HINTED if at[2] else 1)
         for at, (_, chars, _, links) in sums.items()
     }
     scores = {at: math.log1p(chars / n) * math.log1p(1 + signs / n) * plain[at] for at, (n, chars, signs, _) in sums.items()}
-    best: dict[str, float] = {}
+    best: dict[int, float] = {}
     for at, value in scores.items():
-        best[_home(at[0])] = max(best.get(_home(at[0]), 0.0), value)
+        best[home[at[0]]] = max(best.get(home[at[0]], 0.0), value)
     smooth = {}
     for at, value in scores.items():
-        beside = best[_home(at[0])] * plain[at]
-        part = at[0].rpartition("/")[2].partition(".")[0] in STRUCTURE
+        beside = best[home[at[0]]] * plain[at]
+        part = names[at[0]] in STRUCTURE
         smooth[at] = max(value, beside) if part else (value + beside) / 2
     weight = sum(row[1] for row in sums.values())
     mean = sum(smooth[at] * row[1] for at, row in sums.items()) / max(1, weight)
