@@ -402,3 +402,39 @@ def test_html_state_classes_drop_no_page(start):
     page = f"<body><div class='cookie-banner'>Take cookies.</div>{start}<h1>T</h1><p>{PROSE}</p><div class='ad'>buy</div></{start[1:].split()[0]}>"
     assert html_text.main_text(page + "<p>x</p></body>").split("\n")[:2] == ["T", PROSE.strip()]
     assert "buy" not in html_text.main_text(page) and "cookies" not in html_text.main_text(page)
+
+
+def test_html_deep_nesting_and_a_large_named_part():
+    assert html_text.main_text("<div>" * 50000 + f"<p>{PROSE}</p>") == PROSE.strip()
+    assert html_text.main_text("<div class='ad'>" * 3000 + "x" + f"<p>{PROSE}</p>") == ""
+    notice = f"<div class='cookie-notice'><p>{PROSE * 20}</p></div>"
+    assert html_text.main_text(f"<body>{notice}<article><p>{PROSE}</p></article></body>") == PROSE.strip()
+
+
+def test_search_for_leaks_equals_brute_force_over_edits_of_all_kinds():
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(5000)}"
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((8, 15, 30, 60, 120))]
+    finder = decontaminate.Finder(items)
+    found = planted = 0
+    texts, expected = [], []
+    for _ in range(200):
+        i, text = draw.choice(items)
+        passage = text.split()
+        for _ in range(draw.randrange(len(passage) // 5 + 1)):
+            at = draw.randrange(len(passage))
+            passage[at : at + draw.randrange(2)] = [word()] * draw.randrange(2)
+        texts.append(" ".join([*(word() for _ in range(50)), *passage, *(word() for _ in range(50))]))
+        words = decontaminate.normal_words(texts[-1])
+        expected.append({j: decontaminate.best_match(decontaminate.normal_words(t), words)[0] for j, t in items})
+    for leaks, distances in zip(finder.leaks(texts), expected, strict=True):
+        right = {j: d for j, d in distances.items() if d <= finder.edits[j]}
+        assert {j: d for j, (d, _) in leaks.items()}.items() <= right.items()
+        planted, found = planted + len(right), found + len(leaks)
+    assert found >= 0.95 * planted > 150
+
+
+def test_repetitive_text_against_a_repetitive_item():
+    finder = decontaminate.Finder([(1, "a b " * 50)])
+    (leaks,) = finder.leaks(["a b " * 50000])
+    assert leaks[0] == (0, 100)
