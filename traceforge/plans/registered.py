@@ -33,7 +33,6 @@ QUERIES: dict[str, Query] = {}
 SEED = 42
 PRICE_THRESHOLD = 2.5
 TRACE_THRESHOLD = 3.64
-MOST_SUBSETS = 512
 FLUENT = 7.9
 TEMPLATE = [2, 3]  # id pair searched in the word-length arrays
 
@@ -78,14 +77,7 @@ def load_problems_test(spark, sf_dir):
 @register
 def concat_subsets(spark, sf_dir):
     documents = fx.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
-    names = [row["lang"] for row in documents.select("lang").distinct().limit(MOST_SUBSETS + 1).collect()]
-    if len(names) > MOST_SUBSETS:
-        raise ValueError(f"more than {MOST_SUBSETS} subsets")
-    parts = {
-        lang: documents.where(F.col("lang").eqNullSafe(lang)).drop("lang")
-        for lang in sorted(names, key=lambda lang: lang or "")
-    }
-    return problems.concat_subsets(parts)
+    return problems.subsets_of(documents, "lang")
 
 
 @register

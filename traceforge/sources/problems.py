@@ -57,6 +57,11 @@ def concat_subsets(subsets: Mapping[str, DataFrame], name: str = "subset") -> Da
     return reduce(lambda a, b: a.unionByName(b), marked)
 
 
+def subsets_of(df: DataFrame, column: str, name: str = "subset") -> DataFrame:
+    """As ``concat_subsets`` where one table holds all subsets: its ``column`` is the mark, and it is read once."""
+    return df.withColumnRenamed(column, name)
+
+
 def subject_subsets(read: Callable[[str], DataFrame]) -> DataFrame:
     """The competition-maths subjects, each read by name, in their fixed order."""
     return concat_subsets({subject: read(subject) for subject in MATH_SUBJECTS})
