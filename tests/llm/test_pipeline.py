@@ -46,7 +46,7 @@ def test_stages_take_empty_tables(spark, tmp_path):
 
 @pytest.mark.parametrize("name", sorted(registered.ORACLE))
 def test_twins(spark, name):
-    for table in ("embeddings", "pages"):
+    for table in ("embeddings", "pages", "documents", "benchmark"):
         duckdb.sql(f"create or replace view {table} as from '{SF}/{table}.parquet'")
     got = registered.QUERIES[name](spark, SF)
     want = duckdb.sql(registered.ORACLE[name])
