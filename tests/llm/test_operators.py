@@ -234,6 +234,25 @@ def test_model_takes_wider_spellings_only_above_its_threshold(spark):
     assert base == [] and all(kind == "ip" for _, _, kind in spans)
 
 
+def test_personal_data_is_learned_from_every_candidate(spark):
+    ip = "concat_ws('.', 1 + id % 250, 1 + id div 250 % 250, 7, {})"
+    text = f"concat('host ', {ip.format(1)}, ' or ', {ip.format(2)}, if(id % 220 = 0, concat(' call +1 (555) 555-', 1000 + id div 220), ''))"
+    docs = spark.range(22_000).selectExpr("id as doc_id", f"{text} as text")
+    counts = pii.examples(docs).groupBy("truth").agg(F.sum("n").alias("n")).collect()
+    assert {r["truth"]: r["n"] for r in counts}[1] == 44_100
+    # a kind with 100 among 44,100 candidates is judged by all of them
+    assert {"ip", "phone"} <= set(pii.fit(docs).thresholds)
+
+
+def test_sums_in_tasks_give_the_same_trees(spark, monkeypatch):
+    text = "concat('from u', id, '@mail.example.com at ', id % 400, '.2.3.4 or +1 (555) 555-', 1000 + id)"
+    docs = spark.range(300).selectExpr("id as doc_id", f"{text} as text").repartition(3)
+    monkeypatch.setattr(pii, "TREES", 2)
+    here = pii.fit(docs)
+    monkeypatch.setattr(pii, "LOCAL_ROWS", 0)
+    assert pii.fit(docs) == here and here.thresholds
+
+
 def edits(a, b):
     """Least edits between ``a`` and any part of ``b``."""
     row = [0] * (len(b) + 1)

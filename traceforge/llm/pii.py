@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from traceforge.llm.common import settle
+
 # The order decides between spans with equal start.
 KINDS = ("email", "ip", "card", "phone")
-# Most documents and candidates learned from, trees, their depth, thresholds tried per feature.
-SAMPLE_DOCS, SAMPLE_CANDIDATES, TREES, DEPTH, CUTS = 20_000, 20_000, 40, 3, 16
-# Least share of true spans among those above a threshold, and characters of context.
-PRECISION, CONTEXT = 0.95, 40
+# Trees, their depth, most rows of counts that the driver holds; slopes are summed as multiples of 1 / UNIT.
+TREES, DEPTH, LOCAL_ROWS, UNIT = 40, 3, 50_000, 1 << 30
+# Least share of true spans among those above a threshold, characters of context, steps of a chance.
+PRECISION, CONTEXT, STEPS = 0.95, 40, 10_000
 
 ANY = re.compile(r"[0-9@]|\bat\b|\(at\)|\[at\]", re.I)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -162,6 +165,16 @@ def spoiled(text: str, span: tuple[int, int, str]) -> tuple[str, tuple[int, int,
     return context, (start - left, start - left + len(new), kind)
 
 
+def _leaf(tree: list[tuple[int, float, int, int, float]], rows: np.ndarray) -> np.ndarray:
+    """The node of the tree that each row ends in."""
+    at = np.zeros(len(rows), np.int64)
+    feature, cut, left, right, _ = (np.array(c) for c in zip(*tree, strict=True))
+    for _ in range(DEPTH):
+        low = rows[np.arange(len(rows)), np.maximum(feature[at], 0)] <= cut[at]
+        at = np.where(feature[at] >= 0, np.where(low, left[at], right[at]), at)
+    return at
+
+
 @dataclass
 class Trees:
     """Boosted regression trees on logits: per node feature, cut, children; leaves hold a value."""
@@ -172,48 +185,109 @@ class Trees:
     def logits(self, rows: np.ndarray) -> np.ndarray:
         out = np.full(len(rows), self.start)
         for tree in self.nodes:
-            at = np.zeros(len(rows), np.int64)
-            feature, cut, left, right, value = (np.array(c) for c in zip(*tree, strict=True))
-            for _ in range(DEPTH):
-                inner = feature[at] >= 0
-                low = rows[np.arange(len(rows)), np.maximum(feature[at], 0)] <= cut[at]
-                at = np.where(inner, np.where(low, left[at], right[at]), at)
-            out += value[at]
+            out += np.array([node[4] for node in tree])[_leaf(tree, rows)]
         return out
 
     def chances(self, rows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.logits(rows)))
 
 
-def boost(rows: np.ndarray, truth: np.ndarray, rate: float = 0.3, ridge: float = 1.0) -> Trees:
-    """Newton boosting of small trees with a few cuts per feature; deterministic."""
-    model = Trees(float(np.log((truth.sum() + 1) / (len(truth) - truth.sum() + 1))))
-    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, CUTS + 1)[:-1], method="lower")) for c in rows.T]
-
-    def grow(tree: list, mine: np.ndarray, slope: np.ndarray, curve: np.ndarray, depth: int) -> int:
-        g, h = slope[mine].sum(), curve[mine].sum()
-        node, best = len(tree), (1e-6, -1, 0.0)
-        tree.append((-1, 0.0, 0, 0, rate * g / (h + ridge)))
-        if depth < DEPTH:
-            for j, places in enumerate(cuts):
-                for cut in places:
-                    low = rows[mine, j] <= cut
-                    gl, hl = slope[mine][low].sum(), curve[mine][low].sum()
-                    if 0 < low.sum() < len(mine):
-                        gain = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
-                        best = max(best, (gain, j, cut))
-        if best[1] >= 0:
-            _, j, cut = best
-            low = rows[mine, j] <= cut
-            left = grow(tree, mine[low], slope, curve, depth + 1)
-            right = grow(tree, mine[~low], slope, curve, depth + 1)
-            tree[node] = (j, float(cut), left, right, 0.0)
-        return node
+# Where a feature of ``describe`` may be cut: yes or no, counts, shares. A row's bin is the first cut not below it.
+FLAG, SIZES, SHARES = (0.0,), (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 16, 19, 24, 32, 48), tuple(i / 16 for i in range(16))
+CUTS = [np.array(c, float) for c in (*[FLAG] * 4, *[SIZES] * 6, *[FLAG] * 8, SHARES)]
+BINS = 1 + max(map(len, CUTS))
+
+
+def binned(values: list[float]) -> bytes:
+    return bytes(int(np.searchsorted(cuts, v)) for cuts, v in zip(CUTS, values, strict=True))
+
+
+def _from_bins(column: pa.Array) -> np.ndarray:
+    """The bins of each row."""
+    joined = b"".join(column.to_pylist())
+    return np.frombuffer(joined, np.uint8).reshape(-1, len(CUTS)).astype(np.int64)
+
+
+def _as_values(bins: np.ndarray) -> np.ndarray:
+    """Values that every tree cuts as it would the rows' own."""
+    return np.stack([np.append(cuts, np.inf)[b] for cuts, b in zip(CUTS, bins.T, strict=True)], axis=1)
+
+
+class Counts:
+    """``bins, truth, held, n`` rows; sums over them are made on the driver if they are few, else in tasks."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = settle(rows)
+        self.local = self.rows.toArrow() if self.rows.count() <= LOCAL_ROWS else None
+
+    def sums(self, of: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple], held: bool) -> dict[int, tuple[int, int]]:
+        """Per code, the sums of two whole numbers; ``of`` gives codes and both from bins, truths and n."""
+
+        def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(pc.equal(batch["held"], held))
+                if not batch.num_rows:
+                    continue
+                codes, *parts = of(_from_bins(batch["bins"]), batch["truth"].to_numpy(), batch["n"].to_numpy())
+                found, at = np.unique(codes.astype(np.int64), return_inverse=True)
+                added = np.zeros((2, len(found)), np.int64)
+                for row, part in zip(added, parts, strict=True):
+                    np.add.at(row, at, part)
+                yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, added)], ["code", "x", "y"])
+
+        if self.local is not None:
+            parts = [r for b in total(self.local.to_batches()) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        else:
+            spread = self.rows.mapInArrow(total, "code long, x long, y long")
+            parts = spread.groupBy("code").agg(F.sum("x"), F.sum("y")).collect()
+        out: dict[int, tuple[int, int]] = {}
+        for code, x, y in parts:
+            before = out.get(code, (0, 0))
+            out[code] = (before[0] + x, before[1] + y)
+        return out
 
+
+def boost(counts: Counts, rate: float = 0.3, ridge: float = 1.0) -> Trees | None:
+    """Newton boosting of small trees, level by level from sums per leaf, feature and bin; None without both truths.
+
+    Whole numbers are summed, so the trees do not depend on how the rows lie.
+    """
+    both = counts.sums(lambda bins, truth, n: (truth, n, n), held=False)
+    if len(both) < 2:
+        return None
+    model = Trees(float(np.log((both[1][0] + 1) / (both[0][0] + 1))))
     for _ in range(TREES):
-        p = model.chances(rows)
-        tree: list = []
-        grow(tree, np.arange(len(rows)), truth - p, p * (1 - p), 0)
+        tree: list[tuple[int, float, int, int, float]] = [(-1, 0.0, 0, 0, 0.0)]
+        leaves = [0]
+        for level in range(DEPTH + 1):
+
+            def slopes(bins: np.ndarray, truth: np.ndarray, n: np.ndarray) -> tuple:
+                values = _as_values(bins)
+                p, at = model.chances(values), _leaf(tree, values)
+                g = np.rint((truth - p) * UNIT).astype(np.int64) * n
+                h = np.rint(p * (1 - p) * UNIT).astype(np.int64) * n
+                codes = (at[:, None] * len(CUTS) + np.arange(len(CUTS))) * BINS + bins
+                return codes.ravel(), np.repeat(g, len(CUTS)), np.repeat(h, len(CUTS))
+
+            tables = np.zeros((len(tree), len(CUTS), BINS, 2))
+            for code, sums in counts.sums(slopes, held=False).items():
+                tables.reshape(-1, 2)[code] = sums
+            tables /= UNIT
+            grown = []
+            for leaf in leaves:
+                g, h = tables[leaf, 0].sum(axis=0)
+                tree[leaf] = (-1, 0.0, 0, 0, float(rate * g / (h + ridge)))
+                gl, hl = np.moveaxis(np.cumsum(tables[leaf], axis=1), 2, 0)
+                gains = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
+                gains[(hl < 1 / UNIT) | (h - hl < 1 / UNIT)] = 0
+                j, cut = np.unravel_index(int(np.argmax(gains)), gains.shape)
+                if level < DEPTH and gains[j, cut] > 1e-6:
+                    tree[leaf] = (int(j), float(CUTS[j][cut]), len(tree), len(tree) + 1, 0.0)
+                    grown += [len(tree), len(tree) + 1]
+                    tree += [(-1, 0.0, 0, 0, 0.0)] * 2
+            if not grown:
+                break
+            leaves = grown
         model.nodes.append(tree)
     return model
 
@@ -238,25 +312,18 @@ class Model:
         return base, sorted([*base, *taken], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def fit(docs: DataFrame) -> Model:
-    """Learn from a bounded sample of documents that hold a digit or an at sign.
+def examples(docs: DataFrame) -> DataFrame:
+    """``bins, truth, held, n``: all different candidates of all documents, counted by their bins.
 
     The base patterns with their checks label the candidates: matches that pass
     are personal data, matches that fail are not, and every match that passes is
-    also shown once with its check broken in the same context. Three quarters
-    train the trees, the rest sets each kind's threshold at the least chance
-    above which ``PRECISION`` of the candidates are true. Documents are chosen
-    by hash of their text, about ``SAMPLE_DOCS`` of them, and candidates, too.
+    also shown once with its check broken in the same context. Equal candidates
+    count once, so a copied text does not weigh more. A quarter, by hash, is held.
     """
-    rows = docs.select("text").where(F.rlike("text", F.lit("[0-9@]")))
-    count = rows.count()
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = rows.where(part < min(1.0, SAMPLE_DOCS / max(1, count)))
-    schema = "features array<double>, truth int, draw long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[list[float], int, int]] = []
+            out: list[tuple[bytes, int, int]] = []
             for text in batch.column("text").to_pylist():
                 base, failed, _ = proposals(text)
                 shown = [(text, s, 1) for s in base] + [(text, s, 0) for s in failed]
@@ -264,32 +331,45 @@ def fit(docs: DataFrame) -> Model:
                 for context, span, truth in shown:
                     values = describe(context, span)
                     draw = xxhash.xxh64_intdigest(f"{context[span[0] : span[1]]} {values}") >> 1
-                    out.append((values, truth, draw))
+                    out.append((binned(values), truth, draw))
             columns = zip(*out, strict=True) if out else ([], [], [])
-            types = (pa.list_(pa.float64()), pa.int32(), pa.int64())
+            types = (pa.binary(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["features", "truth", "draw"]
+                [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["bins", "truth", "draw"]
             )
 
-    # the smallest draws; equal candidates count once, so a copied text does not fill the sample
-    found = drawn.mapInArrow(run, schema).distinct().orderBy("draw", "features").limit(SAMPLE_CANDIDATES).collect()
-    if not found or len({r["truth"] for r in found}) < 2:
-        return Model(Trees(), {})
-    values, truth = np.array([r["features"] for r in found]), np.array([r["truth"] for r in found], float)
-    held = np.array([r["draw"] % 4 == 0 for r in found])
-    if held.all() or not held.any() or len(set(truth[~held])) < 2:
+    rows = docs.select("text").where(F.rlike("text", F.lit("[0-9@]")))
+    found = rows.mapInArrow(run, "bins binary, truth int, draw long").distinct()
+    held = (F.col("draw") % 4 == 0).alias("held")
+    return found.groupBy("bins", "truth", held).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit(docs: DataFrame) -> Model:
+    """Learn from every candidate of every document; see ``examples``.
+
+    The trees are trained on those not held. The held ones set each kind's
+    threshold at the least chance, in steps of 1 / ``STEPS``, above which
+    ``PRECISION`` of the candidates are true.
+    """
+    counts = Counts(examples(docs))
+    trees = boost(counts)
+    if trees is None:
         return Model(Trees(), {})
-    trees = boost(values[~held], truth[~held])
-    chances, thresholds = trees.chances(values[held]), {}
+
+    def judged(bins: np.ndarray, truth: np.ndarray, n: np.ndarray) -> tuple:
+        steps = np.floor(trees.chances(_as_values(bins)) * STEPS).astype(np.int64)
+        return np.argmax(bins[:, : len(KINDS)], axis=1) * (STEPS + 1) + steps, n * truth, n
+
+    thresholds: dict[str, float] = {}
+    right, every = np.zeros((2, len(KINDS), STEPS + 1), np.int64)
+    for code, (good, number) in counts.sums(judged, held=True).items():
+        right.flat[code], every.flat[code] = good, number
     for i, kind in enumerate(KINDS):
-        mine = values[held][:, i] == 1
-        order = np.argsort(-chances[mine], kind="stable")
-        right = np.cumsum(truth[held][mine][order])
         # one imagined error, so that a handful of candidates proves nothing
-        share = right / (np.arange(len(right)) + 2)
-        good = np.flatnonzero(share >= PRECISION)
+        share = np.cumsum(right[i][::-1]) / (np.cumsum(every[i][::-1]) + 1)
+        good = np.flatnonzero((share >= PRECISION) & (every[i][::-1] > 0))
         if len(good):
-            thresholds[kind] = max(0.5, float(chances[mine][order][good[-1]]))
+            thresholds[kind] = max(0.5, (STEPS - int(good[-1])) / STEPS)
     return Model(trees, thresholds)
 
 
