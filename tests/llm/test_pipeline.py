@@ -7,8 +7,10 @@ import random
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from traceforge.llm import registered, simhash
+from traceforge.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +99,35 @@ def test_rows_without_an_id_and_other_texts_of_an_id_stay(spark):
     data = [(1, one), (1, two), (1, one), (2, one), (3, three), (None, one), (None, one)]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, one), (1, two), (3, three), (None, one), (None, one)], key=str)
+
+
+def test_every_pair_of_the_similarity_is_found(spark, monkeypatch):
+    # as many documents as make keys wide, all pairs close to the limit; a line in all texts meets nothing
+    rnd = random.Random(4)
+    made = [alike(rnd, 100, 0.82) for _ in range(400)]
+    data = [(2 * i + k, pair[k]) for i, pair in enumerate(made) for k in (0, 1)]
+    want = {2 * i + 1 for i, (_, _, got) in enumerate(made) if got >= 0.8}
+    monkeypatch.setattr(simhash, "MOST", 50, raising=False)
+    line = " ".join(f"common{i}" for i in range(8))
+    data += [(1000 + i, f"{line} {' '.join(f'u{i}x{j}' for j in range(30))}") for i in range(120)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    assert {i for i, _ in data} - {r["doc_id"] for r in kept.collect()} == want and len(want) > 100
+
+
+def test_copies_of_a_text_do_not_meet_pair_by_pair(spark):
+    rnd = random.Random(5)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for _ in range(300):
+        edited = list(base)
+        edited[rnd.randrange(200)] = f"e{rnd.randrange(10**6)}"
+        texts.append(" ".join(edited))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = simhash._sets(docs.selectExpr("doc_id as node", "doc_id", "xxhash64(text) as hash"), docs, 5).cache()
+    entries = simhash._prefixes(sets, 0.8).cache()
+    groups = spark.createDataFrame([], "node long, component long")
+    for lead in (F.min, None):
+        pairs = simhash._meeting(entries, groups, 0.8, lead).cache()
+        assert pairs.count() <= 8 * len(texts)
+        groups = connected_components(simhash._alike(pairs, sets, 0.8).unionByName(groups.toDF("a", "b")))
+    assert groups.count() == len(texts) - 1 and [r[0] for r in groups.select("component").distinct().collect()] == [0]
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 1

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from traceforge.llm.common import release, settle, words
+from traceforge.llm.common import release, settle, small_batches, words
 from traceforge.llm.components import connected_components
+from traceforge.operators.lookup import attach_bounded
 
 SEED = 42
 # Shingles whose bits are spread out at once.
@@ -21,8 +22,10 @@ BLOCK = 1 << 14
 GOLDEN, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 # Share of differing bits of two equally large sets at a Jaccard similarity of 0.8: arccos(2J / (1 + J)) / pi.
 SHARE = math.acos(1.6 / 1.8) / math.pi
-# Nodes under one key that meet pair by pair; tables searched at once.
-FEW, PASS = 16, 4
+# Nodes under one key that meet pair by pair; tables of keys.
+FEW, TABLES = 16, 4
+# Of the classes of shingles by hash, so many parts are counted, one at a time; sets of one shingle that are counted.
+CLASSES, PARTS, MOST = 5, 2, 100_000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -106,17 +109,9 @@ def _ball_links(keys: DataFrame, width: int, neighbours: bool) -> DataFrame:
     return found.where("other <> node").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def plan_tables(documents: int, share: float = SHARE, recall: float = 0.95) -> tuple[int, int]:
-    """Key width and number of tables for so many documents.
-
-    A key is wide enough that unrelated documents rarely meet, whatever their
-    number; the tables are as many as it takes for two documents whose bits
-    differ with probability ``share`` to come within two bits in one of them
-    with probability ``recall``.
-    """
-    width = min(56, 4 * math.ceil(math.log2(500 * max(documents, 2)) / 4))
-    near = sum(math.comb(width, k) * share**k * (1 - share) ** (width - k) for k in range(3))
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - near))
+def key_width(documents: int) -> int:
+    """Bits of a key, so many that unrelated documents rarely meet, whatever their number."""
+    return min(56, 4 * math.ceil(math.log2(500 * max(documents, 2)) / 4))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
@@ -164,61 +159,166 @@ def _near(pairs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, width: int, tables: range, parts: int, max_distance: float) -> list[DataFrame]:
-    """Pairs ``a, b`` whose keys are within two bits in one of ``tables`` and whose fingerprints are near.
+    """Pairs ``a, b`` whose keys are equal in one of ``tables`` and whose fingerprints are near.
 
     Under one key, nodes near a leader stand behind it in this table, and those
     that it refuses go on among themselves, until no more than ``FEW`` are left
-    and meet pair by pair. Leaders of keys within two bits meet pair by pair.
-    Another table draws other leaders.
+    and meet pair by pair. Another table draws other leaders.
     """
     each = nodes.withColumn("table", F.explode(F.array(*map(F.lit, tables))))
     rest = settle(each.select("table", _bits(width, F.col("table")).alias("key"), "node"))
-    found, leaders = [], []
+    found = []
     rank = F.struct(F.xxhash64("table", "node").alias("rank"), "node")
     while True:
         groups = rest.groupBy("table", "key").agg(F.count("*").alias("n"), F.min(rank)["node"].alias("b"))
         small, large = groups.where(f"n <= {FEW}"), settle(groups.where(f"n > {FEW}"))
         few = rest.join(small.select("table", "key", "n"), ["table", "key"])
-        leaders.append(few.select("table", "key", "node"))
         two = few.where("n > 1").select("table", "key", F.col("node").alias("a"))
         two = two.join(two.select("table", "key", F.col("a").alias("b")), ["table", "key"]).where("a > b")
         found.append(settle(_near(two.select("a", "b").distinct(), nodes, parts).where(F.col("apart") <= max_distance)))
         if large.isEmpty():
             break
-        leaders.append(large.select("table", "key", F.col("b").alias("node")))
         led = rest.join(large.drop("n"), ["table", "key"]).where("node <> b").withColumnRenamed("node", "a")
         led = settle(_near(led, nodes, parts))
         found.append(led.where(F.col("apart") <= max_distance))
         rest = led.where(F.col("apart") > SHARE).select("table", "key", F.col("a").alias("node"))
-    leaders = settle(reduce(DataFrame.unionByName, leaders))
-    keys = leaders.select("table", "key").distinct().withColumn("node", F.shiftleft(F.col("table").cast("long"), width).bitwiseOR(F.col("key")))
-    met = _ball_links(keys, width, neighbours=True)
-    place = F.shiftleft(F.col("table").cast("long"), width).bitwiseOR(F.col("key"))
-    left = leaders.select(place.alias("a"), F.col("node").alias("na"))
-    right = leaders.select(place.alias("b"), F.col("node").alias("nb"))
-    across = met.join(left, "a").join(right, "b").select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b"))
-    found.append(settle(_near(across.distinct(), nodes, parts).where(F.col("apart") <= max_distance)))
     return [part.select("a", "b") for part in found]
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+def _sets(nodes: DataFrame, docs: DataFrame, shingle_words: int) -> DataFrame:
+    """``node, size, counted, shingles``: each node's set of shingles, as sorted 64-bit hashes, and how many are in ``PARTS``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.as_py(), shingle_words)) for text in batch.column("text")]
+            counted = [np.count_nonzero(x.view(np.int64) % CLASSES < PARTS) for x in sets]
+            columns = [batch["node"], pa.array(map(len, sets), pa.int64()), pa.array(counted, pa.int64())]
+            binary = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, binary], ["node", "size", "counted", "shingles"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text")
+    found = rows.join(nodes.select("node", "doc_id", "hash"), ["doc_id", "hash"])
+    once = found.groupBy("doc_id", "hash").agg(F.any_value("node").alias("node"), F.any_value("text").alias("text"))
+    return once.select("node", "text").mapInArrow(run, "node long, size long, counted long, shingles binary")
+
+
+def _need(size: int, similarity: float) -> int:
+    """Shingles that a set of this size has in common with any similar one, at least."""
+    return math.ceil(size * similarity - 1e-9)
+
+
+def _shared(sets: DataFrame, part: int, similarity: float) -> DataFrame:
+    """``node, token, df`` of the shingles of this part that several sets hold; ``df`` says how many, ``MOST`` at most."""
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for x in batch["shingles"].to_pylist():
+                x = np.frombuffer(x, np.int64)
+                which = x % CLASSES
+                mine = x[which == part]
+                if part == 0:  # a set with too few shingles in the parts is found by some others, too
+                    late = x[which >= PARTS]
+                    short = len(late) - _need(len(x), similarity) + 1
+                    mine = np.concatenate((mine, late[: max(0, short)]))
+                lists.append(mine)
+            nodes = np.repeat(batch["node"].to_numpy(), [len(x) for x in lists])
+            tokens = np.concatenate([*lists, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], ["token", "node"])
+
+    def counted(tokens: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(tokens)))
+        df = np.minimum(np.repeat(sizes, sizes), MOST).astype(np.int32)
+        keep = df > 1
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (nodes, tokens, df)], ["node", "token", "df"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last token of a batch may go on in the next; of one held by MOST sets no more is kept back
+        tokens, nodes, many = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for batch in batches:
+            new, theirs = batch["token"].to_numpy(), batch["node"].to_numpy()
+            if many is not None:
+                at = int(np.searchsorted(new, many, "right"))
+                full = np.full(at, MOST, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(theirs[:at]), pa.array(new[:at]), pa.array(full)], ["node", "token", "df"])
+                new, theirs = new[at:], theirs[at:]
+            if not len(new):
+                continue
+            tokens, nodes, many = np.concatenate((tokens, new)), np.concatenate((nodes, theirs)), None
+            last = int(np.searchsorted(tokens, tokens[-1]))
+            if len(tokens) - last >= MOST:
+                many, last = tokens[-1], len(tokens)
+            yield counted(tokens[:last], nodes[:last])
+            tokens, nodes = tokens[last:], nodes[last:]
+        yield counted(tokens, nodes)
+
+    rows = sets.select("node", "shingles").mapInArrow(spread, "token long, node long")
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "node long, token long, df int")
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``token, node, size``: the shingles of a set under which it must meet every set of this Jaccard similarity.
+
+    Similar sets have at least ``need`` = similarity × size shingles in common,
+    so with all shingles in one order they share one of the first
+    size - need + 1. The order starts with those of ``PARTS`` in ``CLASSES`` by
+    hash, held by few sets first; only these need to be counted, and the others
+    are taken by sets that have too few of them. Shingles of one set alone come
+    first and meet nothing, and most sets have nothing else in their prefix.
+    """
+    parts = []
+    for part in range(PARTS):
+        parts.append(settle(_shared(sets, part, similarity)))
+        release(sets.sparkSession)
+    of, late = Window.partitionBy("node"), F.pmod("token", F.lit(CLASSES)) >= PARTS
+    ranked = reduce(DataFrame.unionByName, parts).select(
+        "token", "node", late.alias("late"), F.count_if(~late).over(of).alias("shared"),
+        F.row_number().over(of.orderBy(late, "df", "token")).alias("rank"),
+    )
+    length = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    first = F.col("rank") <= length - F.col("counted") + F.col("shared")
+    return ranked.join(sets.select("node", "size", "counted"), "node").where(F.col("late") | first).select("token", "node", "size")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) whose sets of shingles have at least this Jaccard similarity."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = lambda name: (np.unique(shingle_hashes(t.as_py(), shingle_words)) for t in batch.column(name))
             good = []
-            for x, y in zip(sets("ta"), sets("tb"), strict=True):
+            for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    pairs = settle(pairs)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text")
-    named = nodes.select("node", "doc_id", "hash").join(ends, "node")
-    texts = settle(rows.join(named, ["doc_id", "hash"]).groupBy("node").agg(F.any_value("text").alias("text")))
-    left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    asked = attach_bounded(sets, ends, ["node"])
+    left, right = (asked.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _meeting(entries: DataFrame, groups: DataFrame, similarity: float, lead: Callable | None) -> DataFrame:
+    """Pairs ``a, b`` of different groups that share a token and whose sizes allow the similarity.
+
+    With ``lead``, each node and the least or largest node under its token only.
+    """
+    named = groups.withColumnRenamed("component", "_c")
+    placed = entries.join(named, "node", "left").withColumn("group", F.coalesce("_c", "node")).drop("_c")
+    if lead:
+        other = placed.groupBy("token").agg(lead(F.struct("node", "size", "group")).alias("other")).select(
+            "token", *[F.col(f"other.{c}").alias(f"_{c}") for c in ("node", "size", "group")]
+        )
+    else:
+        mixed = placed.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"))
+        placed = settle(placed.join(mixed.where("least <> most").select("token"), "token"))
+        other = placed.withColumnsRenamed({c: f"_{c}" for c in ("node", "size", "group")})
+    apart = F.col("group") != F.col("_group") if lead else F.col("group") < F.col("_group")
+    fits = F.least("size", "_size") >= F.greatest("size", "_size") * similarity - 1e-9
+    met = placed.join(other, "token").where(apart & fits)
+    return met.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
 
 
 def near_copies(
@@ -226,26 +326,35 @@ def near_copies(
 ) -> DataFrame:
     """``doc_id, hash`` (of the text) of the texts with an id that have a near copy before them.
 
-    Fingerprints of the sets of shingles, of at least 64 × ``parts`` bits, only
-    propose (see ``plan_tables``), at that share of differing bits; the exact
-    Jaccard similarity decides. Texts with equal sets count as one, that of the
-    smallest doc_id. Tables are searched a few at a time and their shuffle files
-    released in between, so that the disk holds those of a few.
+    Two texts are near copies if their sets of shingles have this Jaccard
+    similarity; no such link between different groups is missed. Fingerprints of
+    the sets, of at least 64 × ``parts`` bits, propose the first links, at that
+    share of differing bits. The rest is proposed by shared shingles, see
+    ``_prefixes``: first each text with the least and the last one under each
+    shingle, then all that still are in different groups, so that many copies of
+    one text do not meet pair by pair. The exact similarity decides. Texts with
+    equal sets count as one, that of the smallest doc_id.
     """
-    width, tables = plan_tables(docs.count())
-    parts = max(parts, -(-width * tables // 64))
-    marked = settle(_marks(docs, shingle_words, parts))
-    least = F.min(F.struct("doc_id", "hash"))
-    nodes = marked.groupBy("shingles").agg(least.alias("least"), F.any_value("fingerprint").alias("fingerprint"))
-    nodes = nodes.select("least.*", "shingles", "fingerprint").repartitionByRange("doc_id", "hash")
-    nodes = settle(nodes.sortWithinPartitions("doc_id", "hash").withColumn("node", F.monotonically_increasing_id()))
-    found = []
-    for first in range(0, tables, PASS):
-        found += _candidates(nodes, width, range(first, min(tables, first + PASS)), parts, max_distance)
-        release(docs.sparkSession)
-    pairs = settle(reduce(DataFrame.unionByName, found).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    groups = connected_components(_alike(pairs, nodes, docs, shingle_words, similarity))
-    release(docs.sparkSession)
+    spark, width = docs.sparkSession, key_width(docs.count())
+    parts = max(parts, -(-width * TABLES // 64))
+    with small_batches(spark):
+        marked = settle(_marks(docs, shingle_words, parts))
+        least = F.min(F.struct("doc_id", "hash"))
+        nodes = marked.groupBy("shingles").agg(least.alias("least"), F.any_value("fingerprint").alias("fingerprint"))
+        nodes = nodes.select("least.*", "shingles", "fingerprint").repartitionByRange("doc_id", "hash")
+        nodes = settle(nodes.sortWithinPartitions("doc_id", "hash").withColumn("node", F.monotonically_increasing_id()))
+        sets = settle(_sets(nodes, docs, shingle_words))
+        release(spark)
+        found = reduce(DataFrame.unionByName, _candidates(nodes, width, range(TABLES), parts, max_distance))
+        pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        groups = connected_components(_alike(pairs, sets, similarity))
+        release(spark)
+        entries = settle(_prefixes(sets, similarity))
+        release(spark)
+        for lead in (F.min, F.max, None):
+            good = _alike(_meeting(entries, groups, similarity, lead), sets, similarity)
+            groups = connected_components(good.unionByName(groups.toDF("a", "b")))
+            release(spark)
     stay = nodes.join(groups, "node", "left_anti").select("doc_id", "hash")
     return marked.select("doc_id", "hash").distinct().join(stay, ["doc_id", "hash"], "left_anti")
 
