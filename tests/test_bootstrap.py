@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceforge.operators import bootstrap
+from traceforge.workspace import spread
 
 
 def weights(key, seed, replicates):
@@ -65,3 +66,9 @@ def test_groups_each_have_their_baseline(spark):
     with pytest.raises(Exception, match="not one baseline"):
         bootstrap.accuracy_intervals(df.where("run = 'b' or split = 'x'"), "ok", "id", "run", "a", by=["split"]).collect()
     assert bootstrap.accuracy_intervals(df.limit(0), "ok", "id", "run", "a").count() == 0
+
+
+def test_narrow_rows_are_cut_into_tasks_by_their_number(spark, tmp_path):
+    spark.range(1_200_000).coalesce(1).write.parquet(str(tmp_path / "ids"))
+    rows = spread(spark.read.parquet(str(tmp_path / "ids")), "id")
+    assert rows.rdd.getNumPartitions() == 12 and rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 110_000

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from math import ceil, exp, factorial, floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from traceforge.functions.answers import bound
 from traceforge.operators.ranking import names
@@ -41,6 +43,28 @@ def replicate_weights(key: str | Sequence[str], seed: int | str, replicates: int
     return F.slice(F.flatten(blocks), 1, replicates)
 
 
+def _weighed(rows: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
+    """``keys, traces, right, sums`` per batch and group of ``keys, _correct, _hashes`` rows: weights drawn, then those right."""
+    weights = np.searchsorted(THRESHOLDS, np.arange(STEPS), "right").astype(np.float64)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch.select(list(keys)).to_pandas().groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(groups, kind="stable")
+            starts = np.flatnonzero(np.diff(groups[order], prepend=-1))
+            numbers = np.frombuffer(b"".join(batch["_hashes"].to_pylist()), ">u2").reshape(batch.num_rows, -1)
+            drawn, correct = weights[numbers[order, :replicates]], batch["_correct"].to_numpy()[order]
+            sums = np.hstack([np.add.reduceat(x, starts) for x in (drawn, drawn * correct[:, None])])
+            columns = [batch[k].take(pa.array(order[starts])) for k in keys]
+            columns += [pa.array(np.diff(np.append(starts, len(order)))), pa.array(np.add.reduceat(correct, starts))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(sums))], [*keys, "traces", "right", "sums"])
+
+    types = rows.select(*keys).schema.add("traces", "long").add("right", "double").add("sums", T.ArrayType(T.DoubleType()))
+    return rows.mapInArrow(run, types)
+
+
 def _between(values: Column, level: float, replicates: int) -> tuple[Column, Column]:
     """The values that leave half of the rest of ``level`` below and above them."""
     low = floor((1 - level) / 2 * replicates)
@@ -62,13 +86,14 @@ def accuracy_intervals(
     no row of a run has no accuracy and sorts last. A group without its baseline,
     or with two, is an error.
     """
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in names(key)], F.lit(str(seed)))
+    hashes = [F.md5(F.concat_ws("|", text, F.lit(str(block)))) for block in range(ceil(replicates / PER_HASH))]
     rows = df.where(F.col(correct).isNotNull()).select(
-        *by, run, F.col(correct).cast("double").alias("_correct"), replicate_weights(key, seed, replicates).alias("_weights")
+        *by, run, F.col(correct).cast("double").alias("_correct"), F.unhex(F.concat(*hashes)).alias("_hashes")
     )
-    both = F.concat("_weights", F.transform("_weights", lambda w: w * F.col("_correct")))
-    sums = rows.groupBy(*by, run).agg(
-        F.count(F.lit(1)).alias("traces"), F.avg("_correct").alias("accuracy"),
-        vector_to_array(Summarizer.sum(array_to_vector(both))).alias("_sums"),
+    sums = _weighed(rows, [*by, run], replicates).groupBy(*by, run).agg(
+        F.sum("traces").alias("traces"), (F.sum("right") / F.sum("traces")).alias("accuracy"),
+        vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("_sums"),
     )
     drawn, right = F.slice("_sums", 1, replicates), F.slice("_sums", replicates + 1, replicates)
     shares = sums.withColumn("_shares", F.zip_with(right, drawn, lambda r, d: F.try_divide(r, d)))
