@@ -131,3 +131,16 @@ def test_copies_of_a_text_do_not_meet_pair_by_pair(spark):
         groups = connected_components(simhash._alike(pairs, sets, 0.8).unionByName(groups.toDF("a", "b")))
     assert groups.count() == len(texts) - 1 and [r[0] for r in groups.select("component").distinct().collect()] == [0]
     assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 1
+
+
+def test_texts_that_share_most_words_do_not_meet_pair_by_pair(spark):
+    # 0.55 of a text is a passage of all: under the similarity by far, and many in the shingles that are looked at
+    rnd, shared = random.Random(6), [f"w{i}" for i in range(70)]
+    texts = [" ".join([*shared, *(f"u{i}x{j}" for j in range(30 + rnd.randrange(4)))]) for i in range(200)]
+    pairs = [" ".join([*shared, *(f"p{i}x{j}" for j in range(30)), *"ab"[: k]]) for i in range(5) for k in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts + pairs)), "doc_id long, text string")
+    sets = simhash._sets(docs.selectExpr("doc_id as node", "doc_id", "xxhash64(text) as hash"), docs, 5).cache()
+    groups = spark.createDataFrame([], "node long, component long")
+    met = simhash._meeting(simhash._prefixes(sets, 0.8), groups, 0.8, None)
+    found = {tuple(r) for r in met.collect()}
+    assert {(200 + 2 * i + 1, 200 + 2 * i) for i in range(5)} <= found and len(found) <= len(texts)

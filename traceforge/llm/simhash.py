@@ -24,8 +24,8 @@ GOLDEN, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 SHARE = math.acos(1.6 / 1.8) / math.pi
 # Nodes under one key that meet pair by pair; tables of keys.
 FEW, TABLES = 16, 4
-# Of the classes of shingles by hash, so many parts are counted, one at a time; sets of one shingle that are counted.
-CLASSES, PARTS, MOST = 5, 2, 100_000
+# Classes of shingles by hash, counted one at a time; sets of one shingle that are counted.
+CLASSES, MOST = 8, 100_000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -186,45 +186,30 @@ def _candidates(nodes: DataFrame, width: int, tables: range, parts: int, max_dis
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``node, size, counted, shingles``: each node's set of shingles, as sorted 64-bit hashes, and how many are in ``PARTS``."""
+    """``node, size, shingles``: each node's set of shingles, as sorted 64-bit hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(text.as_py(), shingle_words)) for text in batch.column("text")]
-            counted = [np.count_nonzero(x.view(np.int64) % CLASSES < PARTS) for x in sets]
-            columns = [batch["node"], pa.array(map(len, sets), pa.int64()), pa.array(counted, pa.int64())]
+            columns = [batch["node"], pa.array(map(len, sets), pa.int64())]
             binary = pa.array([x.tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, binary], ["node", "size", "counted", "shingles"])
+            yield pa.RecordBatch.from_arrays([*columns, binary], ["node", "size", "shingles"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text")
     found = rows.join(nodes.select("node", "doc_id", "hash"), ["doc_id", "hash"])
     once = found.groupBy("doc_id", "hash").agg(F.any_value("node").alias("node"), F.any_value("text").alias("text"))
-    return once.select("node", "text").mapInArrow(run, "node long, size long, counted long, shingles binary")
+    return once.select("node", "text").mapInArrow(run, "node long, size long, shingles binary")
 
 
-def _need(size: int, similarity: float) -> int:
-    """Shingles that a set of this size has in common with any similar one, at least."""
-    return math.ceil(size * similarity - 1e-9)
-
-
-def _shared(sets: DataFrame, part: int, similarity: float) -> DataFrame:
-    """``node, token, df`` of the shingles of this part that several sets hold; ``df`` says how many, ``MOST`` at most."""
+def _shared(sets: DataFrame, part: int) -> DataFrame:
+    """``node, token, df`` of the shingles of this class that several sets hold; ``df`` says how many, ``MOST`` at most."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = []
-            for x in batch["shingles"].to_pylist():
-                x = np.frombuffer(x, np.int64)
-                which = x % CLASSES
-                mine = x[which == part]
-                if part == 0:  # a set with too few shingles in the parts is found by some others, too
-                    late = x[which >= PARTS]
-                    short = len(late) - _need(len(x), similarity) + 1
-                    mine = np.concatenate((mine, late[: max(0, short)]))
-                lists.append(mine)
-            nodes = np.repeat(batch["node"].to_numpy(), [len(x) for x in lists])
-            tokens = np.concatenate([*lists, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], ["token", "node"])
+            tokens = np.frombuffer(b"".join(batch["shingles"].to_pylist()), np.int64)
+            nodes = np.repeat(batch["node"].to_numpy(), batch["size"].to_numpy())
+            mine = tokens % CLASSES == part
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[mine]), pa.array(nodes[mine])], ["token", "node"])
 
     def counted(tokens: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
@@ -253,32 +238,31 @@ def _shared(sets: DataFrame, part: int, similarity: float) -> DataFrame:
             tokens, nodes = tokens[last:], nodes[last:]
         yield counted(tokens, nodes)
 
-    rows = sets.select("node", "shingles").mapInArrow(spread, "token long, node long")
+    rows = sets.mapInArrow(spread, "token long, node long")
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "node long, token long, df int")
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``token, node, size``: the shingles of a set under which it must meet every set of this Jaccard similarity.
-
-    Similar sets have at least ``need`` = similarity × size shingles in common,
-    so with all shingles in one order they share one of the first
-    size - need + 1. The order starts with those of ``PARTS`` in ``CLASSES`` by
-    hash, held by few sets first; only these need to be counted, and the others
-    are taken by sets that have too few of them. Shingles of one set alone come
-    first and meet nothing, and most sets have nothing else in their prefix.
+    """``token, node, size, place``: the shingles of a set under which it must meet every set of this Jaccard similarity.
+
+    Similar sets have at least similarity × size shingles in common, so with
+    all shingles in one order they share one of the first
+    size - similarity × size + 1. The order starts with those held by few sets,
+    so that what many have in common stands behind; ``place`` is that in it.
+    Shingles of one set alone come first and meet nothing, and most sets have
+    nothing else in their prefix.
     """
-    parts = []
-    for part in range(PARTS):
-        parts.append(settle(_shared(sets, part, similarity)))
+    length = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    of, parts = Window.partitionBy("node"), []
+    for part in range(CLASSES):
+        parts.append(settle(_shared(sets, part)))
         release(sets.sparkSession)
-    of, late = Window.partitionBy("node"), F.pmod("token", F.lit(CLASSES)) >= PARTS
     ranked = reduce(DataFrame.unionByName, parts).select(
-        "token", "node", late.alias("late"), F.count_if(~late).over(of).alias("shared"),
-        F.row_number().over(of.orderBy(late, "df", "token")).alias("rank"),
+        "token", "node", F.count("*").over(of).alias("shared"), F.row_number().over(of.orderBy("df", "token")).alias("rank")
     )
-    length = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    first = F.col("rank") <= length - F.col("counted") + F.col("shared")
-    return ranked.join(sets.select("node", "size", "counted"), "node").where(F.col("late") | first).select("token", "node", "size")
+    place = F.col("rank") + F.col("size") - F.col("shared")
+    placed = ranked.join(sets.select("node", "size"), "node").withColumn("place", place)
+    return placed.where(F.col("place") <= length).select("token", "node", "size", "place")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -300,27 +284,56 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _meeting(entries: DataFrame, groups: DataFrame, similarity: float, lead: Callable | None) -> DataFrame:
-    """Pairs ``a, b`` of different groups that share a token and whose sizes allow the similarity.
-
-    With ``lead``, each node and the least or largest node under its token only.
-    """
+def _grouped(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """``entries`` with the ``group`` of their node."""
     named = groups.withColumnRenamed("component", "_c")
-    placed = entries.join(named, "node", "left").withColumn("group", F.coalesce("_c", "node")).drop("_c")
-    if lead:
-        other = placed.groupBy("token").agg(lead(F.struct("node", "size", "group")).alias("other")).select(
-            "token", *[F.col(f"other.{c}").alias(f"_{c}") for c in ("node", "size", "group")]
-        )
-    else:
-        mixed = placed.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"))
-        placed = settle(placed.join(mixed.where("least <> most").select("token"), "token"))
-        other = placed.withColumnsRenamed({c: f"_{c}" for c in ("node", "size", "group")})
-    apart = F.col("group") != F.col("_group") if lead else F.col("group") < F.col("_group")
+    return entries.join(named, "node", "left").withColumn("group", F.coalesce("_c", "node")).drop("_c")
+
+
+def _led(entries: DataFrame, groups: DataFrame, similarity: float, lead: Callable) -> DataFrame:
+    """Pairs ``a, b`` of each node and the least or largest one under its token, if their groups differ and their sizes allow the similarity."""
+    placed = _grouped(entries, groups)
+    other = placed.groupBy("token").agg(lead(F.struct("node", "size", "group")).alias("other")).select(
+        "token", *[F.col(f"other.{c}").alias(f"_{c}") for c in ("node", "size", "group")]
+    )
     fits = F.least("size", "_size") >= F.greatest("size", "_size") * similarity - 1e-9
-    met = placed.join(other, "token").where(apart & fits)
+    met = placed.join(other, "token").where((F.col("group") != F.col("_group")) & fits)
     return met.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
 
 
+def _apart(entries: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of different groups whose first common shingle, going by its places, allows the similarity.
+
+    Of two sets, no more is in common than what stands from there on in either,
+    and a similar pair has (size + size) × similarity / (1 + similarity) in
+    common. That binds the smaller one to ``early`` places. Under each token the
+    largest group does not meet itself, however many copies it has.
+    """
+    share = similarity / (1 + similarity)
+    early = F.col("size") - F.col("place") + 1 >= 2 * share * F.col("size") - 1e-9
+    placed = _grouped(entries, groups).withColumn("early", early)
+    each = placed.groupBy("token", "group").agg(F.count("*").alias("n"), F.max("early").alias("early"))
+    mixed = each.groupBy("token").agg(
+        F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("n"), F.max("early").alias("early")
+    )
+    met = placed.join(mixed.where("n > 1 and early").select("token", "main"), "token")
+    met = settle(met.withColumn("odd", F.col("group") != F.col("main")).drop("main"))
+    asked = F.when(F.col("odd"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    small = met.where("early").withColumn("odd", F.explode(asked)).drop("early")
+    large = met.drop("early").withColumnsRenamed({c: f"_{c}" for c in ("node", "size", "place", "group")})
+    in_order = F.struct("size", "node") < F.struct(F.col("_size").alias("size"), F.col("_node").alias("node"))
+    left = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place")) + 1
+    enough = left >= (F.col("size") + F.col("_size")) * share - 1e-9
+    fits = (F.col("size") >= F.col("_size") * similarity - 1e-9) & enough
+    pairs = small.join(large, ["token", "odd"]).where((F.col("group") != F.col("_group")) & in_order & fits)
+    return pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
+
+
+def _meeting(entries: DataFrame, groups: DataFrame, similarity: float, lead: Callable | None) -> DataFrame:
+    """Pairs ``a, b`` of different groups to compare, with ``lead`` those of one node per token only."""
+    return _led(entries, groups, similarity, lead) if lead else _apart(entries, groups, similarity)
+
+
 def near_copies(
     docs: DataFrame, shingle_words: int = 5, parts: int = 5, max_distance: float = 0.23, similarity: float = 0.8
 ) -> DataFrame:
@@ -331,8 +344,9 @@ def near_copies(
     the sets, of at least 64 × ``parts`` bits, propose the first links, at that
     share of differing bits. The rest is proposed by shared shingles, see
     ``_prefixes``: first each text with the least and the last one under each
-    shingle, then all that still are in different groups, so that many copies of
-    one text do not meet pair by pair. The exact similarity decides. Texts with
+    shingle, then all that still are in different groups and have enough behind
+    that shingle, so that neither the copies of one text nor texts that share a
+    long passage meet pair by pair. The exact similarity decides. Texts with
     equal sets count as one, that of the smallest doc_id.
     """
     spark, width = docs.sparkSession, key_width(docs.count())
