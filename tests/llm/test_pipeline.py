@@ -144,3 +144,12 @@ def test_texts_that_share_most_words_do_not_meet_pair_by_pair(spark):
     met = simhash._meeting(simhash._prefixes(sets, 0.8), groups, 0.8, None)
     found = {tuple(r) for r in met.collect()}
     assert {(200 + 2 * i + 1, 200 + 2 * i) for i in range(5)} <= found and len(found) <= len(texts)
+
+
+def test_rounds_of_contraction_give_their_shuffle_files_back(spark, monkeypatch):
+    from traceforge.llm import components
+
+    released, before = [], components.release
+    monkeypatch.setattr(components, "release", lambda s: released.append(before(s)))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r["component"] for r in connected_components(chain).collect()} == {0} and len(released) >= 2

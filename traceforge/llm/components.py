@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from traceforge.llm.common import settle
+from traceforge.llm.common import release, settle
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -37,3 +37,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = state
+        del both, least, large, small
+        release(stars.sparkSession)  # the rounds' shuffle files do not pile up
