@@ -182,3 +182,32 @@ def test_sums_of_a_hot_key_and_of_keys_that_lack(spark):
         )
         got = {r["by"]: (r["sum"], r.facts) for r in out.collect()}
         assert {k: (s or 0, n) for k, (s, n) in got.items()} == {1: (100.0, 50), 2: (4.0, 2), 3: (0, 0), None: (7.0, 2)}, options
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_a_weighted_row_counts_as_often_and_is_cut_into_tokens_once(spark, order):
+    rows = [("a b a", 3), ("b", 1), ("", 2), (None, 1)]
+    df = spark.createDataFrame(rows, "text string, times long")
+    split = F.filter(F.split("text", " "), lambda w: w != "")
+    weighted = lm.fit_ngram(df.withColumn("tokens", split), "tokens", order, weight="times")
+    repeated = lm.fit_ngram(df.select(F.explode(F.array_repeat("text", F.col("times").cast("int"))).alias("text"))
+                            .withColumn("tokens", split), "tokens", order)
+    assert sorted(weighted.counts.collect()) == sorted(repeated.counts.collect())
+    assert (weighted.total, weighted.types) == (repeated.total, repeated.types)
+    listed = lm.listed_ngrams(df.withColumn("tokens", split), "tokens", order)
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "text" in line]
+
+
+def test_a_key_beyond_the_bound_is_looked_up_beside_its_facts(spark, monkeypatch):
+    from traceforge.workspace import small_or_none
+
+    monkeypatch.setattr(lookup, "small_or_none", lambda df, rows=0, **_: small_or_none(df, 2))
+    facts = spark.createDataFrame([(i % 5 if i % 2 else 0, i) for i in range(40)], "k int, id int")
+    table = spark.createDataFrame([(i, f"v{i}") for i in range(4)], "k int, v string")
+    plain = lookup.skewed_lookup(facts, table, ["k"], 2, key_rows=1000)
+    heavy = lookup.skewed_lookup(facts, table, ["k"], 2, key_rows=10)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, heavy.collect()))
+    assert plain.count() == 40
+    text = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in text and "Union" in heavy._jdf.queryExecution().optimizedPlan().toString()

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from traceforge.operators.language_model import CONTEXT, WORD, ngram_items
+from traceforge.operators.language_model import CONTEXT, WORD, listed_ngrams
 from traceforge.operators.lookup import lookup
 from traceforge.workspace import SMALL_ROWS, materialise
 
@@ -42,7 +42,7 @@ def student_loss(
     columns = [WORD] if order == 1 else [CONTEXT, WORD]
     sums = [F.sum(f).alias(f) for f in flags]
     counts = materialise(
-        marked.select("_h", *flags, F.inline(ngram_items(F.col(tokens), order)))
+        listed_ngrams(marked, tokens, order, "_h", *flags)
         .groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_h").alias("_h"), *sums),
         "student-counts",
