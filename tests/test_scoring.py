@@ -211,3 +211,38 @@ def test_a_key_beyond_the_bound_is_looked_up_beside_its_facts(spark, monkeypatch
     assert plain.count() == 40
     text = plain._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in text and "Union" in heavy._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("head_rows, paired_words", [(0, 0), (1, 1), (3, 2), (1000, 256)])
+def test_bigrams_are_counted_and_scored_in_one_shuffle(spark, monkeypatch, head_rows, paired_words):
+    from traceforge.operators import own_counts
+
+    monkeypatch.setattr(own_counts.bigram_sums, "__defaults__", (head_rows, paired_words))
+    rows = [(i, ["the", "a", f"w{i}", "the", f"v{i % 7}", "é"] * (i % 4)) for i in range(60)] + [(99, []), (98, None), (97, ["x"])]
+    df = spark.createDataFrame([*rows, rows[5]], "id int, tokens array<string>")
+    model = lm.fit_ngram(df, "tokens", 2, 0.5)
+    split = lm.score_ngram(df, model, ["id"], "tokens", head_rows=head_rows, own_rows=True)
+    plan = split._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1 and "counts" not in model.__dict__
+    want = {r.id: r.logppl for r in lm.score_ngram(df, model, ["id"], "tokens").collect()}
+    got = {r.id: r.logppl for r in split.collect()}
+    assert got.keys() == want.keys() and all(math.isnan(got[k]) for k in (97, 98, 99))
+    for key, value in want.items():
+        assert math.isnan(value) and math.isnan(got[key]) or got[key] == pytest.approx(value, rel=1e-12)
+
+
+def test_words_of_one_hash_get_another_key(spark):
+    from traceforge.operators import own_counts
+
+    df = spark.createDataFrame([(["a", "b", "a"],), (["c"],)], "tokens array<string>").withColumn("_w", F.lit(2).cast("long"))
+    plain = own_counts._hashes
+    try:
+        # shipped by value, so that the tasks get it too
+        own_counts._hashes = lambda words, seed: plain(words, seed) if seed else plain(words, seed) * 0
+        run = own_counts.word_totals
+        clash = type(run)(run.__code__, {**run.__globals__, "__name__": "__main__"}, run.__name__, run.__defaults__, run.__closure__)
+        found = clash(df, "tokens", ["_w"])
+    finally:
+        own_counts._hashes = plain
+    assert found.seed == 1
+    assert sorted((r.word, r.n, r.c0, r.p0) for r in found.table.collect()) == [("a", 1, 2, 2), ("b", 1, 2, 2), ("c", 0, 0, 0)]

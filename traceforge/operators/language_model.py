@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, functions as F
 
 from traceforge.operators.lookup import lookup, lookup_sums, skewed_lookup, skewed_lookup_sums
+from traceforge.operators.own_counts import WordTotals, bigram_sums, word_totals
 from traceforge.workspace import SMALL_ROWS, materialise
 
 CONTEXT, WORD = "w1", "w2"
@@ -52,16 +53,27 @@ class NgramModel:
 
     ``counts`` has the n-gram and ``n``, ``contexts`` the first words of bigrams
     with theirs. ``types`` counts predicted words plus one unseen word, so that
-    the probabilities after any context sum to 1.
+    the probabilities after any context sum to 1. ``grams`` lists ``counts``,
+    which are written when first asked for; ``words`` are the totals of bigrams.
     """
 
     order: int
     alpha: float
-    counts: DataFrame
-    contexts: DataFrame | None
+    grams: DataFrame
+    words: WordTotals | None
     total: int
     types: int
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        return self.grams if self.words is None else materialise(self.grams, "ngrams")
+
+    @cached_property
+    def contexts(self) -> DataFrame | None:
+        if self.words is None:
+            return None
+        return self.words.table.where("c0 > 0").select(F.col("word").alias(CONTEXT), F.col("c0").alias("n"))
+
     @cached_property
     def counts_with_context(self) -> DataFrame:
         """``counts``, for bigrams with ``given``, the count of the first word; written when first asked for."""
@@ -93,19 +105,18 @@ def fit_ngram(
     """
     columns = _item_columns(order)
     number = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = materialise(
-        listed_ngrams(df, tokens, order, *filter(None, [weight])).groupBy(*columns).agg(number.alias("n")), "ngrams"
-    )
+    counts = listed_ngrams(df, tokens, order, *filter(None, [weight])).groupBy(*columns).agg(number.alias("n"))
     if order == 1:
-        contexts = None
+        counts, words = materialise(counts, "ngrams"), None
         types, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
     else:
-        contexts = materialise(
-            counts.groupBy(CONTEXT).agg(F.sum("n").alias("n")), "ngram-contexts"
-        )
-        total = counts.agg(F.sum("n")).first()[0]
-        types = counts.select(WORD).distinct().count()
-    return NgramModel(order, float(alpha), counts, contexts, int(total or 0), int(types) + 1)
+        words = word_totals(_weighted(df, tokens, [], _w=F.col(weight) if weight else F.lit(1)), tokens, ["_w"])
+        types, total = words.types(), words.table.agg(F.sum("c0")).first()[0]
+    return NgramModel(order, float(alpha), counts, words, int(total or 0), int(types) + 1)
+
+
+def _weighted(df: DataFrame, tokens: str, key: Sequence[str], **weights: Column) -> DataFrame:
+    return df.select(*key, *[F.coalesce(w, F.lit(0)).cast("long").alias(n) for n, w in weights.items()], tokens)
 
 
 def token_logprobs(
@@ -179,12 +190,22 @@ def score_ngram(
     head_rows: int = SMALL_ROWS,
     same_corpus: bool = True,
     pad: str | None = None,
+    own_rows: bool = False,
 ) -> DataFrame:
     """Log-perplexity of each token array under the model.
 
     ``prompt_length`` may be any expression of the columns of ``df``; tokens
-    before it, and tokens equal to ``pad``, do not count.
+    before it, and tokens equal to ``pad``, do not count. ``own_rows`` says that
+    the model counts the rows of ``df``, all of them and once each: the counts of
+    bigrams are then taken from the rows as they are scored.
     """
+    if own_rows and model.order == 2 and model.alpha > 0 and prompt_length is None and pad is None:
+        sums = bigram_sums(
+            _weighted(df, tokens, key, _w=F.lit(1)), key, tokens, model.words,
+            lambda n: -F.log(n + model.alpha), lambda given: F.log(given + model.alpha * model.types), name, head_rows,
+        )
+        mean = F.try_divide(F.col(name), F.col("facts"))
+        return sums.select(*key, F.coalesce(mean, F.lit(float("nan"))).alias(name))
     if model.order == 2 and not same_corpus:  # a bigram that is not in the table may have a known first word
         logprobs = token_logprobs(df, model, key, tokens, head_rows, same_corpus, pad, prompt_length)
         is_pad = None if pad is None else F.coalesce("is_pad", F.lit(False))

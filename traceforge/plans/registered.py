@@ -610,7 +610,7 @@ def fit_bigram(spark, sf_dir):
 def score_bigram(spark, sf_dir):
     listed = _written_tokens(spark, sf_dir)
     model = lm.fit_ngram(listed, "tokens", order=2, alpha=0.5)
-    scored = lm.score_ngram(listed, model, ["doc_id"], "tokens")
+    scored = lm.score_ngram(listed, model, ["doc_id"], "tokens", own_rows=True)
     return scored.select("doc_id", F.round(F.nanvl("logppl", F.lit(-1.0)), 6).alias("logppl"))
 
 
