@@ -246,3 +246,9 @@ def test_words_of_one_hash_get_another_key(spark):
         own_counts._hashes = plain
     assert found.seed == 1
     assert sorted((r.word, r.n, r.c0, r.p0) for r in found.table.collect()) == [("a", 1, 2, 2), ("b", 1, 2, 2), ("c", 0, 0, 0)]
+
+
+def test_bigram_differences_are_counted_and_scored_in_one_shuffle(spark, docs):
+    out = lm.cross_entropy_difference(docs, ["id"], "tokens", F.col("id") == 1, F.col("id") == 5, 2, head_rows=1)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and plan.count("MapInArrow") == 1

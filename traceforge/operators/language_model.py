@@ -237,9 +237,20 @@ def cross_entropy_difference(
 
     Both corpora are rows of ``df``, marked by the two conditions; every row is
     scored. One count over ``df`` gives both models and the weight of each
-    n-gram in the scored rows. Both models share one set of word types. A row
-    without n-grams gets null.
+    n-gram in the scored rows; with bigrams they are counted and scored in one
+    shuffle. Both models share one set of word types. A row without n-grams gets
+    null.
     """
+    if order == 2 and alpha > 0:
+        marked = _weighted(df, tokens, key, _p=is_plus.cast("int"), _m=is_minus.cast("int"))
+        words = word_totals(marked, tokens, ["_p", "_m"])
+        unseen = float(alpha) * (words.types() + 1)
+        sums = bigram_sums(
+            marked, key, tokens, words,
+            lambda plus, minus: F.log(plus + float(alpha)) - F.log(minus + float(alpha)),
+            lambda plus, minus: F.log(minus + unseen) - F.log(plus + unseen), "_gap", head_rows,
+        )
+        return sums.select(*key, F.try_divide(F.col("_gap"), F.col("facts")).alias(name))
     columns = _item_columns(order)
     marked = df.select(
         F.coalesce(is_plus, F.lit(False)).cast("long").alias("_p"),
