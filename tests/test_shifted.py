@@ -67,3 +67,15 @@ def test_words_that_the_model_lacks_and_empty_tables(spark):
     assert all(t.count() == 0 for t in shifted.shifted_scores(empty, empty, ["id"], "tokens", 0.5, none))
     with pytest.raises(ValueError):
         shifted.shift(language_model.fit_ngram(df, "tokens", order=2), shifted.mean_shares(df, "tokens"), 0.5)
+
+
+def test_three_scores_of_a_row_are_read_without_a_join(spark, tmp_path):
+    from traceforge.plans import registered
+
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string"
+    lines = spark.createDataFrame([(i // 3, i % 3, i, i % 5, "NR"[i % 2], "O") for i in range(30)], line)
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = registered.shifted_scores(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
+    assert out.columns == ["problem_id", "candidate", "score", "plus", "minus"] and out.count() == 30
