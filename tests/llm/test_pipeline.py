@@ -93,6 +93,15 @@ def test_nodes_that_a_leader_refuses_meet(spark):
     assert not any(min(pair) < 100 <= max(pair) < 200 for pair in found)
 
 
+def test_keys_up_to_two_bits_apart_meet(spark):
+    # one or two bits differ in either key of 28 bits, so that no key is equal; three do in the last one
+    bits = {1: (), 2: (3, 30), 3: (5, 9, 35, 40), 4: (200, 12, 13, 14, 50, 51, 52)}
+    rows = [(n, int(sum(1 << (511 - b) for b in at)).to_bytes(64)) for n, at in bits.items()]
+    nodes = spark.createDataFrame([(n, bytearray(f)) for n, f in rows], "node long, fingerprint binary")
+    found = {frozenset(r) for part in simhash._candidates(nodes, 28, range(2), 8, 0.23) for r in part.collect()}
+    assert found == {frozenset((1, 2)), frozenset((1, 3))}
+
+
 def test_rows_without_an_id_and_other_texts_of_an_id_stay(spark):
     rnd = random.Random(2)
     one, two, three = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(100)) for _ in range(3))

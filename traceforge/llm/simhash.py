@@ -159,18 +159,26 @@ def _near(pairs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, width: int, tables: range, parts: int, max_distance: float) -> list[DataFrame]:
-    """Pairs ``a, b`` whose keys are equal in one of ``tables`` and whose fingerprints are near.
+    """Pairs ``a, b`` whose keys are at most two bits apart in one of ``tables`` and whose fingerprints are near.
 
     Under one key, nodes near a leader stand behind it in this table, and those
     that it refuses go on among themselves, until no more than ``FEW`` are left
-    and meet pair by pair. Another table draws other leaders.
+    and meet pair by pair. The first leaders of keys one or two bits apart meet
+    by ball hashing, one table after the other. Another table draws other leaders.
     """
     each = nodes.withColumn("table", F.explode(F.array(*map(F.lit, tables))))
     rest = settle(each.select("table", _bits(width, F.col("table")).alias("key"), "node"))
-    found = []
+    found, met = [], None
     rank = F.struct(F.xxhash64("table", "node").alias("rank"), "node")
     while True:
         groups = rest.groupBy("table", "key").agg(F.count("*").alias("n"), F.min(rank)["node"].alias("b"))
+        if met is None:
+            groups = settle(groups)
+            for table in tables:
+                first = groups.where(F.col("table") == table).select("table", "key", F.col("b").alias("node"))
+                met = _near(_ball_links(first, width, neighbours=True), nodes, parts)
+                found.append(settle(met.where(F.col("apart") <= max_distance)))
+                release(nodes.sparkSession)
         small, large = groups.where(f"n <= {FEW}"), settle(groups.where(f"n > {FEW}"))
         few = rest.join(small.select("table", "key", "n"), ["table", "key"])
         two = few.where("n > 1").select("table", "key", F.col("node").alias("a"))
