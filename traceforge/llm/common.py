@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from traceforge.workspace import scratch_root
+from traceforge.workspace import release as release, scratch_root
 
 # A hash of bytes sums a random number per byte value times a power of an odd number.
 BASE = 0x9E3779B97F4A7C15
@@ -155,9 +155,3 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint()
-
-
-def release(spark) -> None:
-    """Let Spark delete the shuffle files of finished work, which it does once the driver drops what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
